@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,6 @@ def sha_bucket(key: Column, salt: str) -> Column:
 
 def blake_bucket(salt: str):
     """Vectorised UDF: the same with 64 bits of BLAKE2b, which Spark does not have."""
-    import pandas as pd
 
     def bucket(keys: pd.Series) -> pd.Series:
         import hashlib

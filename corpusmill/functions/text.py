@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +91,7 @@ def clean_solution(c: Column) -> Column:
     text = strip(F.regexp_replace(strip(F.regexp_replace(text, ROLE_LABEL, "")), "```", ""))
     lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")
     start = r"^\s*(?:@|def\s+|async\s+def\s+|class\s+|from\s+\S+\s+import\s+|import\s+|if\s+__name__\s*==|[A-Za-z_]\w*\s*=)"
-    at = F.aggregate(F.transform(lines, lambda x, i: F.when(x.rlike(start), i).otherwise(F.lit(2**30))), F.lit(2**30), F.least)
+    at = F.aggregate(F.transform(lines, lambda x, i: F.when(x.rlike(start), i).otherwise(F.lit(2**30))), F.lit(2**30), lambda a, b: F.least(a, b))
     prefix = F.lower(F.array_join(F.filter(F.transform(F.slice(lines, 1, F.when(at < 2**30, at).otherwise(0)), strip), lambda x: x != ""), " "))
     has_bad = prefix.contains(BAD_PREFIXES[0])
     for phrase in BAD_PREFIXES[1:]:
@@ -142,7 +143,6 @@ def percent(share: Column) -> Column:
 
 def parses_as_python():
     """Vectorised UDF: whether the text is a Python module. The only test here that needs Python; nothing is run."""
-    import pandas as pd
 
     def parsed(texts: pd.Series) -> pd.Series:
         import ast

@@ -1,11 +1,673 @@
-"""All registered queries outside the llm subpackage."""
+"""Registered queries outside the llm subpackage, each with SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import chat, keys, records, rewards, rules, schedules, subword, text
+from corpusmill.operators import evalmetrics, order, relate, stats
+from corpusmill.session import ship_by_value, table
+from corpusmill.sources.readers import text_column
+from corpusmill.streaming import clean as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+SALT = "val-v1"
+STYLES = ["instruct", "complete"]
+
+WS = text.SPACE
+STRIP = f"regexp_replace({{0}}, '^{WS}+|{WS}+$', '', 'g')"
+NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+BUCKET = "(('0x' || substr(sha256('" + SALT + "' || chr(10) || {0}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def strip_sql(c: str) -> str:
+    return STRIP.replace("{0}", c)
+
+
+def norm_sql(c: str) -> str:
+    return NORM.format(c)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(function: Query) -> Query:
+        key = name or function.__name__
+        QUERIES[key] = function
+        if sql:
+            ORACLES[key] = sql
+        return function
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# ---- filters, rules and statistics
+
+
+@query(f"""
+WITH t AS (SELECT CASE WHEN int_score >= 4 THEN 'anneal' ELSE 'main' END AS stage,
+  CASE WHEN {BUCKET.format("'id=' || doc_id")} < 0.1 THEN 'val' ELSE 'train' END AS split,
+  coalesce(lower({strip_sql("lang")}), 'none') AS lang, coalesce(length(text), 0) AS n FROM documents),
+g AS (SELECT stage, split, lang, count(*) AS n_docs, sum(n)::BIGINT AS n_chars FROM t GROUP BY ALL)
+SELECT *, round(n_chars / greatest(sum(n_chars) OVER (PARTITION BY stage, split), 1), 6) AS share FROM g""")
+def flagship_mixture(spark, directory):
+    """Documents, characters and their share by stage, split and language."""
+    docs = table(spark, directory, "documents")
+    bucket = keys.sha_bucket(F.concat(F.lit("id="), F.col("doc_id").cast("string")), SALT)
+    rows = docs.select(
+        F.when(rules.row_rule(F.col("int_score"), "ge", 4), "anneal").otherwise("main").alias("stage"), keys.split_of(bucket, 0.1).alias("split"),
+        F.coalesce(F.lower(text.strip(F.col("lang"))), F.lit("none")).alias("lang"), F.coalesce(F.length("text"), F.lit(0)).alias("n"),
+    )
+    sums = rows.groupBy("stage", "split", "lang").agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_chars"))
+    from pyspark.sql import Window
+
+    inside = F.sum("n_chars").over(Window.partitionBy("stage", "split"))
+    return sums.withColumn("share", F.round(F.col("n_chars") / F.greatest(inside, F.lit(1)), 6))
+
+
+@query("SELECT doc_id, int_score FROM documents WHERE int_score <> 2 OR int_score IS NULL")
+def filter_drop_eq_keep_null(spark, directory):
+    return table(spark, directory, "documents").where(rules.drop_rule(F.col("int_score"), drop_eq=2)).select("doc_id", "int_score")
+
+
+@query("SELECT doc_id FROM documents WHERE (score > 2.5 AND NOT isnan(score)) OR score IS NULL")
+def filter_drop_le_keep_null(spark, directory):
+    return table(spark, directory, "documents").where(rules.drop_rule(F.col("score"), drop_le=2.5)).select("doc_id")
+
+
+@query("SELECT doc_id, score FROM documents WHERE score >= 3.7 AND NOT isnan(score)")
+def filter_score_ge_drop_null(spark, directory):
+    return table(spark, directory, "documents").where(rules.at_least(F.col("score"), 3.7)).select("doc_id", "score")
+
+
+@query("SELECT doc_id, int_score FROM documents WHERE int_score >= 4")
+def filter_int_score(spark, directory):
+    return table(spark, directory, "documents").where(rules.at_least(F.col("int_score"), 4)).select("doc_id", "int_score")
+
+
+@query("SELECT file_id, max_stars_count FROM code_files WHERE max_stars_count <> 0 OR max_stars_count IS NULL")
+def filter_nonzero_or_null(spark, directory):
+    return table(spark, directory, "code_files").where(rules.nonzero_or_null(F.col("max_stars_count"))).select("file_id", "max_stars_count")
+
+
+@query(f"SELECT doc_id FROM documents WHERE lower({strip_sql('lang')}) = 'de'")
+def lang_filter(spark, directory):
+    return table(spark, directory, "documents").where(rules.label_is(F.col("lang"), "de")).select("doc_id")
+
+
+@query("SELECT file_id, CASE WHEN int_score >= 3 THEN 'anneal' WHEN int_score < 3 OR int_score IS NULL THEN 'main' END AS stage FROM code_files")
+def rule_split_ge_lt(spark, directory):
+    code = table(spark, directory, "code_files")
+    plan = [{"stage": "anneal", "column": "int_score", "op": "ge", "value": 3}, {"stage": "main", "column": "int_score", "op": "lt", "value": 3, "include_null": True}]
+    return code.select("file_id", rules.stage_by_rules(code.columns, plan).alias("stage"))
+
+
+@query("SELECT file_id, CASE WHEN star_events_count = 0 THEN 'main' WHEN star_events_count <> 0 THEN 'anneal' ELSE 'main' END AS stage FROM code_files")
+def rule_split_eq_ne(spark, directory):
+    code = table(spark, directory, "code_files")
+    plan = [{"stage": "main", "column": "star_events_count", "op": "eq", "value": 0}, {"stage": "anneal", "column": "star_events_count", "op": "ne", "value": 0}]
+    return code.select("file_id", rules.stage_by_rules(code.columns, plan).alias("stage"))
+
+
+@query("SELECT dataset, count(*) AS n_before, count(*) FILTER (WHERE max_stars_count <> 0 OR max_stars_count IS NULL) AS n_after FROM code_files GROUP BY 1")
+def filter_dry_run_counts(spark, directory):
+    code = table(spark, directory, "code_files")
+    return stats.rule_counts(code, rules.nonzero_or_null(F.col("max_stars_count")), "dataset")
+
+
+@query("""SELECT dataset, count(*) AS n_rows, round(avg(length(content)), 6) AS avg_chars, round(avg(strlen(content)), 6) AS avg_bytes,
+round(count(*) * avg(length(content)) / 4, 6) AS est_tokens FROM code_files GROUP BY 1""")
+def corpus_text_stats(spark, directory):
+    code = table(spark, directory, "code_files")
+    counts = code.groupBy("dataset").agg(F.count("*").alias("n_rows"))
+    return stats.estimate(code, counts, "dataset", "content")
+
+
+@query(f"""WITH g AS (SELECT coalesce(lower({strip_sql("category")}), 'none') AS kind, sum(coalesce(length(text), 0))::BIGINT AS total, count(*) AS n_rows FROM documents GROUP BY 1)
+SELECT *, round(total / greatest(sum(total) OVER (), 1), 6) AS share FROM g""")
+def category_rollup_share(spark, directory):
+    docs = table(spark, directory, "documents").select(F.coalesce(F.lower(text.strip(F.col("category"))), F.lit("none")).alias("kind"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return stats.rollup_share(docs, "kind", "n")
+
+
+@query("""SELECT coalesce(stage, 'all') AS stage, coalesce(dataset, 'all') AS dataset, count(*) AS n_rows, sum(coalesce(length(text), 0))::BIGINT AS n_chars
+FROM (SELECT CASE WHEN int_score >= 3 THEN 'anneal' ELSE 'main' END AS stage, dataset, text FROM documents) GROUP BY ROLLUP (stage, dataset)""")
+def stage_rule_rollup(spark, directory):
+    """Two levels of totals in one aggregation."""
+    docs = table(spark, directory, "documents").select(F.when(rules.row_rule(F.col("int_score"), "ge", 3), "anneal").otherwise("main").alias("stage"), "dataset", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    sums = docs.rollup("stage", "dataset").agg(F.count("*").alias("n_rows"), F.sum("n").cast("long").alias("n_chars"))
+    return sums.select(F.coalesce("stage", F.lit("all")).alias("stage"), F.coalesce("dataset", F.lit("all")).alias("dataset"), "n_rows", "n_chars")
+
+
+@query("""SELECT column_name, value, count(*) AS n_rows FROM (
+SELECT 'style' AS column_name, style AS value FROM kodcode_v1 UNION ALL SELECT 'subset', subset FROM kodcode_v1 UNION ALL SELECT 'gpt_difficulty', gpt_difficulty FROM kodcode_v1) GROUP BY ALL""")
+def category_counters(spark, directory):
+    return stats.category_counters(table(spark, directory, "kodcode_v1"), ["style", "subset", "gpt_difficulty"])
+
+
+@query("""SELECT CASE WHEN x IS NULL THEN 'none' WHEN isnan(x) THEN '1' WHEN x <= 0 THEN '0' WHEN x < 0.25 THEN '(0,.25)' WHEN x < 0.75 THEN '[.25,.75)' WHEN x < 1 THEN '[.75,1)' ELSE '1' END AS bucket, count(*) AS n_rows
+FROM (SELECT gpt_pass_percentage AS x FROM kodcode_v1) GROUP BY 1""")
+def bucket_histogram(spark, directory):
+    rows = table(spark, directory, "kodcode_v1").select(stats.pass_bucket(F.col("gpt_pass_percentage")).alias("bucket"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n_rows"))
+
+
+def _encoded(spark, directory):
+    docs = table(spark, directory, "documents")
+    bucket = keys.sha_bucket(F.concat(F.lit("id="), F.col("doc_id").cast("string")), SALT)
+    return docs.select(F.when(rules.row_rule(F.col("int_score"), "ge", 4), "anneal").otherwise("main").alias("stage"), keys.split_of(bucket, 0.05).alias("split"), "dataset", F.size(text.words(F.coalesce("text", F.lit("")))).alias("n"))
+
+
+WORDS_SQL = f"len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> ''))"
+ENCODED = f"SELECT CASE WHEN int_score >= 4 THEN 'anneal' ELSE 'main' END AS stage, CASE WHEN {BUCKET.format(chr(39) + 'id=' + chr(39) + ' || doc_id')} < 0.05 THEN 'val' ELSE 'train' END AS split, dataset, {WORDS_SQL} AS n FROM documents"
+
+
+@query(f"""WITH g AS (SELECT stage, split, dataset, sum(n)::BIGINT AS n_tokens, count(*) AS n_docs FROM ({ENCODED}) GROUP BY ALL)
+SELECT *, printf('%.2f%%', 100.0 * n_tokens / greatest(sum(n_tokens) OVER (PARTITION BY stage, split), 1)) AS pct_in_stage, printf('%.2f%%', 100.0 * n_tokens / greatest(sum(n_tokens) OVER (), 1)) AS pct_overall FROM g""")
+def mixture_shares(spark, directory):
+    return stats.mixture(_encoded(spark, directory), "n")
+
+
+@query(f"""SELECT stage, sum(CASE WHEN split = 'train' THEN n ELSE 0 END)::BIGINT AS train_n_tokens, count(*) FILTER (WHERE split = 'train') AS train_n_docs,
+sum(CASE WHEN split = 'val' THEN n ELSE 0 END)::BIGINT AS val_n_tokens, count(*) FILTER (WHERE split = 'val') AS val_n_docs FROM ({ENCODED}) GROUP BY 1""")
+def stage_totals(spark, directory):
+    return stats.stage_totals(_encoded(spark, directory), "n")
+
+
+@query(f"SELECT stage, dataset, split, sum(n)::BIGINT AS n_tokens, count(*) AS n_docs FROM ({ENCODED}) GROUP BY ALL HAVING sum(n) > 0 OR count(*) > 0")
+def manifest_unpivot(spark, directory):
+    rows = _encoded(spark, directory)
+    val = F.col("split") == "val"
+    results = rows.groupBy("stage", "dataset").agg(
+        F.sum(F.when(~val, F.col("n")).otherwise(0)).alias("train_n_tokens"), F.count_if(~val).alias("train_n_docs"), F.sum(F.when(val, F.col("n")).otherwise(0)).alias("val_n_tokens"), F.count_if(val).alias("val_n_docs"))
+    return stats.shard_manifest(results)
+
+
+# ---- keys, joins, duplicates, leaks
+
+
+@query("SELECT DISTINCT blob_id AS key FROM code_files WHERE dataset = 'stack_edu' INTERSECT SELECT blob_id FROM code_files WHERE dataset = 'starcoderdata'")
+def dup_key_intersect(spark, directory):
+    code = table(spark, directory, "code_files")
+    return relate.shared_keys(code.where("dataset = 'stack_edu'"), code.where("dataset = 'starcoderdata'"), "blob_id", "blob_id")
+
+
+@query("SELECT file_id FROM code_files a WHERE dataset = 'starcoderdata' AND NOT EXISTS (SELECT 1 FROM code_files b WHERE b.dataset = 'stack_edu' AND b.blob_id = a.blob_id)")
+def anti_join_key(spark, directory):
+    code = table(spark, directory, "code_files")
+    return relate.drop_keys(code.where("dataset = 'starcoderdata'"), code.where("dataset = 'stack_edu'"), "blob_id", "blob_id").select("file_id")
+
+
+@query("SELECT file_id, repo_name FROM code_files a WHERE NOT EXISTS (SELECT 1 FROM code_files b WHERE b.int_score >= 4 AND b.max_stars_repo_name = a.repo_name)")
+def anti_join_null_kept(spark, directory):
+    code = table(spark, directory, "code_files")
+    return relate.drop_keys(code, code.where("int_score >= 4"), "repo_name", "max_stars_repo_name").select("file_id", "repo_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def anti_join_orders(spark, directory):
+    """J2 on two large keyed tables."""
+    return relate.drop_keys(table(spark, directory, "orders"), table(spark, directory, "lineitem").where("l_quantity > 45"), "o_orderkey", "l_orderkey").select("o_orderkey")
+
+
+@query("SELECT max_stars_repo_name AS key FROM code_files WHERE max_stars_repo_name IS NOT NULL UNION SELECT repo_name FROM code_files WHERE repo_name IS NOT NULL")
+def union_keys(spark, directory):
+    code = table(spark, directory, "code_files")
+    return relate.union_keys((code, "max_stars_repo_name"), (code, "repo_name"))
+
+
+@query(f"SELECT sha1({norm_sql('text')}) AS text_hash, count(*) AS n_rows, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def exact_dedup_sha1(spark, directory):
+    return relate.duplicate_hashes(table(spark, directory, "documents"), "text", "doc_id")
+
+
+@query("SELECT min(file_id) AS file_id FROM code_files WHERE content IS NOT NULL GROUP BY sha1(content)")
+def first_of_duplicates(spark, directory):
+    code = table(spark, directory, "code_files")
+    return relate.first_of_duplicates(code, F.sha1("content"), "file_id").select("file_id")
+
+
+INDEX = f"SELECT {norm_sql('prompt')} AS norm, arg_max(dataset || ':' || task_id, item_id) AS label, min(item_id) AS ord FROM bench_items WHERE {norm_sql('prompt')} <> '' GROUP BY 1"
+TEXTS = f"""SELECT id, field, pos, norm FROM (
+SELECT row_id AS id, 'question' AS field, 0 AS pos, {norm_sql('question')} AS norm FROM kodcode_v1
+UNION ALL SELECT row_id, 'metadata.original_instruction', 1, {norm_sql('metadata.original_instruction')} FROM kodcode_v1
+UNION ALL SELECT row_id, 'test_info.' || (i - 1) || '.docstring', 2 * i, {norm_sql('test_info[i].docstring')} FROM (SELECT row_id, test_info, unnest(range(1, len(test_info) + 1)) AS i FROM kodcode_v1)
+UNION ALL SELECT row_id, 'test_info.' || (i - 1) || '.function_declaration', 2 * i + 1, {norm_sql('test_info[i].function_declaration')} FROM (SELECT row_id, test_info, unnest(range(1, len(test_info) + 1)) AS i FROM kodcode_v1)) WHERE norm <> ''"""
+NEAR = "length(t.norm) >= 120 AND length(b.norm) >= 120 AND least(length(t.norm), length(b.norm)) / greatest(length(t.norm), length(b.norm)) >= 0.85 AND (contains(t.norm, b.norm) OR contains(b.norm, t.norm))"
+
+
+@query(f"WITH b AS ({INDEX}), t AS ({TEXTS}) SELECT t.id, t.field, t.pos::INT AS pos, b.label FROM t JOIN b USING (norm)")
+def leak_exact(spark, directory):
+    index = relate.bench_index(table(spark, directory, "bench_items"))
+    return relate.exact_leaks(relate.leak_candidates(table(spark, directory, "kodcode_v1")), index)
+
+
+@query(f"WITH b AS ({INDEX}), t AS ({TEXTS}) SELECT t.id, t.field, t.pos::INT AS pos, arg_min(b.label, b.ord) AS label FROM t JOIN b ON {NEAR} GROUP BY 1, 2, 3")
+def leak_near(spark, directory):
+    index = relate.bench_index(table(spark, directory, "bench_items"))
+    return relate.near_leaks(relate.leak_candidates(table(spark, directory, "kodcode_v1")), index)
+
+
+LEAKS = f"""SELECT id, arg_min(reason, pos * 2 + near) AS reason FROM (
+SELECT t.id, t.pos, 0 AS near, 'leak:' || t.field || ':' || b.label AS reason FROM t JOIN b USING (norm)
+UNION ALL SELECT t.id, t.pos, 1, 'near_leak:' || t.field || ':' || arg_min(b.label, b.ord) FROM t JOIN b ON {NEAR} GROUP BY t.id, t.pos, t.field) GROUP BY id"""
+
+
+@query(f"WITH b AS ({INDEX}), t AS ({TEXTS}) {LEAKS}")
+def leak_scan(spark, directory):
+    index = relate.bench_index(table(spark, directory, "bench_items"))
+    return relate.first_leak(relate.leak_candidates(table(spark, directory, "kodcode_v1")), index)
+
+
+@query("""SELECT file_id, CASE WHEN nullif(max_stars_repo_name, '') IS NOT NULL AND nullif(max_stars_repo_path, '') IS NOT NULL THEN 'max_stars_repo_name=' || max_stars_repo_name || '|max_stars_repo_path=' || max_stars_repo_path
+WHEN nullif(blob_id, '') IS NOT NULL THEN 'blob_id=' || blob_id WHEN nullif(max_stars_repo_name, '') IS NOT NULL THEN 'max_stars_repo_name=' || max_stars_repo_name
+WHEN nullif(max_stars_repo_path, '') IS NOT NULL THEN 'max_stars_repo_path=' || max_stars_repo_path WHEN nullif(repo_name, '') IS NOT NULL THEN 'repo_name=' || repo_name ELSE 'src=code_files|row=' || file_id END AS doc_key FROM code_files""")
+def doc_key(spark, directory):
+    code = table(spark, directory, "code_files")
+    return code.select("file_id", keys.document_key(code.columns, F.lit("code_files"), F.col("file_id")).alias("doc_key"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {BUCKET.format(chr(39) + 'id=' + chr(39) + ' || doc_id')} < 0.1 THEN 'val' ELSE 'train' END AS split FROM documents")
+def hash_split_sha256(spark, directory):
+    bucket = keys.sha_bucket(F.concat(F.lit("id="), F.col("doc_id").cast("string")), SALT)
+    return table(spark, directory, "documents").select("doc_id", keys.split_of(bucket, 0.1).alias("split"))
+
+
+@query()
+def hash_split_blake2b(spark, directory):
+    ship_by_value()
+    bucket = keys.blake_bucket(SALT)(F.concat(F.lit("id="), F.col("doc_id").cast("string")))
+    return table(spark, directory, "documents").select("doc_id", keys.split_of(bucket, 0.1).alias("split"))
+
+
+@query("SELECT doc_id, (doc_id % 4)::INT AS worker FROM documents")
+def rank_shard(spark, directory):
+    return table(spark, directory, "documents").select("doc_id", keys.rank_shard(F.col("doc_id"), 4).cast("int").alias("worker"))
+
+
+@query("SELECT item_id, floor(((item_id - 1 + 1) * 7 - 1) / (SELECT count(*) FROM bench_items))::BIGINT AS shard FROM bench_items")
+def contiguous_shard(spark, directory):
+    bench = table(spark, directory, "bench_items")
+    return bench.select("item_id", keys.contiguous_shard(F.col("item_id") - 1, F.lit(bench.count()), 7).cast("long").alias("shard"))
+
+
+# ---- order, budgets, samples
+
+
+@query("SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM documents")
+def periodic_split(spark, directory):
+    return order.periodic_split(table(spark, directory, "documents").select("doc_id"), ["doc_id"], 0.1)
+
+
+@query("""SELECT doc_id, n FROM (SELECT doc_id, coalesce(length(text), 0) AS n, row_number() OVER w AS rn, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WINDOW w AS (ORDER BY doc_id))
+WHERE rn = 1 OR (rn - 1 < 900 AND before < 400000)""")
+def budget_cut(spark, directory):
+    docs = table(spark, directory, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    return order.budget_cut(docs, ["doc_id"], F.col("n"), 900, 400_000)
+
+
+@query("""WITH t AS (SELECT dataset, doc_id, text, coalesce(sum(length(text)) OVER (PARTITION BY dataset ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WHERE text <> ''),
+u AS (SELECT dataset, doc_id, substr(text, 1, greatest(0, least(length(text), 50000 - before))::INT) AS text FROM t),
+v AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY dataset, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u WHERE text <> '')
+SELECT dataset, doc_id, md5(substr(text, 1, greatest(0, least(length(text), 150000 - before))::INT)) AS digest FROM v WHERE before < 150000""")
+def two_level_budget(spark, directory):
+    docs = table(spark, directory, "documents").where("text <> ''").select("dataset", "doc_id", "text")
+    return order.two_level_budget(docs, "dataset", ["doc_id"], "text", 50_000, 150_000).select("dataset", "doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3")
+def per_group_limit(spark, directory):
+    return order.limit_per_group(table(spark, directory, "documents").select("source", "doc_id"), "source", ["doc_id"], 3)
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 100")
+def seeded_shuffle_limit(spark, directory):
+    return order.reservoir_sample(table(spark, directory, "documents").select("doc_id"), "doc_id", 100, 7)
+
+
+@query("""WITH t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT source, doc_id FROM t WHERE n <= 4 OR list_contains([round_even(i * (n - 1) / 3.0, 0)::BIGINT for i in [0, 1, 2, 3]], r)""")
+def even_sample(spark, directory):
+    docs = table(spark, directory, "documents").select("source", "doc_id")
+    return order.even_sample(docs, "source", ["doc_id"], 4).select("source", "doc_id")
+
+
+@query("""WITH t AS (SELECT row_number() OVER (ORDER BY item_id, p) - 1 AS p, b FROM (SELECT item_id, unnest(range(0, strlen(prompt))) AS p, unnest([get_byte for get_byte in list_transform(range(0, strlen(prompt)), lambda i: ('0x' || substr(hex(encode(prompt)), (2 * i + 1)::INT, 2))::INT)]) AS b FROM bench_items WHERE prompt <> '')),
+n AS (SELECT count(*) AS n FROM t)
+SELECT (p // 512)::BIGINT AS block_id, sum(b)::BIGINT AS sum_x, min(p) AS first FROM t, n WHERE p // 512 < (n - 1) // 512 GROUP BY 1""")
+def pack_blocks(spark, directory):
+    """The bytes of the prompts as one stream, in blocks of 512."""
+    bench = table(spark, directory, "bench_items").where("prompt <> ''")
+    digits = F.hex(F.encode("prompt", "UTF-8"))
+    ids = F.transform(F.sequence(F.lit(1), F.octet_length("prompt")), lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    blocks = order.pack_stream(bench.select("item_id", ids.alias("ids")), ["item_id"], "ids", 512)
+    return blocks.select("block_id", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_x"), (F.col("block_id") * 512).alias("first"))
+
+
+# ---- texts, conversations, records
+
+
+@query(f"SELECT doc_id, md5({norm_sql('text')}) AS norm_hash, length({norm_sql('text')}) AS n FROM documents WHERE text IS NOT NULL")
+def normalize_text(spark, directory):
+    norm = text.normalize_text(F.col("text"))
+    return table(spark, directory, "documents").where("text is not null").select("doc_id", F.md5(norm).alias("norm_hash"), F.length(norm).cast("long").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN round(1 - len(list_distinct(w)) / len(w), 6) ELSE 0 END AS ratio FROM t""")
+def repetition_ratio(spark, directory):
+    return table(spark, directory, "documents").where("text is not null").select("doc_id", F.round(text.repetition_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query("SELECT pair_id, md5(CASE WHEN regexp_matches(a, '(?is)```(?:python|py)?\\s*(.*?)```') THEN regexp_extract(a, '(?is)```(?:python|py)?\\s*(.*?)```', 1) ELSE a END) AS code_hash FROM (SELECT pair_id, coalesce(response, output) AS a FROM sft_pairs) WHERE a IS NOT NULL")
+def code_fence_extract(spark, directory):
+    pairs = table(spark, directory, "sft_pairs").select("pair_id", F.coalesce("response", "output").alias("a")).where("a is not null")
+    return pairs.select("pair_id", F.md5(text.fenced_code(F.col("a"))).alias("code_hash"))
+
+
+@query("SELECT DISTINCT source, regexp_replace(replace(source, '/', '__'), '[^\\p{L}\\p{N}_.\\-]', '_', 'g') AS safe FROM documents WHERE source IS NOT NULL")
+def safe_names(spark, directory):
+    return table(spark, directory, "documents").where("source is not null").select("source", text.safe_name(F.col("source")).alias("safe")).distinct()
+
+
+PAIR_BLANK = f"nullif({strip_sql('{0}')}, '')"
+
+
+def blank_sql(c: str) -> str:
+    return f"nullif({strip_sql(c)}, '')"
+
+
+USER = f"CASE WHEN prompt IS NOT NULL AND response IS NOT NULL THEN {strip_sql('prompt')} WHEN instruction IS NOT NULL AND output IS NOT NULL THEN concat_ws(chr(10), {strip_sql('instruction')}, {blank_sql('input')}) END"
+ANSWER = f"CASE WHEN prompt IS NOT NULL AND response IS NOT NULL THEN {strip_sql('response')} WHEN instruction IS NOT NULL AND output IS NOT NULL THEN {strip_sql('output')} END"
+
+
+def _turns(spark, directory):
+    pairs = table(spark, directory, "sft_pairs")
+    turns = chat.turns_of_pair(*[F.col(c) for c in ("prompt", "response", "instruction", "input", "output")])
+    return pairs.select("pair_id", turns.alias("turns")).where("turns is not null")
+
+
+@query(f"""SELECT pair_id, md5(concat_ws(chr(10), CASE WHEN u <> '' THEN 'user: ' || u END, CASE WHEN a <> '' THEN 'assistant: ' || a END)) AS digest
+FROM (SELECT pair_id, {strip_sql('(' + USER + ')')} AS u, {ANSWER} AS a FROM sft_pairs) WHERE u IS NOT NULL""")
+def message_join(spark, directory):
+    return _turns(spark, directory).select("pair_id", F.md5(chat.join_turns(F.col("turns"))).alias("digest"))
+
+
+@query(f"""SELECT pair_id, md5('<|im_start|>user' || chr(10) || u || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || a || '<|im_end|>' || chr(10)) AS digest
+FROM (SELECT pair_id, {strip_sql('(' + USER + ')')} AS u, {ANSWER} AS a FROM sft_pairs) WHERE u IS NOT NULL""")
+def chat_render_chatml(spark, directory):
+    return _turns(spark, directory).select("pair_id", F.md5(chat.render(F.col("turns"))).alias("digest"))
+
+
+@query(f"""SELECT pair_id, md5('User:' || chr(10) || u || chr(10) || 'Assistant:' || chr(10) || a || chr(10)) AS digest
+FROM (SELECT pair_id, {strip_sql('(' + USER + ')')} AS u, {ANSWER} AS a FROM sft_pairs) WHERE u IS NOT NULL""")
+def chat_render_plain(spark, directory):
+    return _turns(spark, directory).select("pair_id", F.md5(chat.render(F.col("turns"), "plain_eot")).alias("digest"))
+
+
+@query(f"SELECT pair_id, md5('user:' || chr(10) || u || chr(10) || 'Assistant:' || chr(10)) AS digest FROM (SELECT pair_id, {strip_sql('(' + USER + ')')} AS u FROM sft_pairs) WHERE u IS NOT NULL")
+def prompt_render(spark, directory):
+    users = F.filter("turns", lambda t: t["role"] != "assistant")
+    return _turns(spark, directory).select("pair_id", F.md5(chat.render(users, "plain_lower", True)).alias("digest"))
+
+
+@query(f"""SELECT pair_id, greatest(n - 1, 0) AS n_inputs, n_answer AS n_supervised FROM (SELECT pair_id, length('user:x' || u || 'xassistant:x' || a || 'x') AS n, length(a) + 1 AS n_answer
+FROM (SELECT pair_id, {strip_sql('(' + USER + ')')} AS u, {ANSWER} AS a FROM sft_pairs) WHERE u IS NOT NULL)""")
+def assistant_mask_counts(spark, directory):
+    """X9 with one id per character."""
+    parts = chat.rendered_parts(F.col("turns"), "plain_lower")
+    spelt = _turns(spark, directory).select("pair_id", parts.alias("p"))
+    ids = F.flatten(F.transform("p", lambda p: F.transform(F.sequence(F.lit(1), F.length(p["text"])), lambda i: F.lit(1)))) if False else F.array_repeat(F.lit(1), F.aggregate("p", F.lit(0), lambda n, p: n + F.length(p["text"])))
+    marks = F.flatten(F.transform("p", lambda p: F.array_repeat(p["supervised"], F.length(p["text"]))))
+    labelled = spelt.select("pair_id", chat.shifted_labels(ids, marks, 2**30).alias("e"))
+    return labelled.select("pair_id", F.size("e.input_ids").cast("long").alias("n_inputs"), F.size(F.filter("e.labels", lambda x: x >= 0)).cast("long").alias("n_supervised"))
+
+
+@query(f"""SELECT pair_id, md5(coalesce({blank_sql('output')}, CASE WHEN instruction IS NOT NULL AND output IS NOT NULL THEN concat_ws(chr(10), {strip_sql('instruction')}, {blank_sql('input')}, {strip_sql('output')}) END)) AS digest FROM sft_pairs""")
+def text_choice(spark, directory):
+    """P1 with its quirk: an output that is not blank is the text by itself."""
+    pairs = table(spark, directory, "sft_pairs")
+    return pairs.select("pair_id", F.md5(text_column(pairs)).alias("digest"))
+
+
+STYLE = f"CASE WHEN lower({strip_sql('style')}) IN ('instruct', 'complete') THEN NULL ELSE 'style:' || coalesce(nullif(lower({strip_sql('style')}), ''), 'missing') END"
+TRUE_SQL = f"coalesce(lower({strip_sql('r1_correctness')}) = 'true', false)"
+
+
+def _leaks(spark, directory):
+    exercises = table(spark, directory, "kodcode_v1")
+    return exercises, relate.first_leak(relate.leak_candidates(exercises), relate.bench_index(table(spark, directory, "bench_items")))
+
+
+@query(f"""WITH b AS ({INDEX}), t AS ({TEXTS}), l AS ({LEAKS})
+SELECT row_id, CASE WHEN {STYLE} IS NOT NULL THEN {STYLE} WHEN NOT {TRUE_SQL} THEN 'r1_incorrect' WHEN coalesce({strip_sql('question')}, '') = '' THEN 'missing_question' WHEN l.reason IS NOT NULL THEN l.reason
+WHEN coalesce({strip_sql('solution')}, '') = '' THEN 'missing_solution' ELSE 'kept' END AS reason FROM kodcode_v1 LEFT JOIN l ON l.id = row_id""")
+def sft_decision_reasons(spark, directory):
+    """F25 for SFT rows; solutions hold no fences here, and the syntax test has no SQL form."""
+    exercises, leaks = _leaks(spark, directory)
+    return records.sft_decisions(exercises, leaks, STYLES, syntax=False).select("row_id", "reason")
+
+
+@query()
+def sft_records(spark, directory):
+    ship_by_value()
+    exercises, leaks = _leaks(spark, directory)
+    return records.sft_records(records.sft_decisions(exercises, leaks, STYLES))
+
+
+FORBID = records.FORBIDDEN.removeprefix("(?U)")
+TESTS = records.TEST_FUNCTION.removeprefix("(?U)")
+QUESTION_SQL, TEST_SQL = f"coalesce({strip_sql('question')}, '')", f"coalesce({strip_sql('test')}, '')"
+
+
+@query(f"""WITH b AS ({INDEX}), t AS ({TEXTS}), l AS ({LEAKS})
+SELECT row_id, CASE WHEN {STYLE} IS NOT NULL THEN {STYLE} WHEN {QUESTION_SQL} = '' THEN 'missing_question' WHEN length({QUESTION_SQL}) > 6000 THEN 'question_too_long'
+WHEN regexp_extract({QUESTION_SQL}, '{FORBID}') <> '' THEN 'sandbox_incompatible_question:' || regexp_extract({QUESTION_SQL}, '{FORBID}')
+WHEN {TEST_SQL} = '' THEN 'missing_test' WHEN length({TEST_SQL}) > 200000 THEN 'test_too_long' WHEN regexp_extract({TEST_SQL}, '{FORBID}') <> '' THEN 'sandbox_incompatible_test:' || regexp_extract({TEST_SQL}, '{FORBID}')
+WHEN len(regexp_extract_all({TEST_SQL}, '{TESTS}')) < 1 THEN 'too_few_test_functions' WHEN NOT coalesce(gpt_pass_percentage >= 0.1, false) THEN 'gpt_pass_percentage_too_low' WHEN l.reason IS NOT NULL THEN l.reason ELSE 'kept' END AS reason,
+len(regexp_extract_all({TEST_SQL}, '{TESTS}'))::INT AS num_tests FROM kodcode_v1 LEFT JOIN l ON l.id = row_id""")
+def rl_decision_reasons(spark, directory):
+    exercises, leaks = _leaks(spark, directory)
+    return records.rl_decisions(exercises, leaks, STYLES, low=0.1).select("row_id", "reason", "num_tests")
+
+
+@query()
+def rl_records(spark, directory):
+    exercises, leaks = _leaks(spark, directory)
+    return records.rl_records(records.rl_decisions(exercises, leaks, STYLES))
+
+
+@query(f"WITH r AS (SELECT row_id, CASE WHEN {STYLE} IS NOT NULL THEN {STYLE} WHEN {QUESTION_SQL} = '' THEN 'missing_question' WHEN {TEST_SQL} = '' THEN 'missing_test' ELSE 'kept' END AS reason FROM kodcode_v1) SELECT reason, count(*) AS n_rows FROM r GROUP BY 1")
+def reason_counts(spark, directory):
+    rows = table(spark, directory, "kodcode_v1")
+    reason = rules.first_reason((~rules.label_in(F.col("style"), STYLES), records.style_reason(F.col("style"))), (records.text_of(F.col("question")) == "", "missing_question"), (records.text_of(F.col("test")) == "", "missing_test"))
+    return stats.reason_counts(rows.select(reason.alias("reason")))
+
+
+@query(f"SELECT row_id, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter(list_transform(coalesce(test_info, []), lambda t: coalesce({strip_sql('t.function_name')}, '')), lambda n: n <> ''), lambda n: [n])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ',') AS names FROM kodcode_v1")
+def entry_points(spark, directory):
+    return table(spark, directory, "kodcode_v1").select("row_id", F.array_join(records.entry_points(F.col("test_info")), ",").alias("names"))
+
+
+@query(f"""SELECT item_id, md5('user:' || chr(10) || CASE WHEN dataset LIKE '%mbpp%' THEN '{records.SIGNED_INSTRUCTION}' ELSE '{records.COMPLETE_INSTRUCTION}' END || chr(10) || chr(10) || regexp_replace(prompt, '{WS}+$', '') || chr(10) || 'assistant:' || chr(10)) AS digest FROM bench_items""")
+def bench_prompts(spark, directory):
+    bench = table(spark, directory, "bench_items")
+    kind = F.when(F.lower("dataset").contains("mbpp"), "mbpp").otherwise("humaneval")
+    return bench.select("item_id", F.md5(records.bench_prompt(kind, F.col("prompt"), F.lit(""))).alias("digest"))
+
+
+@query("""SELECT item_id, md5(CASE WHEN dataset LIKE '%mbpp%' THEN 'def f(x):' || chr(10) || '    return x' || chr(10) || chr(10) || trim(test, chr(10)) || chr(10) || chr(10) || 'print(''ALL TESTS PASSED'')' || chr(10)
+ELSE prompt || 'def f(x):' || chr(10) || '    return x' || chr(10) || chr(10) || test || chr(10) || chr(10) || 'check(' || entry_point || ')' || chr(10) || 'print(''ALL TESTS PASSED'')' || chr(10) END) AS digest FROM bench_items""")
+def test_programs(spark, directory):
+    """P14, P16, P21 with one fixed completion."""
+    samples = records.bench_samples(table(spark, directory, "bench_items").withColumn("test", F.col("test")))
+    ids = table(spark, directory, "bench_items").select("item_id", "dataset", F.col("task_id").cast("string").alias("task_id"))
+    program = records.test_program(F.col("kind"), F.col("prompt"), F.lit("```python\ndef f(x):\n    return x\n```"), F.col("entry_point"), F.col("test"), F.col("test_list"))
+    return samples.join(ids, ["dataset", "task_id"]).select("item_id", F.md5(program).alias("digest"))
+
+
+@query("SELECT row_id, coalesce(trim(regexp_extract(solution, '(?m)^\\s*def\\s+[A-Za-z_]\\w*\\s*\\([^\\n)]*\\)\\s*(?:->\\s*[^:]+\\s*)?:'), chr(10) || ' '), '') AS signature FROM kodcode_v1")
+def signatures(spark, directory):
+    return table(spark, directory, "kodcode_v1").select("row_id", text.first_signature(F.col("solution")).alias("signature"))
+
+
+# ---- evaluation, rewards, schedules; events stand for completions of a task (user) with a reward (value)
+
+
+def _completions(spark, directory):
+    events = table(spark, directory, "events")
+    return events.select(F.col("event_type").alias("dataset"), F.col("user_id").alias("task_id"), (F.col("event_id") % 3 == 0).alias("passed"), F.when(F.col("event_id") % 11 == 0, "timeout").otherwise("success").alias("status"), "event_id", "value", "ts")
+
+
+COMPLETIONS = "(SELECT event_type AS dataset, user_id AS task_id, event_id % 3 = 0 AS passed, CASE WHEN event_id % 11 = 0 THEN 'timeout' ELSE 'success' END AS status, event_id, value, ts FROM events)"
+
+
+def _passk(k: int) -> str:
+    return f"CASE WHEN n <= 0 OR c <= 0 THEN 0.0 WHEN n - c < {k} THEN 1.0 ELSE 1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(n - c + 1, n + 1), lambda v: 1 - {k}.0::DOUBLE / v)), lambda a, b: a * b) END"
+
+
+PER_TASK = f"SELECT dataset, task_id, count(*) AS n, count(*) FILTER (WHERE passed) AS c, count(*) FILTER (WHERE status <> 'success') AS e FROM {COMPLETIONS} GROUP BY ALL"
+SUMMARY = f"SELECT dataset, count(*) AS n_tasks, sum(n)::BIGINT AS n_completions, sum(e)::BIGINT AS n_errors, round(sum(e) / sum(n), 6) AS error_rate, round(avg({_passk(1)}), 6) AS pass_at_1, round(avg({_passk(5)}), 6) AS pass_at_5 FROM ({PER_TASK}) GROUP BY 1"
+
+
+@query(f"SELECT dataset, task_id, round({_passk(5)}, 6) AS pass_at_5 FROM ({PER_TASK})")
+def pass_at_k(spark, directory):
+    tasks = _completions(spark, directory).groupBy("dataset", "task_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("c"))
+    return tasks.select("dataset", "task_id", F.round(evalmetrics.pass_at_k(F.col("n"), F.col("c"), 5), 6).alias("pass_at_5"))
+
+
+def _summary(spark, directory):
+    raw = evalmetrics.pass_summary(_completions(spark, directory), [1, 5])
+    return raw.select("dataset", "n_tasks", "n_completions", "n_errors", *[F.round(c, 6).alias(c) for c in ("error_rate", "pass_at_1", "pass_at_5")])
+
+
+@query(SUMMARY)
+def dataset_summary(spark, directory):
+    return _summary(spark, directory)
+
+
+@query(f"SELECT round(coalesce(avg(pass_at_1), 0), 6) AS pass_at_1, round(coalesce(avg(pass_at_5), 0), 6) AS pass_at_5 FROM ({SUMMARY})")
+def macro_average(spark, directory):
+    mean = evalmetrics.macro_average(_summary(spark, directory), ["pass_at_1", "pass_at_5"])
+    return mean.select(*[F.round(c, 6).alias(c) for c in mean.columns])
+
+
+@query("""SELECT event_id, round(CASE WHEN s <= 1e-8 THEN 0 ELSE (value - m) / (s + 1e-8) END, 6) AS advantage FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id))""")
+def group_advantages(spark, directory):
+    rows = evalmetrics.group_advantages(table(spark, directory, "events").select("event_id", "user_id", "value"), "user_id", "value")
+    return rows.select("event_id", F.round("advantage", 6).alias("advantage"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, bool_or(value > 480) OVER w AS a, bool_or(value <= 480) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id)) WHERE a AND b")
+def dapo_group_filter(spark, directory):
+    events = table(spark, directory, "events").select("event_id", "user_id", (F.col("value") - 480).alias("reward"))
+    return evalmetrics.mixed_groups(events, "user_id", "reward").select("event_id")
+
+
+@query("""WITH g AS (SELECT user_id, sum(value - 480) AS s, count(*) AS n, count(*) FILTER (WHERE value - 480 > 0) AS p FROM events GROUP BY 1)
+SELECT round(sum(s) / sum(n), 6) AS reward_mean, round(sum(CASE WHEN p > 0 AND p < n THEN n ELSE 0 END) / sum(n), 6) AS keep_fraction, count(*) FILTER (WHERE p = n) AS all_positive, count(*) FILTER (WHERE p > 0 AND p < n) AS mixed, count(*) FILTER (WHERE p = 0) AS none_positive FROM g""")
+def rollout_stats(spark, directory):
+    events = table(spark, directory, "events").select("user_id", (F.col("value") - 480).alias("reward"))
+    out = evalmetrics.rollout_stats(events, "user_id", "reward")
+    return out.select(F.round("reward_mean", 6).alias("reward_mean"), F.round("keep_fraction", 6).alias("keep_fraction"), "all_positive", "mixed", "none_positive")
+
+
+@query("SELECT event_id, round(value - CASE WHEN event_id % 700 >= 512 THEN 0.5 ELSE 0 END, 6) AS reward FROM events")
+def overlong_penalty(spark, directory):
+    reward = evalmetrics.overlong_penalty(F.col("value"), F.col("event_id") % 700, 512, 0.5)
+    return table(spark, directory, "events").select("event_id", F.round(reward, 6).alias("reward"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, CASE WHEN contains(text, 'def ') THEN 1.0 ELSE 0.0 END AS a, CASE WHEN regexp_matches(text, '[0-9]+ percent') THEN 1.0 ELSE 0.0 END AS b, CASE WHEN length(text) BETWEEN 100 AND 5000 THEN 1.0 ELSE 0.0 END AS c,
+CASE WHEN contains(text, '```python') AND (length(text) - length(replace(text, '```', ''))) / 3 >= 2 THEN 1.0 ELSE 0.0 END AS d, 1 - least(1.0, CASE WHEN len(w) > 0 THEN 1 - len(list_distinct(w)) / len(w) ELSE 0 END / 0.3) AS e FROM t)
+SELECT doc_id, round(a + 0.5 * b + 0.25 * c + d + 2 * least(e, 0.8), 6) AS score FROM r""")
+def composite_reward(spark, directory):
+    plan = [{"name": "contains", "kwargs": {"pattern": "def "}}, {"name": "regex", "weight": 0.5, "kwargs": {"pattern": "[0-9]+ percent"}}, {"name": "length", "weight": 0.25, "kwargs": {"min_chars": 100, "max_chars": 5000}},
+            {"name": "code_block", "kwargs": {"language": "python"}}, {"name": "repeat_penalty", "weight": 2.0, "clip_max": 0.8}]
+    score, _ = rewards.composite(F.col("text"), plan)
+    return table(spark, directory, "documents").where("text is not null").select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query("""SELECT event_type, event_id, round(value, 6) AS value, round(max(value) OVER w, 6) AS best, coalesce(value > max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def best_so_far(spark, directory):
+    events = table(spark, directory, "events").select("event_type", "event_id", "value")
+    out = evalmetrics.best_so_far(events, "event_id", "value", ["event_type"])
+    return out.select("event_type", "event_id", F.round("value", 6).alias("value"), F.round("best", 6).alias("best"), "is_best")
+
+
+@query("""SELECT step, CASE WHEN step >= 890 THEN 'anneal' ELSE 'main' END AS stage, round(CASE WHEN step < 50 THEN 0.02 * step / 50.0 WHEN step < 890 THEN 0.02 ELSE 0.002 + 0.018 * CASE WHEN step >= 1000 THEN 0 ELSE sqrt(1 - (step - 890) / 110.0) END END, 9) AS lr_wsd,
+round(CASE WHEN step < 50 THEN 0.02 * step / 50.0 ELSE 0.002 + 0.018 * 0.5 * (1 + cos(pi() * (step - 50) / 950.0)) END, 9) AS lr_cosine, round(CASE WHEN step < 50 THEN 0.02 * (step + 1) / 50.0 WHEN step >= 1000 THEN 0.002 ELSE 0.002 + 0.5 * (1 + cos(pi() * (step - 50) / 950.0)) * 0.018 END, 9) AS lr_small, least(1000, step + 128)::BIGINT AS next_stop FROM range(0, 1001) t(step)""")
+def lr_schedule(spark, directory):
+    step = F.col("id")
+    return spark.range(0, 1001).select(
+        step.alias("step"), schedules.stage_of_step(step, 1000, 0.89).alias("stage"), F.round(schedules.warmup_stable_decay(step, 1000, 50, 0.89, 0.02, 0.002), 9).alias("lr_wsd"), F.round(schedules.warmup_decay(step, 1000, 50, 0.02, 0.002), 9).alias("lr_cosine"),
+        F.round(schedules.warmup_cosine(step, 1000, 50, 0.02, 0.002), 9).alias("lr_small"), schedules.next_stop(step, 128, 1000).alias("next_stop"),
+    )
+
+
+# ---- subword tokenizers
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS word FROM documents) GROUP BY 1")
+def word_counts(spark, directory):
+    return subword.word_counts(table(spark, directory, "documents"), "text", "doc_id", r"[\p{L}\p{N}_]+").select("word", "n")
+
+
+@query("""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(prompt, '[\\p{L}\\p{N}_]+')) AS word FROM bench_items) GROUP BY 1)
+SELECT a, b, sum(n)::BIGINT AS n FROM (SELECT n, word[i::INT] AS a, word[(i + 1)::INT] AS b FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM w)) GROUP BY ALL""")
+def pair_counts(spark, directory):
+    words = subword.word_counts(table(spark, directory, "bench_items"), "prompt", "item_id", r"[\p{L}\p{N}_]+")
+    return subword.pair_counts(words)
+
+
+@query("""WITH l AS (SELECT unnest(string_split(prompt, chr(10))) AS line FROM bench_items), s AS (SELECT line, unnest(range(1, length(line))) AS i FROM l), k AS (SELECT line, i, unnest(range(2, least(8, length(line) - i + 1) + 1)) AS k FROM s),
+g AS (SELECT substr(line, i::INT, k::INT) AS piece, count(*) AS n FROM k GROUP BY 1) SELECT piece, n FROM g ORDER BY n DESC, piece LIMIT 200""")
+def substring_topk(spark, directory):
+    counts = subword.substring_counts(table(spark, directory, "bench_items"), "prompt", 8)
+    return counts.orderBy(F.desc("n"), "piece").limit(200)
+
+
+def _trained(kind: str):
+    def run(spark, directory):
+        bench = table(spark, directory, "bench_items")
+        if kind == "unigram":
+            model = subword.train_unigram(bench, "prompt", 400, rounds=1, seeds=2000)
+        elif kind == "wordpiece":
+            model = subword.train_wordpiece(subword.gather_words(subword.word_counts(bench, "prompt", "item_id", subword.WORD, lower=True)), 500)
+        else:
+            model = subword.train_bpe(subword.gather_words(subword.word_counts(bench, "prompt", "item_id")), 600, kind)
+        ship_by_value()
+        return bench.select("item_id", F.size(subword.encode_column(F.col("prompt"), model)).alias("n_tokens"))
+
+    run.__doc__ = f"Trains a {kind} tokenizer on the prompts and counts their tokens."
+    return run
+
+
+for _kind in ("bpe", "byte_bpe", "wordpiece", "unigram"):
+    query(name=f"train_{_kind}")(_trained(_kind))
+
+
+@query()
+def stream_clean(spark, directory):
+    """T-1, T-2: the cleaning of documents as a stream of files, processed until none is left."""
+    schema = table(spark, directory, "documents").schema
+    from corpusmill.session import checkpoint_dir
+
+    base = checkpoint_dir(spark).removeprefix("file:").rstrip("/") if checkpoint_dir(spark).startswith("file:") else checkpoint_dir(spark)
+    target = tempfile.mkdtemp(prefix="stream-", dir=base) if not base.startswith(("hdfs:", "s3")) else f"{base}/stream-{spark.sparkContext.applicationId}"
+    stream = streaming.read_stream(spark, f"{directory}/documents.parquet*", schema)
+    streaming.run_available(streaming.clean(stream), f"{target}/out", f"{target}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{target}/out")
