@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import ship_by_value
+from corpusmill.session import cut_lineage, ship_by_value
 
 #: Letters that look alike, by class. The key is the class; a value gives one letter of each script that
 #: has one, in the order Latin, Cyrillic, Greek, Armenian ("." where the script has none).
@@ -196,7 +196,7 @@ def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Classes in which only one stored text occurs (the exact copies) are left out before anything is paired.
     Pairs are made between the stored variants of a class first and then given to the members of both.
     """
-    rows = form_classes(df, id_col, text_col)
+    rows = cut_lineage(form_classes(df, id_col, text_col))
     variants = rows.groupBy("form_key").agg(F.min("stored_key").alias("low"), F.max("stored_key").alias("high")).where("low <> high").select("form_key")
     members = rows.join(variants, "form_key", "left_semi")
     stored = members.select("form_key", "stored_key").distinct()
