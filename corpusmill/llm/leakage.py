@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,19 @@ def grams_of(words: list[str], n: int) -> list[str]:
     return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
+def pivots_of(known: frozenset) -> dict[str, tuple[int, ...]]:
+    """The rarest word of each n-gram, with the places at which it stands in one: only there need n-grams be looked up."""
+    frequency = Counter(word for gram in known for word in gram)
+    places: dict[str, set[int]] = {}
+    for gram in known:
+        at = min(range(len(gram)), key=lambda k: (frequency[gram[k]], k))
+        places.setdefault(gram[at], set()).add(at)
+    return {word: tuple(sorted(spots)) for word, spots in places.items()}
+
+
 def _passages(known: frozenset, n: int, margin: int):
     """mapInPandas function: (doc_id, text) -> (doc_id, passage, words, grams) for the places with known n-grams."""
+    pivots = pivots_of(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_of = make_words()
@@ -57,7 +69,9 @@ def _passages(known: frozenset, n: int, margin: int):
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 words = words_of(text)
-                hits = [i for i, g in enumerate(zip(*(words[k:] for k in range(n)))) if g in known]
+                spots = [i for i, word in enumerate(words) if word in pivots]
+                starts = {i - at for i in spots for at in pivots[words[i]]}
+                hits = sorted(i for i in starts if i >= 0 and tuple(words[i : i + n]) in known)
                 start = 0
                 while start < len(hits):
                     end = start
@@ -94,22 +108,22 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _aligned(prompts: dict[int, list[str]]):
-    """mapInPandas function: (item_id, doc_id, words) -> scores of the pair."""
+    """mapInPandas function: (item_id, words of a passage) -> scores of the pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for item, doc, text in zip(batch["item_id"], batch["doc_id"], batch["words"]):
+            for item, text in zip(batch["item_id"], batch["words"]):
                 ids = {w: k for k, w in enumerate(dict.fromkeys(prompts[item]))}
                 b = np.array([ids[w] for w in prompts[item]], dtype=np.int32)
                 a = np.array([ids.get(w, -1) for w in text.split(" ")], dtype=np.int32)
-                rows.append((item, doc, *align(a, b), len(b)))
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "score", "longest_run", "item_words"])
+                rows.append((item, text, *align(a, b), len(b)))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "score", "longest_run", "item_words"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12, margin: int = 40, rare_df: int = 1000, block_items: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12, margin: int = 24, rare_df: int = 1000, block_items: int = 5000) -> DataFrame:
     """Scores of all (item, document) pairs joined by a seed: item_id, doc_id, score, longest_run, item_words.
 
     ``docs`` has doc_id and text, ``items`` item_id and prompt. Items are taken in blocks of about
@@ -146,5 +160,7 @@ def _leaks_of_block(spark: SparkSession, docs: DataFrame, items: DataFrame, n: i
     seeds = rarest.union(own).distinct()
     pairs = hits.join(seeds, "gram").select("item_id", "doc_id", "passage").distinct()
     texts = pairs.join(passages.select("doc_id", "passage", "words"), ["doc_id", "passage"])
-    scored = texts.select("item_id", "doc_id", "words").mapInPandas(_aligned(prompts), "item_id long, doc_id long, score int, longest_run int, item_words int")
+    # Copies of a passage are aligned once.
+    distinct = texts.select("item_id", "words").distinct().mapInPandas(_aligned(prompts), "item_id long, words string, score int, longest_run int, item_words int")
+    scored = texts.select("item_id", "doc_id", "words").join(distinct, ["item_id", "words"])
     return scored.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
