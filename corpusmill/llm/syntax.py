@@ -48,6 +48,7 @@ LEXERS = {
 PY_WORDS = frozenset("False None True and as assert async await break case class continue def del elif else except finally for from global if import in is lambda match nonlocal not or pass raise return try type while with yield _".split())
 PY_OPENERS = frozenset("if elif else for while try except finally with def class async match case".split())
 PY_HEADED = frozenset("if elif else for while try finally with def class async".split())
+PY_NEVER_AFTER = frozenset("await lambda def class return pass del raise try while global nonlocal True False None break continue yield assert".split())
 PY_DANGLING = frozenset("import from in not and or is if elif for while def class lambda as del assert global nonlocal with await async".split())
 JS_WORDS = frozenset("async await break case catch class const continue debugger default delete do else export extends finally for from function get if import in instanceof let new of return set static super switch this throw try typeof var void while with yield as null true false".split())
 JS_AFTER = frozenset("in of instanceof extends as from".split())
@@ -165,12 +166,14 @@ def _python_rules():
     word_pairs = re.compile(r"\b(\w++)[ \t]++(?=([\w\x02]++))").findall
     after_close = re.compile(r"[)\]}\x02][ \t]*+(?=([A-Za-z_0-9]\w*+))").findall
     numbers = re.compile(r"[^\w.](?:\d[\da-fjxA-FJX_]*+[g-zG-Z]|0\d++(?![.eEjJ_]))").search
+    lone_operator = re.compile(r"[(\[{,]\s*+[,=]|[^=!<>:+\-*/%&|^@]=(?:\s*+[)\]},:]|\s++=)|:\s*+[)}]|[+\-/%^&|~]\s*+[,)\]}:]|\.\s*+[,)\]}:]").search
+    over_lines = re.compile(r"[\w\x02)\]}][ \t]*+\n\s*+(?=([\w\x02]++))").findall
     first_word = re.compile(r"[A-Za-z_]\w*").match
     starts = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_0123456789.@~+-*" + STRING + PAREN + BRACKET + BRACE)
 
     def rules(bare: str, top: str) -> str | None:
         for a, b in set(word_pairs(bare)):
-            if a not in PY_WORDS and b not in PY_WORDS:
+            if a not in PY_WORDS and (b not in PY_WORDS or b in PY_NEVER_AFTER):
                 return "neighbours"
             if a == "return" and b in ("if", "for", "while", "def", "class", "import"):
                 return "neighbours"
@@ -178,7 +181,9 @@ def _python_rules():
             return "neighbours"
         if "await" in bare and "async" not in bare:
             return "statement"
-        stack, open_block = [0], False
+        if lone_operator(bare):
+            return "statement"
+        stack, tries, open_block, body = [0], [], False, ""
         if "\\\n" in top:
             top = top.replace("\\\n", " ")
         for line in top.split("\n"):
@@ -200,6 +205,12 @@ def _python_rules():
             last = body[-1]
             head = first_word(body)
             head = head.group() if head else ""
+            if tries and indent <= tries[-1]:
+                if indent < tries[-1] or head not in ("except", "finally"):
+                    return "statement"
+                tries.pop()
+            if head == "try":
+                tries.append(indent)
             open_block = last == ":"
             if open_block:
                 if head not in PY_OPENERS:
@@ -214,7 +225,27 @@ def _python_rules():
                 return "legacy"
             if body[0] not in starts:
                 return "statement"
-        return "premature_end" if open_block else None
+        if open_block or tries or last_of(top)[:1] == "@":
+            return "premature_end"
+        # Within delimiters a line break is a blank: what stands on both sides must be joined by something.
+        if bare.count("\n") != top.count("\n"):
+            inner = [part for part, depth in depths(bare) if depth and "\n" in part]
+            if any(w not in PY_WORDS for part in inner for w in over_lines(part)):
+                return "neighbours"
+        return None
+
+    def last_of(top: str) -> str:
+        return top.rstrip().rpartition("\n")[2].strip()
+
+    def depths(bare: str):
+        depth = 0
+        for part in DELIMITERS.split(bare):
+            if part in CLOSING:
+                depth += 1
+            elif part in (")", "]", "}"):
+                depth -= 1
+            else:
+                yield part, depth
 
     return rules
 
