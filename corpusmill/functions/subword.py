@@ -305,7 +305,8 @@ def _expected(lines: DataFrame, log_probs: dict[str, float]) -> DataFrame:
         for batch in batches:
             for line in batch["line"]:
                 seen.update(best_path(line, log_probs)[0])
-        yield pd.DataFrame({"piece": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"piece": list(seen), "n": list(seen.values())})
 
     return lines.mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 

@@ -40,12 +40,12 @@ def discover(directory: str) -> dict[str, list[str]]:
     return out
 
 
-def of_split(paths: list[str], split: str | None) -> list[str]:
-    """The paths whose name holds the split; all of them if none does."""
+def of_split(paths: list[str], split: str | None, root: str = "") -> list[str]:
+    """The paths that hold the split's name below the root; all of them if none does."""
     if not split:
         return paths
     name = re.sub(r"[\[\]:]", "_", split)
-    return [p for p in paths if name in p] or paths
+    return [p for p in paths if name in p.removeprefix(root)] or paths
 
 
 def first_shards(paths: list[str], n: int | None) -> list[str]:
@@ -89,7 +89,7 @@ def read_corpus(spark: SparkSession, directory: str, split: str | None = None, t
     files = discover(root)
     parts = []
     for name, reader in (("parquet", read_parquet), ("jsonl", read_jsonl), ("json", read_json)):
-        if paths := of_split(files[name], settings.get("split")):
+        if paths := of_split(files[name], settings.get("split"), root):
             df = reader(spark, paths)
             parts.append(df.withColumn("__text", text_column(df, settings.get("text_field"))).withColumn("__file", F.input_file_name()))
     out = parts[0]
@@ -126,19 +126,24 @@ def text_column(df: DataFrame, field: str | None = None) -> Column:
     return text_of_row([F.col(c) for c in TEXT_FIELDS if kinds.get(c) == "string"] or [blank], turns, column("instruction"), column("input"), column("output"))
 
 
+def _turns_of(messages: Column, roles: list[str], contents: list[str]) -> Column:
+    from corpusmill.functions.chat import turn
+
+    blank = F.lit(None).cast("string")
+    return F.transform(messages, lambda t: turn(F.coalesce(*[t[n] for n in roles], blank), F.coalesce(*[t[n] for n in contents], blank)))
+
+
 def normal_turns(df: DataFrame) -> Column:
     """The turns of a row: messages or conversations if there are any, else a pair."""
     kinds = dict(df.dtypes)
     blank = F.lit(None).cast("string")
     column = lambda *names: F.coalesce(*[F.col(n) for n in names if kinds.get(n) == "string"], blank)
-    from corpusmill.functions.chat import turn
-
     options = []
     for name in ("messages", "conversations", "conversation"):
         if kinds.get(name, "").startswith("array<struct"):
             fields = {f.name for f in df.schema[name].dataType.elementType.fields}
-            pick = lambda t, names, fields=fields: F.coalesce(*[t[n] for n in names if n in fields], F.lit(None).cast("string"))
-            options.append(F.transform(F.col(name), lambda t, pick=pick: turn(pick(t, ("role", "from", "speaker")), pick(t, ("content", "value", "text")))))
+            roles, contents = ([n for n in names if n in fields] for names in (("role", "from", "speaker"), ("content", "value", "text")))
+            options.append(_turns_of(F.col(name), roles, contents))
     return F.coalesce(*options, turns_of_pair(column("prompt"), column("response", "completion"), column("instruction"), column("input"), column("output")))
 
 
