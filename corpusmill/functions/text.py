@@ -18,6 +18,11 @@ BAD_PREFIXES = ("write a complete python solution", "complete the following pyth
 SIGNATURE = r"(?m)^\s*def\s+[A-Za-z_]\w*\s*\([^\n)]*\)\s*(?:->\s*[^:]+\s*)?:"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """``str.strip``; null stays null."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
@@ -49,8 +54,8 @@ def words(c: Column) -> Column:
 
 def repetition_ratio(c: Column) -> Column:
     """One minus the share of distinct words; 0 for texts without words, null for null."""
-    parts = words(c)
-    return F.when(F.size(parts) > 0, 1 - F.size(F.array_distinct(parts)) / F.size(parts)).when(c.isNotNull(), F.lit(0.0))
+    ratio = let(words(c), lambda parts: F.when(F.size(parts) > 0, 1 - F.size(F.array_distinct(parts)) / F.size(parts)).otherwise(F.lit(0.0)))
+    return F.when(c.isNotNull(), ratio)
 
 
 def safe_name(c: Column) -> Column:
@@ -76,9 +81,8 @@ def code_for_execution(c: Column) -> Column:
 
 def longest_fence(c: Column) -> Column:
     """The longest fenced block (the first of equally long ones); null where there is none."""
-    blocks = F.regexp_extract_all(c, F.lit(FENCE), 1)
-    numbered = F.transform(blocks, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b")))
-    return F.when(F.size(blocks) > 0, F.array_max(numbered)["b"])
+    numbered = F.transform(F.regexp_extract_all(c, F.lit(FENCE), 1), lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b")))
+    return F.array_max(numbered)["b"]
 
 
 def clean_solution(c: Column) -> Column:
@@ -87,26 +91,29 @@ def clean_solution(c: Column) -> Column:
     Prose before the first line of code goes if it holds one of BAD_PREFIXES.
     """
     text = strip(F.regexp_replace(F.coalesce(c, F.lit("")), THINK, ""))
-    text = strip(F.coalesce(longest_fence(text), text))
+    text = let(text, lambda t: strip(F.coalesce(F.when(t.contains("```"), longest_fence(t)), t)))
     text = strip(F.regexp_replace(strip(F.regexp_replace(text, ROLE_LABEL, "")), "```", ""))
-    lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")
+    return let(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), _without_preface)
+
+
+def _without_preface(lines: Column) -> Column:
     start = r"^\s*(?:@|def\s+|async\s+def\s+|class\s+|from\s+\S+\s+import\s+|import\s+|if\s+__name__\s*==|[A-Za-z_]\w*\s*=)"
-    at = F.aggregate(F.transform(lines, lambda x, i: F.when(x.rlike(start), i).otherwise(F.lit(2**30))), F.lit(2**30), lambda a, b: F.least(a, b))
-    prefix = F.lower(F.array_join(F.filter(F.transform(F.slice(lines, 1, F.when(at < 2**30, at).otherwise(0)), strip), lambda x: x != ""), " "))
-    has_bad = prefix.contains(BAD_PREFIXES[0])
-    for phrase in BAD_PREFIXES[1:]:
-        has_bad = has_bad | prefix.contains(phrase)
-    kept = F.when((at > 0) & (at < 2**30) & has_bad, F.slice(lines, at + 1, F.size(lines))).otherwise(lines)
+    none = F.lit(0)
+    first = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(start)), True), F.lit(0)).cast("int") - 1
+
+    def cut(at: Column) -> Column:
+        prefix = F.lower(F.array_join(F.filter(F.transform(F.slice(lines, 1, at), strip), lambda x: x != ""), " "))
+        bad = F.exists(F.array(*[F.lit(p) for p in BAD_PREFIXES]), lambda p: prefix.contains(p))
+        return F.when(bad, F.slice(lines, at + 1, F.size(lines))).otherwise(lines)
+
+    kept = F.when(first > 0, let(F.greatest(first, none), cut)).otherwise(lines)
     return strip(F.array_join(kept, "\n"))
 
 
 def starts_badly(c: Column) -> Column:
     """Whether the first non-blank line begins with one of BAD_PREFIXES."""
     first = F.lower(strip(F.regexp_extract(c, r"^\s*([^\n]*)", 1)))
-    out = first.startswith(BAD_PREFIXES[0])
-    for phrase in BAD_PREFIXES[1:]:
-        out = out | first.startswith(phrase)
-    return out
+    return let(first, lambda line: F.exists(F.array(*[F.lit(p) for p in BAD_PREFIXES]), lambda p: line.startswith(p)))
 
 
 def first_signature(c: Column) -> Column:
