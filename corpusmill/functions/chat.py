@@ -97,14 +97,20 @@ def keep_last(ids: Column, most: int) -> Column:
     return F.slice(ids, F.greatest(F.lit(1), F.size(ids) - most + 1), F.lit(most))
 
 
-def alias_plan(required: list[str], known: dict[str, int], reserved: list[str]) -> tuple[dict[str, int], str]:
-    """X11: ids for required tokens: their own, else the lowest free reserved ids; ({}, reason) if there are too few."""
-    free = sorted(known[t] for t in reserved if t in known)
-    plan = {t: known[t] for t in required if t in known}
+def alias_plan(required: list[str], vocab: dict[str, int], patterns: list[str], protected: tuple[str, ...] = ("<|endoftext|>", "<|pad|>"), vocab_size: int | None = None, max_id: int | None = 65_535) -> tuple[dict[str, int], str]:
+    """X11: ids for required tokens: their own, else the lowest ids of reserved-looking tokens; ({}, reason) if that cannot be."""
+    size = max(vocab.values(), default=-1) + 1
+    if vocab_size is not None and size != vocab_size:
+        return {}, f"the vocabulary has {size} ids, not {vocab_size}"
+    if max_id is not None and size - 1 > max_id:
+        return {}, f"a token id exceeds {max_id}"
+    plan = {t: vocab[t] for t in required if t in vocab}
+    taken = {*required, *protected}
+    free = iter(sorted(i for t, i in vocab.items() if t not in taken and any(p in t for p in patterns)))
     for token in required:
         if token not in plan:
-            free = [i for i in free if i not in plan.values()]
-            if not free:
-                return {}, f"no reserved token left for {token}"
-            plan[token] = free.pop(0)
+            spot = next(free, None)
+            if spot is None:
+                return {}, f"no reserved token is left for {token}"
+            plan[token] = spot
     return plan, ""

@@ -15,12 +15,14 @@ from corpusmill.functions.text import clean_solution, code_for_execution, define
 COMPLETE_INSTRUCTION = "Complete the following Python function. Return only the missing code; do not repeat the prompt."
 WRITE_INSTRUCTION = "Write a complete Python solution. Return only Python code."
 SIGNED_INSTRUCTION = "Write a complete Python solution. Return only Python code. Define the required function exactly as named in the signature below; helper functions are allowed, but do not rename the required function."
+STDIN_INSTRUCTION = "Write a complete Python program that reads from standard input and writes to standard output. Return only Python code."
 PASS_LINE = "print('ALL TESTS PASSED')"
 #: Identifiers that tests must not use, and what a test function looks like.
 FORBIDDEN = r"(?U)\b(?:tempfile|\w*subprocess\w*|shutil|TemporaryDirectory|NamedTemporaryFile|mkdtemp|mkstemp)\b|\b(?:os|Path)\.(?:getcwd|chdir|system|popen|spawn\w*|fork|exec\w*|cwd)\b"
 TEST_FUNCTION = r"(?U)\bdef\s+test_\w+\s*\("
 #: Names of benchmark sets.
-SET_ALIASES = {"humaneval": "humaneval", "openai_humaneval": "humaneval", "humaneval_plus": "humaneval_plus", "humanevalplus": "humaneval_plus", "mbpp": "mbpp", "mbpp_plus": "mbpp_plus", "mbppplus": "mbpp_plus"}
+BENCH_SETS = ("openai_humaneval", "humanevalplus", "mbpp", "mbppplus")
+SET_ALIASES = {"human_eval_plus": "humanevalplus", "humaneval_plus": "humanevalplus", "human_eval": "openai_humaneval", "humaneval": "openai_humaneval", "openai_human_eval": "openai_humaneval", "mbpp_plus": "mbppplus"}
 
 
 def text_of(c: Column) -> Column:
@@ -119,9 +121,10 @@ def bench_samples(bench: DataFrame) -> DataFrame:
 def set_name(name: str) -> str:
     """The canonical name of a benchmark set."""
     key = name.strip().lower().replace("-", "_")
-    if key not in SET_ALIASES:
+    key = SET_ALIASES.get(key, key)
+    if key not in BENCH_SETS:
         raise ValueError(f"unknown benchmark set {name!r}")
-    return SET_ALIASES[key]
+    return key
 
 
 def bench_prompt(kind: Column, prompt: Column, signature: Column, style: str = "plain_dialog") -> Column:
@@ -224,8 +227,8 @@ def shape_tests(data, func_name: str, source: str, most: int):
 
 def problem_prompt(problem: Column, task_type: Column, entry_point: Column, starter: Column, in_class: Column) -> Column:
     """The prompt of a coding problem by its kind of test."""
-    function = "Write a Python function. Return only Python code."
-    head = F.when(task_type == "stdin", "Write a Python program that reads from standard input and writes to standard output. Return only Python code.").when(in_class, f"{function} Implement the required method in class Solution.").otherwise(F.concat(F.lit(f"{function} Define the required function `"), entry_point, F.lit("` exactly.")))
+    function = WRITE_INSTRUCTION
+    head = F.when(task_type == "stdin", STDIN_INSTRUCTION).when(in_class, f"{function} Implement the required method in class Solution.").otherwise(F.concat(F.lit(f"{function} Define the required function `"), entry_point, F.lit("` exactly.")))
     tail = F.when(strip(F.coalesce(starter, F.lit(""))) != "", F.concat(F.lit("\n\nStarter code:\n```python\n"), rstrip(starter), F.lit("\n```"))).otherwise("")
     return F.concat(F.lit("user:\n"), head, F.lit("\n\n"), strip(problem), tail, F.lit("\nassistant:\n"))
 

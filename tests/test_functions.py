@@ -151,8 +151,8 @@ def test_labels_and_padding(spark):
     assert short["input_ids"] == [] and short["labels"] == []
     assert one(spark, [1, 2], lambda c: chat.pad_right(c, F.lit(4), 0), "array<int>") == [1, 2, 0, 0]
     assert one(spark, [1, 2, 3], lambda c: chat.keep_last(c, 2), "array<int>") == [2, 3]
-    assert chat.alias_plan(["<a>", "<b>"], {"<b>": 5, "<r0>": 9, "<r1>": 3}, ["<r0>", "<r1>"]) == ({"<b>": 5, "<a>": 3}, "")
-    assert chat.alias_plan(["<a>"], {}, [])[0] == {}
+    assert chat.alias_plan(["<a>", "<b>"], {"<b>": 5, "<unused9>": 9, "<unused1>": 3}, ["unused"]) == ({"<b>": 5, "<a>": 3}, "")
+    assert chat.alias_plan(["<a>"], {"x": 1}, ["unused"])[0] == {} and "exceeds" in chat.alias_plan([], {"x": 99_999}, [])[1]
 
 
 def test_text_choice(spark):
@@ -191,7 +191,7 @@ def test_test_programs_and_metadata(spark):
     got = [r["p"] for r in df.select(records.test_program(F.col("kind"), F.col("prompt"), F.col("completion"), F.col("entry"), F.col("test"), F.col("tests")).alias("p")).collect()]
     assert got[0] == "def f(x):\n    return x\n\ndef check(c): pass\n\ncheck(f)\nprint('ALL TESTS PASSED')\n"
     assert got[1] == "def g(): pass\n\nassert g() is None\n\nprint('ALL TESTS PASSED')\n"
-    assert records.set_name(" MBPP-plus ") == "mbpp_plus"
+    assert records.set_name(" MBPP-plus ") == "mbppplus" and records.set_name("humaneval") == "openai_humaneval"
     with pytest.raises(ValueError):
         records.set_name("other")
     rollouts = spark.createDataFrame([(0, {"a": "1"}), (1, None)], "prompt_index int, metadata map<string,string>")
