@@ -116,3 +116,22 @@ def pack_stream(df: DataFrame, order: list[str], tokens: str, length: int) -> Da
     blocks = sent.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda s: s["t"]).alias("all"))
     kept = blocks.join(total, F.col("block_id") < ((F.col("__total") - 1) / length).cast("long"))
     return kept.select("block_id", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))
+
+
+def shuffled_blocks(blocks: DataFrame, seed: int, epoch: int, world: int, batch: int) -> DataFrame:
+    """Blocks in a reproducible order per epoch, cut to whole global batches, with position and worker.
+
+    The order is that of a hash of seed, epoch and block; blocks beyond the last whole batch of all workers are left out.
+    """
+    keyed = blocks.withColumn("__key", F.sha2(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("block_id").cast("string")), 256))
+    placed = with_running(keyed, ["__key"]).drop("__key")
+    whole = F.broadcast(blocks.agg(F.count("*").alias("__n")))
+    kept = placed.join(whole, F.col("rank") < F.col("__n") - F.col("__n") % (world * batch)).drop("__n")
+    return kept.withColumnRenamed("rank", "position").withColumn("worker", F.pmod(F.floor(F.col("position") / batch), F.lit(world)).cast("int"))
+
+
+def crop_starts(spark, n: int, length: int, stream: int, seed: int) -> DataFrame:
+    """``n`` uniform starts, with replacement, of crops of ``length`` tokens and one more in a stream."""
+    if stream <= length:
+        raise ValueError("the stream must be longer than a crop")
+    return spark.range(n).select(F.col("id").alias("crop"), F.floor(F.rand(seed) * (stream - length)).cast("long").alias("start"))

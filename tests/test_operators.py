@@ -128,3 +128,31 @@ def test_counters(spark):
     rows = spark.createDataFrame([("main", "train", "d", 3), ("main", "val", "d", 0)], "stage string, split string, dataset string, n int")
     assert {r["split"]: (r["pct_in_stage"], r["pct_overall"]) for r in stats.mixture(rows, "n").collect()} == {"train": ("100.00%", "100.00%"), "val": ("0.00%", "0.00%")}
     assert stats.size_errors(spark.createDataFrame([(4, 8), (4, 9)], "n_tokens int, n_bytes int"), 2).count() == 1
+
+
+def test_shuffled_blocks_and_crops(spark):
+    blocks = spark.range(23).withColumnRenamed("id", "block_id")
+    one = order.shuffled_blocks(blocks, 1, 0, 2, 3).orderBy("position").collect()
+    assert len(one) == 18 and len({r["block_id"] for r in one}) == 18
+    assert [r["worker"] for r in one[:9]] == [0, 0, 0, 1, 1, 1, 0, 0, 0]
+    other = order.shuffled_blocks(blocks, 1, 1, 2, 3).orderBy("position").collect()
+    assert [r["block_id"] for r in one] != [r["block_id"] for r in other]
+    starts = [r["start"] for r in order.crop_starts(spark, 200, 10, 20, 1).collect()]
+    assert min(starts) >= 0 and max(starts) <= 9 and len(set(starts)) > 5
+    with pytest.raises(ValueError):
+        order.crop_starts(spark, 1, 10, 10, 1)
+
+
+def test_tasks(spark, tmp_path):
+    from corpusmill.operators import tasks
+
+    spark.createDataFrame([(k, k % 5 if k % 7 else None) for k in range(60)], "i int, int_score int").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    plan = {"name": "x/y", "category": "code", "rules": [{"stage": "anneal", "column": "int_score", "op": "ge", "value": 4}, {"stage": "main", "column": "int_score", "op": "lt", "value": 4, "include_null": True}]}
+    rows = tasks.encode_tasks(df, plan).collect()
+    assert sum(r["matched_rows"] for r in rows) == 60 and {r["stage"] for r in rows} == {"main", "anneal"}
+    assert [r["size"] for r in rows] == sorted((r["size"] for r in rows), reverse=True)
+    assert tasks.file_rows(df).agg(F.sum("n_rows")).first()[0] == 60
+    for bad in ({}, {"name": "a", "stage": "x"}, {"name": "a", "category": "x"}):
+        with pytest.raises(ValueError):
+            tasks.described(bad)
