@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.lookalike import make_folder
-from corpusmill.session import cut_lineage, ship_by_value
+from corpusmill.session import cut_lineage, ship_by_value, spread
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -133,7 +133,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12,
         raise ValueError("n must not exceed min_run, else passages could be missed")
     spark = docs.sparkSession
     ship_by_value()
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    docs = spread(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "prompt").where(F.col("item_id").isNotNull() & F.col("prompt").isNotNull())
     blocks = max(1, math.ceil(items.count() / block_items))
     parts = [_leaks_of_block(spark, docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), n, min_run, margin, rare_df) for k in range(blocks)]

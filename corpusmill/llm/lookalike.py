@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut_lineage, ship_by_value
+from corpusmill.session import cut_lineage, ship_by_value, spread
 
 #: Letters that look alike, by class. The key is the class; a value gives one letter of each script that
 #: has one, in the order Latin, Cyrillic, Greek, Armenian ("." where the script has none).
@@ -33,8 +33,8 @@ a а.. c сϲ. d ԁ.. e е.. g ..ց h һ.հ i і.. j јϳ. n ..ո o оοօ p р
 SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
 #: More letters of the Latin block and of other scripts that look like a basic letter.
 VARIANTS = {"ɑ": "a", "ɡ": "g", "Ү": "Y", "Ӏ": "I", "Ꭺ": "A", "Ꭼ": "E", "Ꮋ": "H", "Ꮯ": "C", "Ꮲ": "P", "Ꭲ": "T", "Ꮇ": "M", "Ꮶ": "K", "Ꮮ": "L", "Ꮪ": "S", "Ꮓ": "Z", "Ꮩ": "V", "Ꮃ": "W", "Ꭰ": "D", "Ꭱ": "R", "Ꮐ": "G", "Ꭻ": "J", "Ꭵ": "i"}
-#: Ligatures of the Latin and Armenian presentation forms that are written as several letters.
-LIGATURE_RANGE = (0xFB00, 0xFB17)
+#: Ranges of ligatures and digraphs that are written as several letters, and a sign that is a Greek letter.
+LIGATURE_RANGES = ((0xFB00, 0xFB17), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0xB5, 0xB5))
 WIDTH_RANGES = ((0xFF01, 0xFFEE), (0x3000, 0x3000))
 #: Characters without ink that Unicode does not put into category Cf.
 NO_INK = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -74,9 +74,10 @@ def _fold_table() -> dict[int, str | None]:
         for code in range(low, high + 1):
             if unicodedata.decomposition(chr(code)).startswith(("<wide>", "<narrow>")):
                 out[code] = unicodedata.normalize("NFKC", chr(code))
-    for code in range(LIGATURE_RANGE[0], LIGATURE_RANGE[1] + 1):
-        if unicodedata.decomposition(chr(code)):
-            out[code] = unicodedata.normalize("NFKC", chr(code))
+    for low, high in LIGATURE_RANGES:
+        for code in range(low, high + 1):
+            if unicodedata.decomposition(chr(code)):
+                out[code] = unicodedata.normalize("NFKC", chr(code))
     for code in [*range(0x80, 0x3100), *range(0xFE00, 0x10000), *range(0x110BD, 0x110CE), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE0080)]:
         kind = unicodedata.category(chr(code))
         if kind == "Cf" and code not in out:
@@ -187,6 +188,7 @@ def form_key(text):
 def form_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per non-empty text: (id, form_key, stored_key). Null and empty texts have no class."""
     text = F.col(text_col)
+    df = spread(df.select(id_col, text_col))
     return df.where(text.isNotNull() & (text != "")).select(F.col(id_col).alias("id"), form_key(text).alias("form_key"), F.md5(text).alias("stored_key"))
 
 

@@ -49,7 +49,7 @@ def path_head(path: Column) -> Column:
     return F.when(head != "", head)
 
 
-def hash_to_min(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def hash_to_min(pairs: DataFrame, max_rounds: int = 60, salts: int = 8) -> DataFrame:
     """Components of an undirected graph given as rows (a, b): rows (node, component), the component being its smallest node.
 
     Nulls are ignored; self-loops give components of one node. Runs until stable; ``max_rounds`` guards against a bug and raises.
@@ -60,7 +60,10 @@ def hash_to_min(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = _fingerprint(clusters)
     for _ in range(max_rounds):
         least = clusters.groupBy("node").agg(F.min("member").alias("least"))
-        told = clusters.join(least, "node").select("least", "member", "node")
+        # The smallest node of a large component has a row per member: its rows meet their minimum through a salted key.
+        spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keyed = clusters.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(salts)).cast("int"))
+        told = keyed.join(spread, ["node", "salt"]).select("least", "member")
         up, down = F.struct(F.col("least").alias("node"), F.col("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member"))
         fresh = cut_lineage(told.select(F.explode(F.array(up, down)).alias("p")).select("p.node", "p.member").distinct())
         after = _fingerprint(fresh)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.splits import repository
-from corpusmill.session import ship_by_value
+from corpusmill.session import ship_by_value, spread
 
 #: Extensions by language.
 EXTENSIONS = {"py": "python", "pyi": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "java": "java", "go": "go", "c": "c", "h": "c"}
@@ -321,13 +321,13 @@ def code_defects(code: DataFrame) -> DataFrame:
         "file_id", F.coalesce(repository(F.col("max_stars_repo_name")), repository(F.col("repo_name")), F.lit("unknown")).alias("repo"), language.alias("language"),
         (language.isNotNull() & text.isNotNull() & text.rlike(r"(?U)\S")).alias("checked"), "content",
     )
-    return rows.withColumn("defect", defect_udf()(F.col("language"), F.col("content"))).drop("content")
+    return spread(rows).withColumn("defect", defect_udf()(F.col("language"), F.col("content"))).drop("content")
 
 
 def exercise_defects(exercises: DataFrame) -> DataFrame:
     """Two rows per row of kodcode_v1: row_id, field_name, checked, defect. Both fields are Python."""
     fields = F.array(*[F.struct(F.lit(name).alias("field_name"), F.col(name).alias("text")) for name in ("solution", "test")])
-    rows = exercises.select("row_id", F.explode(fields).alias("f")).select("row_id", "f.field_name", "f.text")
+    rows = spread(exercises.select("row_id", "solution", "test")).select("row_id", F.explode(fields).alias("f")).select("row_id", "f.field_name", "f.text")
     has = F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")
     return rows.withColumn("checked", F.coalesce(has, F.lit(False))).withColumn("defect", defect_udf()(F.lit("python"), F.col("text"))).drop("text")
 

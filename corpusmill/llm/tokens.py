@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import ship_by_value, table
+from corpusmill.session import ship_by_value, spread, table
 
 #: Fixed value: the pre-token pattern of the tokenizer artifact.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\w+| ?[^\s\w]+|\s+(?!\S)|\s+"""
@@ -176,7 +176,7 @@ def with_token_counts(df: DataFrame, text_col: str, bpe: ByteBpe, keep: list[str
     """``keep`` columns and n_tokens for each row of ``df``; texts beyond ``oversize`` characters are spread in chunks."""
     ship_by_value()
     text = F.col(f"`{text_col}`")
-    rows = df.select(*keep, text.alias("__text"))
+    rows = spread(df.select(*keep, text.alias("__text")))
     counted = token_count_udf(bpe)
     small = rows.where(F.col("__text").isNull() | (F.length("__text") <= oversize)).select(*keep, counted("__text").alias("n_tokens"))
     names = [*keep, "__row"]
