@@ -107,17 +107,47 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 256) -> list[tuple[int, int]]:
+    """``align`` of many pairs, those of like length side by side in one array. Padding equals nothing, so it adds no score."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
+    by_length = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
+    for at in range(0, len(by_length), together):
+        group = by_length[at : at + together]
+        width = max(len(pairs[k][1]) for k in group)
+        a = np.full((max(len(pairs[k][0]) for k in group), len(group)), -2, dtype=np.int32)
+        b = np.full((len(group), width), -3, dtype=np.int32)
+        for row, k in enumerate(group):
+            a[: len(pairs[k][0]), row], b[row, : len(pairs[k][1])] = pairs[k]
+        score, run = np.zeros((len(group), width + 1), dtype=np.int32), np.zeros((len(group), width + 1), dtype=np.int32)
+        best, longest = np.zeros(len(group), dtype=np.int32), np.zeros(len(group), dtype=np.int32)
+        ramp = np.arange(width + 1, dtype=np.int32) * -GAP
+        for x in a:
+            same = b == x[:, None]
+            fresh = np.zeros_like(score)
+            fresh[:, 1:] = np.maximum(score[:, :-1] + np.where(same, MATCH, MISMATCH), score[:, 1:] + GAP)
+            np.maximum(fresh, 0, out=fresh)
+            score = np.maximum.accumulate(fresh + ramp, axis=1) - ramp
+            moved = np.zeros_like(run)
+            moved[:, 1:] = (run[:, :-1] + 1) * same
+            run = moved
+            np.maximum(best, score.max(axis=1), out=best)
+            np.maximum(longest, run.max(axis=1), out=longest)
+        for row, k in enumerate(group):
+            out[k] = int(best[row]), int(longest[row])
+    return out
+
+
 def _aligned(prompts: dict[int, list[str]]):
     """mapInPandas function: (item_id, words of a passage) -> scores of the pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            pairs = []
             for item, text in zip(batch["item_id"], batch["words"]):
                 ids = {w: k for k, w in enumerate(dict.fromkeys(prompts[item]))}
-                b = np.array([ids[w] for w in prompts[item]], dtype=np.int32)
-                a = np.array([ids.get(w, -1) for w in text.split(" ")], dtype=np.int32)
-                rows.append((item, text, *align(a, b), len(b)))
+                pairs.append((np.array([ids.get(w, -1) for w in text.split(" ")], dtype=np.int32), np.array([ids[w] for w in prompts[item]], dtype=np.int32)))
+            scores = align_many(pairs)
+            rows = [(item, text, *s, len(p[1])) for item, text, s, p in zip(batch["item_id"], batch["words"], scores, pairs)]
             yield pd.DataFrame(rows, columns=["item_id", "words", "score", "longest_run", "item_words"])
 
     return run

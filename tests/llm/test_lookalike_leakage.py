@@ -82,3 +82,27 @@ def test_edited_copy_is_scored(spark):
     bench = spark.createDataFrame([(1, " ".join(prompt))], "item_id long, prompt string")
     row = leakage.find_leaks(df, bench).first()
     assert row["longest_run"] == 8 and row["score"] >= 90
+
+
+def test_alignments_side_by_side_equal_single_ones():
+    import numpy as np
+
+    rng = random.Random(8)
+    pairs = [(np.array([rng.randrange(-1, 6) for _ in range(rng.randrange(1, 40))], dtype=np.int32), np.array([rng.randrange(6) for _ in range(rng.randrange(1, 30))], dtype=np.int32)) for _ in range(300)]
+    assert leakage.align_many(pairs, 64) == [leakage.align(a, b) for a, b in pairs]
+    assert leakage.align_many([]) == []
+
+
+def test_alignment_against_the_full_table():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(40):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        r = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+                r[i][j] = r[i - 1][j - 1] + 1 if x == y else 0
+        assert leakage.align(np.array(a), np.array(b)) == (max(map(max, h)), max(map(max, r)))
