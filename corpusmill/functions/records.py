@@ -62,8 +62,10 @@ def sft_decisions(rows: DataFrame, leaks: DataFrame | None, styles: list[str], s
         checks.append((~is_true(F.col("r1_correctness")), "r1_incorrect"))
     checks += [(text_of(F.col("question")) == "", "missing_question"), (F.col("__leak").isNotNull(), F.col("__leak")), (F.col("cleaned") == "", "missing_solution"), (starts_badly(F.col("cleaned")), "assistant_text_prefix")]
     if syntax:
-        checks.append((~parses_as_python()(F.col("cleaned")), "syntax_error"))
-    return decided.withColumn("reason", first_reason(*checks)).drop("__leak")
+        # As a column of its own that no filter is pushed below: Spark cannot extract a Python function from within the chain.
+        decided = decided.withColumn("__parses", parses_as_python().asNondeterministic()(F.col("cleaned")))
+        checks.append((~F.col("__parses"), "syntax_error"))
+    return decided.withColumn("reason", first_reason(*checks)).drop("__leak", "__parses")
 
 
 def sft_records(decided: DataFrame) -> DataFrame:
