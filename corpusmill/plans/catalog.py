@@ -455,11 +455,19 @@ def _leaks(spark, directory):
 SELECT row_id, CASE WHEN {STYLE} IS NOT NULL THEN {STYLE} WHEN NOT {TRUE_SQL} THEN 'r1_incorrect' WHEN coalesce({strip_sql('question')}, '') = '' THEN 'missing_question' WHEN l.reason IS NOT NULL THEN l.reason
 WHEN coalesce({strip_sql('solution')}, '') = '' THEN 'missing_solution' ELSE 'kept' END AS reason FROM kodcode_v1 LEFT JOIN l ON l.id = row_id""")
 def sft_decision_reasons(spark, directory):
-    """F25 for SFT rows; solutions hold no fences here, and the syntax test has no SQL form."""
+    """F25 for SFT rows up to the syntax test, which has no SQL form (sft_decision_reasons_whole runs it); solutions hold no fences here."""
     exercises, leaks = _leaks(spark, directory)
     return records.sft_decisions(exercises, leaks, STYLES, syntax=False).select("row_id", "reason")
 
 
+@query()
+def sft_decision_reasons_whole(spark, directory):
+    """F25 for SFT rows with its last step, the syntax test; the rows kept are those of sft_records."""
+    ship_by_value()
+    exercises, leaks = _leaks(spark, directory)
+    return records.sft_decisions(exercises, leaks, STYLES).select("row_id", "reason")
+
+
 @query()
 def sft_records(spark, directory):
     ship_by_value()
