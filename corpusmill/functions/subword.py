@@ -67,12 +67,14 @@ class _Pairs:
     """Counts of neighbouring symbols over weighted words, kept up to date while pairs are merged."""
 
     def __init__(self, words: list[tuple[list[str], int]]):
-        self.words, self.counts, self.places = words, Counter(), defaultdict(set)
+        self.words, self.counts, self.singles, self.places = words, Counter(), Counter(), defaultdict(set)
         for k in range(len(words)):
             self._add(k, 1)
 
     def _add(self, k: int, sign: int) -> None:
         symbols, n = self.words[k]
+        for symbol in symbols:
+            self.singles[symbol] += sign * n
         for pair in zip(symbols, symbols[1:]):
             self.counts[pair] += sign * n
             if sign > 0:
@@ -168,7 +170,15 @@ class Subword:
                 out += cache[word]
             return out
         if self.kind == "wordpiece":
-            return [s for w in re.findall(WORD[4:], text.lower()) for s in self._longest(w)]
+            cache = self.__dict__.setdefault("_cache", {})
+            found: list[str] = []
+            for word in re.findall(WORD[4:], text.lower()):
+                if word not in cache:
+                    if len(cache) > 200_000:
+                        cache.clear()
+                    cache[word] = self._longest(word)
+                found += cache[word]
+            return found
         return [s for line in text.split("\n") for s in best_path(line, self.log_probs)[0]]
 
     def _symbols(self, word: str) -> list[str]:
@@ -236,10 +246,7 @@ def train_wordpiece(words: list[tuple[str, int]], vocab_size: int) -> Subword:
     for symbol in dict.fromkeys(s for symbols, _ in state.words for s in symbols):
         model.token_to_id.setdefault(symbol, len(model.token_to_id))
     while len(model.token_to_id) < vocab_size and state.counts:
-        single: Counter = Counter()
-        for symbols, n in state.words:
-            for s in symbols:
-                single[s] += n
+        single = state.singles
         score = {p: n / (single[p[0]] * single[p[1]]) for p, n in state.counts.items()}
         most = max(score.values())
         pair = min((p for p, x in score.items() if x == most), key=state.position)

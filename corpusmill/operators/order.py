@@ -108,12 +108,13 @@ def pack_stream(df: DataFrame, order: list[str], tokens: str, length: int) -> Da
     """
     sized = with_running(df.where(F.size(tokens) > 0), order, value=F.size(tokens))
     total = F.broadcast(sized.agg((F.max(F.col("before") + F.size(tokens))).alias("__total")))
-    placed = sized.select("before", F.posexplode(tokens).alias("i", "t")).select((F.col("before") + F.col("i")).alias("p"), "t")
-    # A block needs the first token of the next one for its last target: that token is sent to both.
-    own = F.struct((F.col("p") / length).cast("long").alias("block_id"), F.col("p").alias("p"), F.col("t").alias("t"))
-    also = F.struct((F.col("p") / length - 1).cast("long").alias("block_id"), F.col("p").alias("p"), F.col("t").alias("t"))
-    sent = placed.select(F.explode(F.when((F.col("p") % length == 0) & (F.col("p") > 0), F.array(own, also)).otherwise(F.array(own))).alias("s")).select("s.*")
-    blocks = sent.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda s: s["t"]).alias("all"))
+    # Each row is cut at the blocks' bounds. A block needs the first token of the next one for its last target: that token is sent to both.
+    end, first = F.col("before") + F.size(tokens), F.greatest(F.lit(0), F.ceil(F.col("before") / length) - 1).cast("long")
+    cut = sized.select("before", end.alias("end"), F.col(tokens).alias("t"), F.explode(F.sequence(first, ((end - 1) / length).cast("long"))).alias("block_id"))
+    start = F.greatest(F.col("block_id") * length, F.col("before"))
+    stop = F.least((F.col("block_id") + 1) * length + 1, F.col("end"))
+    sent = cut.select("block_id", start.alias("p"), F.slice("t", (start - F.col("before") + 1).cast("int"), (stop - start).cast("int")).alias("t"))
+    blocks = sent.groupBy("block_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda s: s["t"])).alias("all"))
     kept = blocks.join(total, F.col("block_id") < ((F.col("__total") - 1) / length).cast("long"))
     return kept.select("block_id", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import chat, keys, records, rewards, rules, schedules, subword, text
 from corpusmill.operators import evalmetrics, order, relate, stats
-from corpusmill.session import ship_by_value, table
+from corpusmill.session import ship_by_value, spread, table
 from corpusmill.sources.readers import text_column
 from corpusmill.streaming import clean as streaming
 
@@ -356,6 +356,15 @@ def pack_blocks(spark, directory):
     return blocks.select("block_id", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_x"), (F.col("block_id") * 512).alias("first"))
 
 
+@query()
+def pack_blocks_documents(spark, directory):
+    """The bytes of all documents as one stream, in blocks of 512."""
+    docs = table(spark, directory, "documents").where("text <> ''")
+    ids = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), 0), lambda b: F.conv(b, 16, 10).cast("int"))
+    blocks = order.pack_stream(docs.select("doc_id", ids.alias("ids")), ["doc_id"], "ids", 512)
+    return blocks.select("block_id", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_x"), (F.col("block_id") * 512).alias("first"))
+
+
 # ---- texts, conversations, records
 
 
@@ -648,19 +657,30 @@ def substring_topk(spark, directory):
     return counts.orderBy(F.desc("n"), "piece").limit(200)
 
 
+@query(ORACLES["pair_counts"].replace("bench_items", "documents").replace("prompt", "text"))
+def pair_counts_documents(spark, directory):
+    return subword.pair_counts(subword.word_counts(table(spark, directory, "documents"), "text", "doc_id", r"[\p{L}\p{N}_]+"))
+
+
+@query(ORACLES["substring_topk"].replace("bench_items", "documents").replace("prompt", "text").replace("least(8,", "least(16,"))
+def substring_topk_documents(spark, directory):
+    counts = subword.substring_counts(table(spark, directory, "documents"), "text")
+    return counts.orderBy(F.desc("n"), "piece").limit(200)
+
+
 def _trained(kind: str):
     def run(spark, directory):
-        bench = table(spark, directory, "bench_items")
+        docs = table(spark, directory, "documents")
         if kind == "unigram":
-            model = subword.train_unigram(bench, "prompt", 400, rounds=1, seeds=2000)
+            model = subword.train_unigram(docs, "text", 400, rounds=1, seeds=2000)
         elif kind == "wordpiece":
-            model = subword.train_wordpiece(subword.gather_words(subword.word_counts(bench, "prompt", "item_id", subword.WORD, lower=True)), 500)
+            model = subword.train_wordpiece(subword.gather_words(subword.word_counts(docs, "text", "doc_id", subword.WORD, lower=True)), 500)
         else:
-            model = subword.train_bpe(subword.gather_words(subword.word_counts(bench, "prompt", "item_id")), 600, kind)
+            model = subword.train_bpe(subword.gather_words(subword.word_counts(docs, "text", "doc_id")), 600, kind)
         ship_by_value()
-        return bench.select("item_id", F.size(subword.encode_column(F.col("prompt"), model)).alias("n_tokens"))
+        return spread(docs.select("doc_id", "text")).select("doc_id", F.size(subword.encode_column(F.col("text"), model)).alias("n_tokens"))
 
-    run.__doc__ = f"Trains a {kind} tokenizer on the prompts and counts their tokens."
+    run.__doc__ = f"Trains a {kind} tokenizer on the documents and counts their tokens."
     return run
 
 

@@ -3,6 +3,9 @@
 import ast
 import warnings
 
+import pytest
+
+from corpusmill.functions import subword
 from corpusmill.plans import catalog
 from corpusmill.session import table
 
@@ -29,3 +32,30 @@ def test_sft_reasons_end_with_the_syntax_test(spark, data, tmp_path):
     bodies = {r["row_id"]: r["solution"] for r in table(spark, str(tmp_path), "kodcode_v1").select("row_id", "solution").collect()}
     assert got == {k: "syntax_error" if v == "kept" and not parses(bodies[k].strip()) else v for k, v in before.items()}
     assert catalog.queries()["sft_records"](spark, str(tmp_path)).count() == sum(v == "kept" for v in got.values())
+
+
+TEXTS = [(1, "low lower newest"), (2, None), (3, ""), (4, "größe 漢字 lowest\nnewest low"), (5, "ab " * 400)]
+
+
+@pytest.fixture
+def corpus(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_blocks_hold_the_bytes_of_all_documents(spark, corpus):
+    stream = b"".join((t or "").encode() for _, t in TEXTS)
+    got = {r["block_id"]: (r["sum_x"], r["first"]) for r in catalog.queries()["pack_blocks_documents"](spark, corpus).collect()}
+    assert got == {k: (sum(stream[512 * k : 512 * k + 512]), 512 * k) for k in range((len(stream) - 1) // 512)} and got
+
+
+@pytest.mark.parametrize("kind", ["bpe", "byte_bpe", "wordpiece"])
+def test_tokenizers_are_trained_on_documents(spark, corpus, kind):
+    df = table(spark, corpus, "documents")
+    if kind == "wordpiece":
+        model = subword.train_wordpiece(subword.gather_words(subword.word_counts(df, "text", "doc_id", subword.WORD, lower=True)), 500)
+    else:
+        model = subword.train_bpe(subword.gather_words(subword.word_counts(df, "text", "doc_id")), 600, kind)
+    got = {r["doc_id"]: r["n_tokens"] for r in catalog.queries()[f"train_{kind}"](spark, corpus).collect()}
+    assert {k: n for k, n in got.items() if k != 2} == {k: len(model.encode(t)) for k, t in TEXTS if t is not None}
+    assert set(got) == {k for k, _ in TEXTS}
