@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p5_rates(spark: SparkSession, directory: str) -> DataFrame:
-    return syntax.defect_rates(table(spark, directory, "code_files"))
+    return syntax.defect_rates(table(spark, directory, "code_files"), table(spark, directory, "kodcode_v1"))
 
 
 def p6_pack(spark: SparkSession, directory: str) -> DataFrame:

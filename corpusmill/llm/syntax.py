@@ -339,8 +339,11 @@ def found_defects(code: DataFrame, exercises: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def defect_rates(code: DataFrame) -> DataFrame:
-    """Per repository and language: texts checked, texts not accepted and their share."""
-    rows = code_defects(code).where("checked")
-    sums = rows.groupBy("repo", "language").agg(F.count("*").alias("n_checked"), F.count("defect").alias("n_broken"))
+def defect_rates(code: DataFrame, exercises: DataFrame | None = None) -> DataFrame:
+    """Per table, field, repository and language: texts checked, texts not accepted and their share. Exercises are Python and have no repository."""
+    rows = code_defects(code).select(F.lit("code_files").alias("src_table"), F.lit("content").alias("field_name"), "repo", "language", "checked", "defect")
+    if exercises is not None:
+        fields = exercise_defects(exercises)
+        rows = rows.unionByName(fields.select(F.lit("kodcode_v1").alias("src_table"), "field_name", F.lit("unknown").alias("repo"), F.lit("python").alias("language"), "checked", "defect"))
+    sums = rows.where("checked").groupBy("src_table", "field_name", "repo", "language").agg(F.count("*").alias("n_checked"), F.count("defect").alias("n_broken"))
     return sums.withColumn("rate", F.round(F.col("n_broken") / F.col("n_checked"), 6))

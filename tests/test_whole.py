@@ -6,6 +6,7 @@ import warnings
 import pytest
 
 from corpusmill.functions import subword
+from corpusmill.llm import queries as llm
 from corpusmill.plans import catalog
 from corpusmill.session import table
 
@@ -59,3 +60,14 @@ def test_tokenizers_are_trained_on_documents(spark, corpus, kind):
     got = {r["doc_id"]: r["n_tokens"] for r in catalog.queries()[f"train_{kind}"](spark, corpus).collect()}
     assert {k: n for k, n in got.items() if k != 2} == {k: len(model.encode(t)) for k, t in TEXTS if t is not None}
     assert set(got) == {k for k, _ in TEXTS}
+
+
+def test_rates_cover_the_exercises(spark, tmp_path):
+    code = [(1, "a/b", None, "x.py", "def f(:\n"), (2, "a/b", None, "y.py", "x = 1\n"), (3, None, None, "z.py", "x = 1\n")]
+    spark.createDataFrame(code, "file_id long, max_stars_repo_name string, repo_name string, max_stars_repo_path string, content string").write.parquet(f"{tmp_path}/code_files.parquet")
+    spark.createDataFrame([(1, "x = 1", "def t(:"), (2, None, ""), (3, "y = (", "z = 2"), (4, "y = 3", " \n")], "row_id long, solution string, test string").write.parquet(f"{tmp_path}/kodcode_v1.parquet")
+    got = {(r["src_table"], r["field_name"], r["repo"], r["language"]): (r["n_checked"], r["n_broken"], r["rate"]) for r in llm.queries()["p5_rates"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("code_files", "content", "a/b", "python"): (2, 1, 0.5), ("code_files", "content", "unknown", "python"): (1, 0, 0.0),
+        ("kodcode_v1", "solution", "unknown", "python"): (3, 1, 0.333333), ("kodcode_v1", "test", "unknown", "python"): (2, 1, 0.5),
+    }
