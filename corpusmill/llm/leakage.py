@@ -1,11 +1,11 @@
 """Problem 7: evaluation texts that appear, wholly or in part, in a training corpus.
 
 Method: every document is brought to the form of problem 8 and cut into words. One pass over the corpus finds
-the word n-grams that occur in any test item and keeps only the passages around them. Over all those hits the
-document frequency of each n-gram is counted; for every window of ``min_run`` words of an item the rarest of its
-n-grams is a seed, and so is every n-gram that belongs to one item only and occurs in at most ``rare_df``
-documents. Seeds join passages to items, and a Smith-Waterman alignment of words scores each pair,
-so that edited copies are scored too. ``longest_run`` is the exact number of consecutive words in common.
+the word n-grams that occur in any test item and keeps only the passages around them. Over those passages
+every item that shares an n-gram with a passage is aligned to it, however frequent the n-gram is: a Smith-Waterman
+alignment of words scores each pair, so that edited copies are scored too. ``longest_run`` is the exact number of
+consecutive words in common. Where only runs count, document frequencies are taken over the hits, and for every window
+of ``min_run`` words of an item only the rarest of its n-grams is a seed that joins passages to items.
 
 A window of ``min_run`` >= n words contains a seed whatever the frequencies are, hence no passage of that length
 is missed. Null, empty and wordless texts and items match nothing; repeated rows each get their own result;
@@ -114,26 +114,30 @@ def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 256)
     for at in range(0, len(by_length), together):
         group = by_length[at : at + together]
         width = max(len(pairs[k][1]) for k in group)
-        a = np.full((max(len(pairs[k][0]) for k in group), len(group)), -2, dtype=np.int32)
-        b = np.full((len(group), width), -3, dtype=np.int32)
-        for row, k in enumerate(group):
-            a[: len(pairs[k][0]), row], b[row, : len(pairs[k][1])] = pairs[k]
-        score, run = np.zeros((len(group), width + 1), dtype=np.int32), np.zeros((len(group), width + 1), dtype=np.int32)
-        best, longest = np.zeros(len(group), dtype=np.int32), np.zeros(len(group), dtype=np.int32)
-        ramp = np.arange(width + 1, dtype=np.int32) * -GAP
+        height = max(len(pairs[k][0]) for k in group)
+        # One pair a column, so that every step runs along whole rows; short numbers where no score can exceed them.
+        kind = np.int16 if MATCH * min(height, width) + width < 2**15 else np.int32
+        a = np.full((height, len(group)), -2, dtype=np.int32)
+        b = np.full((width, len(group)), -3, dtype=np.int32)
+        for column, k in enumerate(group):
+            a[: len(pairs[k][0]), column], b[: len(pairs[k][1]), column] = pairs[k]
+        score, run, best, longest = (np.zeros((width + 1, len(group)), dtype=kind) for _ in range(4))
+        ramp = (np.arange(width + 1) * -GAP).astype(kind)[:, None]
+        match, mismatch, gap = kind(MATCH), kind(MISMATCH), kind(GAP)
         for x in a:
-            same = b == x[:, None]
+            same = b == x
             fresh = np.zeros_like(score)
-            fresh[:, 1:] = np.maximum(score[:, :-1] + np.where(same, MATCH, MISMATCH), score[:, 1:] + GAP)
+            fresh[1:] = np.maximum(score[:-1] + np.where(same, match, mismatch), score[1:] + gap)
             np.maximum(fresh, 0, out=fresh)
-            score = np.maximum.accumulate(fresh + ramp, axis=1) - ramp
+            fresh += ramp
+            score = np.maximum.accumulate(fresh, axis=0) - ramp
             moved = np.zeros_like(run)
-            moved[:, 1:] = (run[:, :-1] + 1) * same
+            moved[1:] = (run[:-1] + kind(1)) * same
             run = moved
-            np.maximum(best, score.max(axis=1), out=best)
-            np.maximum(longest, run.max(axis=1), out=longest)
-        for row, k in enumerate(group):
-            out[k] = int(best[row]), int(longest[row])
+            np.maximum(best, score, out=best)
+            np.maximum(longest, run, out=longest)
+        for k, most, run_of in zip(group, best.max(axis=0), longest.max(axis=0)):
+            out[k] = int(most), int(run_of)
     return out
 
 
@@ -153,9 +157,47 @@ def _aligned(prompts: dict[int, list[str]]):
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12, margin: int = 24, rare_df: int = 1000, block_items: int = 5000) -> DataFrame:
-    """Scores of all (item, document) pairs joined by a seed: item_id, doc_id, score, longest_run, item_words.
+def _scored(prompts: dict[int, list[str]], n: int, together: int = 4096):
+    """mapInPandas function: words of a passage -> scores of all items that share an n-gram with it, of frequent n-grams too."""
+    ids = {w: k for k, w in enumerate(dict.fromkeys(w for words in prompts.values() for w in words))}
+    sides = {item: np.array([ids[w] for w in words], dtype=np.int32) for item, words in prompts.items()}
+    holders: dict[tuple, list[int]] = {}
+    for item, words in prompts.items():
+        for gram in {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}:
+            holders.setdefault(gram, []).append(item)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs, items = [], []
+
+            def flush():
+                # One row per passage: its words, the longest part of a row, are written once for all its items.
+                scores, at, rows = align_many(pairs), 0, []
+                for text, near in items:
+                    own = scores[at : at + len(near)]
+                    rows.append((text, [{"item_id": i, "score": s, "longest_run": r, "item_words": len(sides[i])} for i, (s, r) in zip(near, own)]))
+                    at += len(near)
+                pairs.clear(), items.clear()
+                return pd.DataFrame(rows, columns=["words", "found"])
+
+            for text in batch["words"]:
+                words = text.split(" ")
+                near = sorted({item for i in range(len(words) - n + 1) for item in holders.get(tuple(words[i : i + n]), ())})
+                side = np.array([ids.get(w, -1) for w in words], dtype=np.int32)
+                pairs += [(side, sides[i]) for i in near]
+                items.append((text, near))
+                if len(pairs) >= together:
+                    yield flush()
+            if items:
+                yield flush()
+
+    return run
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12, margin: int = 24, block_items: int = 5000, runs_only: bool = False) -> DataFrame:
+    """Scores of all (item, document) pairs that share n words in a row: item_id, doc_id, score, longest_run, item_words.
+
+    ``runs_only``: of the pairs without ``min_run`` words in a row some are left out, which is quicker; all others come out.
     ``docs`` has doc_id and text, ``items`` item_id and prompt. Items are taken in blocks of about
     ``block_items``: what a block sends to the workers is bounded by it.
     """
@@ -166,18 +208,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12,
     docs = spread(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "prompt").where(F.col("item_id").isNotNull() & F.col("prompt").isNotNull())
     blocks = max(1, math.ceil(items.count() / block_items))
-    parts = [_leaks_of_block(spark, docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), n, min_run, margin, rare_df) for k in range(blocks)]
+    parts = [_leaks_of_block(spark, docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), n, min_run, margin, runs_only) for k in range(blocks)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _leaks_of_block(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int, min_run: int, margin: int, rare_df: int) -> DataFrame:
+def _leaks_of_block(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int, min_run: int, margin: int, runs_only: bool) -> DataFrame:
     words_of = make_words()
     prompts = {r["item_id"]: words_of(r["prompt"]) for r in items.collect()}
     known = frozenset(tuple(w[i : i + n]) for w in prompts.values() for i in range(len(w) - n + 1))
     passages = cut_lineage(docs.mapInPandas(_passages(known, n, margin), "doc_id long, passage int, words string, grams array<string>"))
+    best = [F.max(c).alias(c) for c in ("score", "longest_run", "item_words")]
+    if not runs_only:
+        kind = "words string, found array<struct<item_id: long, score: int, longest_run: int, item_words: int>>"
+        # Copies of a passage are aligned once; the items travel in one row, so that no frequent n-gram gathers rows.
+        distinct = passages.select("words").distinct().repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        scores = distinct.mapInPandas(_scored(prompts, n), kind)
+        return passages.select("doc_id", "words").join(scores, "words").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").groupBy("item_id", "doc_id").agg(*best)
     hits = passages.select("doc_id", "passage", F.explode("grams").alias("gram"))
     frequency = hits.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     grams = pd.DataFrame([(item, pos, gram) for item, words in prompts.items() for pos, gram in enumerate(grams_of(words, n))], columns=["item_id", "pos", "gram"])
@@ -185,12 +234,10 @@ def _leaks_of_block(spark: SparkSession, docs: DataFrame, items: DataFrame, n: i
     # The rarest n-gram of every window. One without a hit occurs in no document: then no document holds the window.
     ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, min_run - n)
     rarest = table.withColumn("seed", F.min(F.struct("df", "gram")).over(ahead)).select("item_id", F.col("seed.gram").alias("gram"))
-    # N-grams of one item only that are rare in the corpus, too: they find copies edited more often than every min_run words.
-    own = table.groupBy("gram").agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("last"), F.max("df").alias("df")).where((F.col("item_id") == F.col("last")) & F.col("df").between(1, rare_df)).select("item_id", "gram")
-    seeds = rarest.union(own).distinct()
+    seeds = rarest.distinct()
     pairs = hits.join(seeds, "gram").select("item_id", "doc_id", "passage").distinct()
     texts = pairs.join(passages.select("doc_id", "passage", "words"), ["doc_id", "passage"])
     # Copies of a passage are aligned once.
     distinct = texts.select("item_id", "words").distinct().mapInPandas(_aligned(prompts), "item_id long, words string, score int, longest_run int, item_words int")
     scored = texts.select("item_id", "doc_id", "words").join(distinct, ["item_id", "words"])
-    return scored.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
+    return scored.groupBy("item_id", "doc_id").agg(*best)

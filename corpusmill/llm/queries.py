@@ -57,7 +57,7 @@ def p6_fill(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
-    leaks = leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "bench_items"))
+    leaks = leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "bench_items"), runs_only=True)
     return leaks.where(F.col("longest_run") >= 12).select("item_id", "doc_id")
 
 

@@ -1,11 +1,14 @@
 """Queries that do the whole job, against brute force on small fixtures."""
 
 import ast
+import random
 import warnings
 
+import numpy as np
 import pytest
 
 from corpusmill.functions import subword
+from corpusmill.llm import leakage
 from corpusmill.llm import queries as llm
 from corpusmill.plans import catalog
 from corpusmill.session import table
@@ -71,3 +74,31 @@ def test_rates_cover_the_exercises(spark, tmp_path):
         ("code_files", "content", "a/b", "python"): (2, 1, 0.5), ("code_files", "content", "unknown", "python"): (1, 0, 0.0),
         ("kodcode_v1", "solution", "unknown", "python"): (3, 1, 0.333333), ("kodcode_v1", "test", "unknown", "python"): (2, 1, 0.5),
     }
+
+
+def test_every_shared_passage_is_scored(spark):
+    # Old seeds: the rarest n-gram of a window, and those of one item; here both items share the n-grams that are left whole.
+    rng = random.Random(3)
+    shared = [f"common{k}" for k in range(8)]
+    items = {i: [f"i{i}a{k}" for k in range(6)] + shared + [f"i{i}b{k}" for k in range(20)] for i in (1, 2)}
+    docs = {}
+    for d in range(60):
+        words = [f"x{rng.randrange(400)}" for _ in range(20)]
+        for i, p in items.items():
+            # Every third word of the item is another; only the n-gram that both items have is left whole.
+            words += [w if w in shared or k % 3 and k not in (5, 14) else "other" for k, w in enumerate(p)] if d % (2 * i) == 0 else []
+        docs[d] = words + [f"y{rng.randrange(400)}" for _ in range(20)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, prompt string")
+    want = {}
+    for d, words in docs.items():
+        for i, p in items.items():
+            ids = {w: k for k, w in enumerate(p)}
+            grams = set(leakage.grams_of(words, 5)) & set(leakage.grams_of(p, 5))
+            score = leakage.align(np.array([ids.get(w, -1) for w in words]), np.arange(len(p)))
+            if grams and score[0] >= 24:
+                want[i, d] = score
+    got = {(r["item_id"], r["doc_id"]): (r["score"], r["longest_run"]) for r in leakage.find_leaks(df, bench).where("score >= 24").collect()}
+    assert got == want and len(want) >= 30
+    rare = leakage.find_leaks(df, bench, runs_only=True)
+    assert rare.where("longest_run >= 12").count() == sum(r >= 12 for _, r in want.values())
