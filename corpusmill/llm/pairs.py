@@ -12,6 +12,7 @@ texts are empty; a pair without a question can only be empty or truncated. Repea
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
@@ -157,17 +158,44 @@ class LanguageModel:
 class EndModel:
     """How often a text ends after given last words. Digits are one class, names in the middle of a sentence another."""
 
+    #: Its counts, by name; each is of token tuples but the vocabulary, of words, and bare, of texts of code alone.
+    COUNTS = ("all", "ends", "item_all", "item_ends", "vocabulary", "bare")
+
     def __init__(self, answers: list[str]):
-        self.ends: Counter = Counter()
-        self.all: Counter = Counter()
-        self.item_ends: Counter = Counter()
-        self.item_all: Counter = Counter()
-        self.vocabulary: Counter = Counter()
-        bare = bare_ended = 0
+        self.start()
+        self.add(answers)
+        self.settle()
+
+    @classmethod
+    def of_rows(cls, rows: DataFrame, column: str) -> EndModel:
+        """The model of all texts of a column: counted in the workers, and of the sums only those that reach the thresholds come to the driver."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                part = cls.__new__(cls)
+                part.start()
+                part.add([t for t in batch[column] if t and t.strip()])
+                found = [(name, json.dumps(key), n) for name in cls.COUNTS for key, n in getattr(part, name).items()]
+                yield pd.DataFrame(found, columns=["name", "key", "n"])
+
+        sums = rows.select(column).mapInPandas(count, "name string, key string, n long").groupBy("name", "key").agg(F.sum("n").alias("n"))
+        model = cls.__new__(cls)
+        model.start()
+        for r in sums.where((F.col("n") >= 2) | (F.col("name") == "bare")).toLocalIterator():
+            key = json.loads(r["key"])
+            getattr(model, r["name"])[tuple(key) if isinstance(key, list) else key] = r["n"]
+        model.settle()
+        return model
+
+    def start(self) -> None:
+        for name in self.COUNTS:
+            setattr(self, name, Counter())
+
+    def add(self, answers: list[str]) -> None:
         for text in answers:
             if is_bare_code(text):
-                bare += 1
-                bare_ended += text.endswith("\n")
+                self.bare["all"] += 1
+                self.bare["ended"] += text.endswith("\n")
             prose = prose_of(text)
             lines = [line for line in prose.split("\n") if line.strip()]
             for k, line in enumerate(lines):
@@ -194,7 +222,9 @@ class EndModel:
                             ends[tuple(tokens[-n:])] += 1
                     if len(tokens) >= 3:
                         ends[tokens[-3], None, tokens[-1]] += 1
-        self.code_ends_line = bare >= 20 and bare_ended > 0.9 * bare
+
+    def settle(self) -> None:
+        self.code_ends_line = self.bare["all"] >= 20 and self.bare["ended"] > 0.9 * self.bare["all"]
         words = sorted(w for w, n in self.vocabulary.items() if n >= 3)
         self.longer = {w[:k] for w in words for k in range(1, len(w))}
         self.vocabulary = Counter({w: n for w, n in self.vocabulary.items() if n >= 2})
@@ -237,8 +267,8 @@ class EndModel:
         return self.vocabulary[word] < 2 and word in self.longer
 
 
-def fit(rows: list[tuple[int, str | None, str | None, str | None]]) -> tuple[LanguageModel, EndModel]:
-    """Both models from labelled rows (id, question, answer, language)."""
+def fit_languages(rows: list[tuple[int, str | None, str | None, str | None]]) -> LanguageModel:
+    """The language model from labelled rows (id, question, answer, language)."""
     asks = re.compile(ASKS_TRANSLATION + "|" + "|".join(LANGUAGE_NAMES.values()), re.I)
     texts = []
     for _, question, answer, language in rows:
@@ -246,7 +276,12 @@ def fit(rows: list[tuple[int, str | None, str | None, str | None]]) -> tuple[Lan
             texts.append((language, prose_of(question)))
             if answer and not asks.search(question):
                 texts.append((language, prose_of(answer)))
-    return LanguageModel(texts), EndModel([answer for _, _, answer, _ in rows if answer and answer.strip()])
+    return LanguageModel(texts)
+
+
+def fit(rows: list[tuple[int, str | None, str | None, str | None]]) -> tuple[LanguageModel, EndModel]:
+    """Both models from labelled rows (id, question, answer, language)."""
+    return fit_languages(rows), EndModel([answer for _, _, answer, _ in rows if answer and answer.strip()])
 
 
 def make_judge(languages: LanguageModel, ends: EndModel):
@@ -395,11 +430,14 @@ def _shaped(pairs: DataFrame) -> DataFrame:
 
 
 def pair_defects(pairs: DataFrame, sample: int = 5_000) -> DataFrame:
-    """pair_id and defect (null if the answer serves) of every row."""
+    """pair_id and defect (null if the answer serves) of every row.
+
+    The language model is fitted on ``sample`` labelled rows; the counts of ends are over all rows.
+    """
     ship_by_value()
     rows = _shaped(pairs)
     drawn = rows.orderBy(F.xxhash64("pair_id"), "pair_id").limit(sample).select("pair_id", "question", "answer", "label").collect()
-    models = fit([tuple(r) for r in drawn])
+    models = fit_languages([tuple(r) for r in drawn]), EndModel.of_rows(spread(rows), "answer")
     shared = pairs.sparkSession.sparkContext.broadcast(models)
 
     def judged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

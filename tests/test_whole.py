@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from corpusmill.functions import subword
-from corpusmill.llm import leakage
+from corpusmill.llm import leakage, pairs
 from corpusmill.llm import queries as llm
 from corpusmill.plans import catalog
 from corpusmill.session import table
@@ -102,3 +102,14 @@ def test_every_shared_passage_is_scored(spark):
     assert got == want and len(want) >= 30
     rare = leakage.find_leaks(df, bench, runs_only=True)
     assert rare.where("longest_run >= 12").count() == sum(r >= 12 for _, r in want.values())
+
+
+def test_ends_are_counted_over_all_rows(spark, data, monkeypatch):
+    rows = pairs._shaped(table(spark, data, "sft_pairs"))
+    whole = pairs.EndModel([r["answer"] for r in rows.collect() if r["answer"] and r["answer"].strip()])
+    counted = pairs.EndModel.of_rows(rows.repartition(3), "answer")
+    assert vars(counted) == vars(whole) and whole.all
+    used = []
+    monkeypatch.setattr(pairs.EndModel, "settle", lambda self, settle=pairs.EndModel.settle: (settle(self), used.append(self))[0])
+    pairs.pair_defects(table(spark, data, "sft_pairs"), sample=5)
+    assert [m.all for m in used] == [whole.all]
