@@ -275,7 +275,7 @@ def best_path(line: str, log_probs: dict[str, float], unknown: float = -20.0) ->
     return out[::-1], best[-1]
 
 
-def train_unigram(df: DataFrame, text: str, vocab_size: int, rounds: int = 2, seeds: int = 4000, prune: float = 0.2) -> Subword:
+def train_unigram(df: DataFrame, text: str, vocab_size: int, rounds: int = 2, seeds: int = 10_000, prune: float = 0.2) -> Subword:
     """Frequent substrings as seeds, expectation by best paths over the corpus, pruning until the size is reached.
 
     Every expectation step is one distributed pass; the driver sees pieces and their counts, at most ``seeds`` and the alphabet.

@@ -113,3 +113,16 @@ def test_ends_are_counted_over_all_rows(spark, data, monkeypatch):
     monkeypatch.setattr(pairs.EndModel, "settle", lambda self, settle=pairs.EndModel.settle: (settle(self), used.append(self))[0])
     pairs.pair_defects(table(spark, data, "sft_pairs"), sample=5)
     assert [m.all for m in used] == [whole.all]
+
+
+def test_unigram_starts_from_ten_thousand_seeds(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    texts = [(k, "".join(rng.choice("abcdefgh ") for _ in range(90))) for k in range(12)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes, passes = [], []
+    monkeypatch.setattr(subword, "_normal", lambda counts, normal=subword._normal: (sizes.append(len(counts)), normal(counts))[1])
+    monkeypatch.setattr(subword, "_expected", lambda lines, p, expected=subword._expected: (passes.append(len(p)), expected(lines, p))[1])
+    got = {r["doc_id"]: r["n_tokens"] for r in catalog.queries()["train_unigram"](spark, str(tmp_path)).collect()}
+    pieces = {t[i : i + k] for _, t in texts for i in range(len(t)) for k in range(2, 17) if i + k <= len(t)}
+    assert len(pieces) > 10_000 and sizes[0] == 10_000 + len({c for _, t in texts for c in t})
+    assert passes[0] == passes[1] == sizes[0] and set(got) == set(range(12)) and all(0 < n <= 90 for n in got.values())
