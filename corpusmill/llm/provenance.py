@@ -78,7 +78,7 @@ def make_features():
         if content is None or not content.strip():
             return [0.0] * 5, None, False
         m = lead.match(content)
-        head = m.group()[:4000] if m else ""
+        head = m.group() if m else ""
         taken[0] = 0
         body = lexers.get(language, lexers["javascript"]).sub(take, content)
         dense = body.translate(blank)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from corpusmill.functions import subword
-from corpusmill.llm import leakage, pairs
+from corpusmill.llm import leakage, pairs, provenance
 from corpusmill.llm import queries as llm
 from corpusmill.plans import catalog
 from corpusmill.session import table
@@ -126,3 +126,12 @@ def test_unigram_starts_from_ten_thousand_seeds(spark, tmp_path, monkeypatch):
     pieces = {t[i : i + k] for _, t in texts for i in range(len(t)) for k in range(2, 17) if i + k <= len(t)}
     assert len(pieces) > 10_000 and sizes[0] == 10_000 + len({c for _, t in texts for c in t})
     assert passes[0] == passes[1] == sizes[0] and set(got) == set(range(12)) and all(0 < n <= 90 for n in got.values())
+
+
+def test_leading_comment_is_searched_whole(spark):
+    licence = "".join(f"# Line {k} of the terms under which this text may be passed on to others.\n" for k in range(90))
+    body = "import os\n\n\ndef load(path):\n    return sorted(os.listdir(path))\n"
+    rows = [(1, "o/r", None, "src/a.py", licence + "# Code generated by tool v1. DO NOT EDIT.\n" + body), (2, "o/r", None, "src/b.py", licence + body)]
+    df = spark.createDataFrame(rows, "file_id long, max_stars_repo_name string, repo_name string, max_stars_repo_path string, content string")
+    assert len(licence) > 4000
+    assert {r["file_id"]: r["label"] for r in provenance.file_labels(df).collect()} == {1: "generated", 2: "handwritten"}
