@@ -328,8 +328,6 @@ def make_judge(languages: LanguageModel, ends: EndModel):
         if asks_refusal.search(question):
             return False
         text = " ".join(prose_of(answer).lower().replace("’", "'").split())
-        if len(text) > 700:
-            text = " ".join(re.split(r"(?<=[.!?]) ", text)[:2])
         return bool(refusals.search(text))
 
     def foreign(question: str, answer: str, label: str | None) -> bool:

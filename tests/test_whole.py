@@ -135,3 +135,10 @@ def test_leading_comment_is_searched_whole(spark):
     df = spark.createDataFrame(rows, "file_id long, max_stars_repo_name string, repo_name string, max_stars_repo_path string, content string")
     assert len(licence) > 4000
     assert {r["file_id"]: r["label"] for r in provenance.file_labels(df).collect()} == {1: "generated", 2: "handwritten"}
+
+
+def test_refusal_is_found_anywhere_in_a_long_answer():
+    judge = pairs.make_judge(pairs.LanguageModel([]), pairs.EndModel([]))
+    talk = "The queue keeps its own index, so the reader never has to wait. " * 12
+    assert judge("What is a queue?", None, talk + "I can't help with that request.", "en") == "refusal"
+    assert len(talk) > 700 and judge("What is a queue?", None, talk.strip(), "en") is None
