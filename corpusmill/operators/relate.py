@@ -10,14 +10,45 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import normalize_text, stable_hash
 
 
+def hot_keys(counts: DataFrame, keys: list[str], n: str, most: int = 10_000, least: int = 100_000) -> DataFrame:
+    """Keys with so many rows that they are split, and into how many parts (``__salts``): at most ``most`` keys, whatever the table's size.
+
+    A key is hot above ``least`` rows, and above total / ``most`` of them in tables so large that otherwise more keys could be hot.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    limit = max(least, math.ceil(total / most))
+    return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("__salts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, counts: DataFrame, n: str = "n", how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, a table with few rows per key, where a key may hold most of ``left``.
+
+    ``counts`` has the rows of ``left`` per key in ``n`` (checkpointed, as it is read twice). Rows of hot keys are split by a hash of
+    ``spread_by`` and meet a copy each of the key's rows on the right. Null keys match nothing and are spread too. ``how``: inner or left.
+    """
+    hot = F.broadcast(hot_keys(counts, keys, n))
+    lost = F.col(keys[0]).isNull()
+    for key in keys[1:]:
+        lost = lost | F.col(key).isNull()
+    hashed = F.xxhash64(spread_by)
+    rows = left.join(hot, keys, "left").withColumn("__salt", F.when(lost, F.pmod(hashed, F.lit(1024))).otherwise(F.coalesce(F.pmod(hashed, F.col("__salts")), F.lit(0))).cast("int"))
+    sides = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    return rows.drop("__salts").join(sides.drop("__salts"), [*keys, "__salt"], how).drop("__salt")
+
+
 def shared_keys(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """The distinct keys that occur on both sides."""
     return a.select(F.col(key_a).alias("key")).intersect(b.select(F.col(key_b).alias("key")))
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, key: str, other: str) -> DataFrame:
-    """Rows whose key is not among ``keys``. A null key stays: it matches nothing."""
-    return df.join(keys.select(F.col(other).alias("__key")).where("__key is not null").distinct(), F.col(key) == F.col("__key"), "left_anti")
+    """Rows whose key is not among ``keys``. A null key stays: it matches nothing.
+
+    Null keys are spread by the whole row's hash, so that they do not meet in one task; other hot keys are split by Spark at run time.
+    """
+    lone = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not dict(df.dtypes)[c].startswith(("map", "variant"))]), F.lit(1024))).otherwise(F.lit(0))
+    wanted = keys.select(F.col(other).alias("__key")).where("__key is not null").distinct()
+    return df.join(wanted, (F.col(key) == F.col("__key")) & (lone == F.lit(0)), "left_anti")
 
 
 def union_keys(*sides: tuple[DataFrame, str]) -> DataFrame:
