@@ -87,8 +87,11 @@ def test_labels(spark):
     df = spark.createDataFrame(data, "file_id long, max_stars_repo_name string, repo_name string, max_stars_repo_path string, content string, label string, e0 double")
     labels = {r["file_id"]: r["label"] for r in provenance.file_labels(df).collect()}
     assert labels == {k: want for k, (_, _, want) in enumerate(rows)} | {100: "handwritten"}
-    split = {r["file_id"]: r["label"] for r in provenance.file_labels(df, hot_files=2).collect()}
-    assert split == labels
+    by_level = {r["file_id"]: r["label"] for r in provenance.file_labels(df, max_dirs=0).collect()}
+    assert by_level == labels
+    # The copy in node_modules has nothing of its own that says so: its tree decides.
+    own = {r["file_id"]: r["label"] for r in provenance.own_labels(df).collect()}
+    assert own[5] == "handwritten" and labels[5] == "vendored"
     assert provenance.found_machine_made(df.limit(0)).count() == 0
 
 
@@ -105,12 +108,12 @@ def brute_beliefs(files):
         row = [0.0] * 5
         for label, names in provenance.HINT_DIRS.items():
             row[provenance.LABELS.index(label)] = 0.7 if last in names.split() else 0.0
-        row[3] = 9.0 if last in provenance.VENDOR_DIRS.split() else -2.0
+        row[3] = provenance.OBSERVED if last in provenance.VENDOR_DIRS.split() else 0.0
         own[d] = row
     totals = [[0.0] * 5 for _ in files]
     for states in itertools.product(range(5), repeat=len(dirs)):
         at = dict(zip(dirs, states))
-        weight = math.prod(math.exp(own[d][at[d]]) * (provenance.PRIOR[at[d]] if d == "" else provenance.COMPATIBLE[at[d.rpartition("/")[0]]][at[d]]) for d in dirs)
+        weight = math.prod(math.exp(own[d][at[d]]) * (provenance.PRIOR[at[d]] if d == "" else 1.0 if own[d][3] > 0 else provenance.DIRECTORIES[at[d.rpartition("/")[0]]][at[d]]) for d in dirs)
         terms = [[math.exp(e[k]) * provenance.COMPATIBLE[at[d]][k] for k in range(5)] for d, e in files]
         whole = weight * math.prod(sum(t) for t in terms)
         for f, t in enumerate(terms):
@@ -123,9 +126,28 @@ def test_beliefs_are_exact(spark, monkeypatch):
     rng = random.Random(6)
     places = ["", "a", "a/gen", "vendor", "a"]
     files = [(d, [0.0] + [rng.uniform(-3, 3) for _ in range(4)]) for d in places]
-    rows = [(k, "r", d, False, e) for k, (d, e) in enumerate(files)]
-    schema = "file_id long, repo string, dir string, blank boolean, e array<double>"
-    monkeypatch.setattr(provenance, "file_evidence", lambda code: spark.createDataFrame(rows, schema))
-    got = {r["file_id"]: [r[f"p_{x}"] for x in provenance.LABELS] for r in provenance.file_labels(None).collect()}
-    for k, want in enumerate(brute_beliefs(files)):
-        assert got[k] == pytest.approx(want, abs=1e-9)
+    rows = [(k, "r", d, False, f"text {k}", e) for k, (d, e) in enumerate(files)]
+    copies = [(100 + k, *row[1:]) for k, row in enumerate(rows)]  # a file crawled twice speaks once
+    schema = "file_id long, repo string, dir string, blank boolean, body string, e array<double>"
+    monkeypatch.setattr(provenance, "file_evidence", lambda code: spark.createDataFrame(rows + copies, schema))
+    for max_dirs in (1000, 0):
+        got = {r["file_id"]: [r[f"p_{x}"] for x in provenance.LABELS] for r in provenance.file_labels(None, max_dirs=max_dirs).collect()}
+        for k, want in enumerate(brute_beliefs(files)):
+            assert got[k] == pytest.approx(want, abs=1e-9) and got[100 + k] == got[k]
+
+
+def test_trees_decide(spark):
+    """Siblings, parents and grandparents label files that show nothing themselves; nothing else in the repository is touched."""
+    plain = lambda k: HAND.format(f"p{k}", f"P{k}")
+    noted = lambda k: LIBRARY.replace("load_foo", f"load_n{k}")
+    rows = [("third_party/zlib/src/deep/a.py", plain(1), "vendored"), ("vendor/x.py", plain(2), "vendored"), ("src/x.py", plain(3), "handwritten")]
+    rows += [(f"libs/kit/n{k}.py", noted(k), "vendored") for k in range(6)] + [("libs/kit/m.py", plain(4), "vendored")]
+    rows += [("src/one.py", noted(9), "vendored"), ("src/y.py", plain(5), "handwritten"), ("src/z.py", plain(6), "handwritten"), ("libs/own.py", plain(7), "handwritten")]
+    data = [(k, "o/r", None, path, text) for k, (path, text, _) in enumerate(rows)] + [(99, None, None, "vendor_x.py", plain(8))]
+    df = spark.createDataFrame(data, "file_id long, max_stars_repo_name string, repo_name string, max_stars_repo_path string, content string")
+    labels = {r["file_id"]: r["label"] for r in provenance.file_labels(df).collect()}
+    assert labels == {k: want for k, (_, _, want) in enumerate(rows)} | {99: "handwritten"}
+    own = {r["file_id"]: r["label"] for r in provenance.own_labels(df).collect()}
+    assert [k for k in labels if labels[k] != own[k]] == [0, 1, 9]
+    long = provenance.make_features()("a.py", "python", "# " + "word " * 3000 + "\n# Code generated by tool. DO NOT EDIT.\n" + plain(1))
+    assert long[0][1] > 3
