@@ -1,13 +1,17 @@
-"""Problem 3: prompt and response pairs whose answer does not serve the question.
+"""Problem 3: prompt and response pairs whose answer does not serve its question.
 
 Method: the language of question and answer is the one with the highest posterior under naive Bayes over character
-n-grams; an answer in another language than the question's (or than one the question asks for) is a defect. Truncation
+n-grams; an answer in another language than the question's (or than one the question asks for) is a defect. So is one of whose words
+hardly any belong to the question's language, whatever language they are in. Truncation
 is judged by the likelihood that a text ends where the answer ends, given its last words: n-grams of ends and of all
-places are counted over complete lines and answers. Emptiness, refusals and copies are found by rules before that. Each pair
-has at most one defect, the first of: empty, copy, refusal, language, truncated.
-
-The two models are fitted on at most ``sample`` rows, those with the smallest hash of their id; all rows are judged. Null
-texts are empty; a pair without a question can only be empty or truncated. Repeated rows are judged alike; other columns are ignored.
+places are counted over complete lines and answers. Emptiness and copies are found by rules before that. A refusal is a sentence
+that says of the speaker (or of the request) that an answer is not given: it is scored by what kinds of words it has, not by phrases,
+and the score must outweigh what the rest of the answer adds to the question. Each pair has at most one defect, the first of:
+empty, copy, refusal, language, truncated.
+
+The language model is fitted on at most ``sample`` rows drawn by the hash of their id; the counts of ends are over all rows, and all rows
+are judged. Null texts are empty; a pair without a question can only be empty or truncated. Repeated rows are judged alike; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,33 +34,46 @@ from corpusmill.session import ship_by_value, spread
 
 #: Answers that only hold a place, compared without case, blanks and surrounding punctuation.
 PLACEHOLDERS = frozenset("n/a|na|n.a|tbd|tba|todo|to do|to be done|fixme|xxx|no answer|no response|no output|empty|blank|placeholder|null|nil|undefined|missing|not available|not applicable|answer|response|output|your answer here|insert answer here|lorem ipsum|keine antwort|pas de réponse|sin respuesta".split("|"))
-#: Statements by which an answer declines, by language; compared in lower case with plain apostrophes.
-REFUSALS = {
-    "en": (
-        r"\bi(?: am|'m)? (?:sorry|afraid)\b.{0,30}\b(?:can't|cannot|can not|won't|unable|not able|must|have to|do not feel|don't feel|it would not|would rather|'d rather|my guidelines)\b",
-        r"\bi (?:can't|cannot|can not|could not|couldn't|won't|will not|would not|wouldn't) (?:be (?:able|answering|helping|providing|discussing)|help|assist|answer|comply|provide|discuss|explain|write|do that|do this|solve|go into|fulfil|complete|share|give|offer|respond|support|engage|continue)",
-        r"\bi(?: am|'m) (?:unable|not able|not allowed|not permitted|not comfortable|not in a position|prohibited|going to (?:pass|decline))\b",
-        r"\bi (?:must|have to|need to|will have to) (?:decline|pass|refuse|leave (?:this|that|it))\b", r"\bi (?:decline|refuse|respectfully decline)\b",
-        r"\bi(?:'d| would) (?:rather|prefer) not\b", r"\bi (?:do not|don't) feel comfortable\b", r"\bi (?:don't|do not) (?:answer|discuss|help with|provide)\b",
-        r"\b(?:my|our|the) (?:guidelines|policies|policy|rules|instructions) (?:don't|do not|doesn't|does not|prohibit|forbid|prevent|won't|will not)\b",
-        r"\boff limits (?:for|to) (?:me|us)\b", r"\boutside (?:of )?what i(?: am|'m)? (?:allowed|permitted|able)\b", r"\bbeyond what i(?: am|'m)? (?:allowed|permitted|able|can)\b",
-        r"\bno way for me to (?:help|assist|answer|provide|do|explain)\b", r"\bno answer (?:can|will|could) be (?:given|provided)\b", r"\bnot (?:be )?(?:appropriate|possible|right) for me\b", r"\bsomething i (?:must|have to|will|would rather) leave to others\b",
-        r"\bsomething i (?:won't|can't|cannot|will not|do not|don't)\b", r"\bas an? (?:ai|text|language|chat)[\w ]*(?:model|assistant|bot)?,? .{0,80}\b(?:can't|cannot|won't|unable|not able|no way|off limits|outside|leave to others|must|rather not|decline|not be appropriate|no answer)",
-        r"\b(?:this|that|your) (?:request|question|topic|task)(?: \w+)? (?:is|was) (?:declined|refused|off limits|not something i)",
-    ),
-    "de": (
-        r"\b(?:kann|darf|möchte|werde|will|könnte) ich (?:mich |ihnen |dir |das |dazu |hier |dabei |leider |diese \w+ |ich )*nicht\b", r"\bich (?:kann|darf|möchte|werde|will) (?:\w+ ){0,5}nicht (?:\w+ ){0,3}(?:helfen|beantworten|antworten|äußern|unterstützen|erklären|weiterhelfen|nachkommen|schreiben|bearbeiten)",
-        r"\bmuss ich (?:\w+ ){0,2}(?:passen|ablehnen|absagen)\b", r"\bich (?:muss|möchte) (?:\w+ ){0,4}ablehnen\b", r"\bantwort (?:\w+ ){0,3}gebe ich nicht\b", r"\b(?:darf|kann) ich leider nicht\b", r"\bist mir (?:leider )?nicht (?:erlaubt|gestattet|möglich)\b", r"\bnicht (?:helfen|beantworten|weiterhelfen)\b.{0,25}$",
-    ),
-    "fr": (
-        r"\bje ne (?:peux|puis|suis|saurais|souhaite|veux|vais|pourrai) (?:\w+ ){0,3}(?:pas|répondre|aider)\b", r"\bil (?:m'est|ne m'est) (?:\w+ ){0,2}(?:impossible|possible|permis)\b", r"\bje (?:préfère|préférerais|dois|voudrais) (?:ne pas|refuser|décliner|m'abstenir|passer)\b",
-        r"\b(?:dépasse|sort de|hors de) ce (?:que|qui) (?:je|m'|j')", r"\bje (?:refuse|décline|regrette)\b", r"\bnon autorisé à (?:répondre|faire|aider)\b", r"\bpas (?:autorisé|en mesure)\b",
-    ),
-    "es": (
-        r"\bno (?:puedo|podré|podría|debo|quiero|voy a) (?:\w+ ){0,2}(?:ayudar\w*|contestar|responder|hacer|explicar|atender|dar|ofrecer|proporcionar|tratar|escribir|comentar)\b", r"\bno (?:me|se me) (?:está|es|ha sido) (?:\w+ )?(?:permitido|posible)\b", r"\b(?:prefiero|preferiría|debo|tengo que) (?:no|declinar|rechazar|abstenerme|pasar)\b",
-        r"\bfuera de lo que puedo\b", r"\bme temo que (?:no|esa|ese|esta|este)\b.{0,40}\b(?:fuera|puedo|posible)\b", r"\b(?:rehúso|declino|me niego)\b", r"\bno estoy (?:autorizad|en condiciones|capacitad)\w*\b",
-    ),
+#: Kinds of words of a refusing sentence, by language, with their weights: what is not done (without it nothing is refused), who does not do it,
+#: what service is meant, words for the request, for what forbids it, and apologies. Compared in lower case with plain apostrophes.
+REFUSAL_CUES = {
+    "en": {
+        "not": (3.0, r"can't|cannot|can not|couldn't|could not|won't|will not|wouldn't|would not|shouldn't|must not|unable|isn't (?:something|anything|possible)|(?:am|'m|is|are|be|was|were|'re)? ?not (?:be )?(?:able|going|allowed|permitted|comfortable|willing|something|anything|possible|appropriate|right|available|in a position|prepared|here to|meant to|supposed to)|(?:do not|don't) (?:feel|think i|answer|discuss|help|provide|do|give|have permission|offer|take|write|support|permit|allow)|declin\w*|refus\w*|rather not|prefer not|(?:must|have to|need to|going to|will have to|'ll have to|'ll) (?:pass|skip)|off[- ]limits|prohibit\w*|forb[ia]d\w*|(?:go|goes|is|are|be) against|outside (?:of )?(?:what|my|the scope)|beyond (?:what|my|the scope)|no way for|no (?:answer|help|response|explanation|solution)\b|to others|unanswered|sit this one out|prevents? me|steer clear"),
+        "self": (1.0, r"i|i'm|i'd|i'll|me|my|myself|we|us|our|(?:this|an?|the) (?:ai|assistant|model|bot|chatbot|language model|text model)"),
+        "service": (1.5, r"help\w*|assist|assisting|assistance|answer\w*|respond\w*|response|reply|replies|compl(?:y|ying)|provid\w+|discuss\w*|explain\w*|writ(?:e|ing)|solv(?:e|ing)|giv(?:e|en|ing)|offer\w*|shar(?:e|ing)|support|engag\w+|fulfil\w*|do that|do this|doing (?:this|that)|go(?:ing)? into|handl(?:e|ing)|address|produc(?:e|ing)|generat(?:e|ing)|work on|accommodat\w+|talk(?:ing)? about|get into|take on|continue"),
+        "request": (1.0, r"(?:this|that|your|such|the|these|those|that kind of|this kind of|of this|of that) (?:request|question|topic|task|query|one|subject|matter|kind|sort|thing|conversation)s?"),
+        "bound": (1.5, r"guidelines?|polic(?:y|ies)|rules|scope|instructions|programming|programmed|restrictions?|permit\w*|allow\w*|authori[sz]\w+|comfortable|appropriate|position|off[- ]limits"),
+        "sorry": (1.0, r"sorry|apolog\w+|afraid|unfortunately|regret\w*|forgive|i appreciate|thanks for|thank you for|as an? (?:\w+ )?(?:ai|model|assistant|bot)"),
+    },
+    "de": {
+        "not": (3.0, r"nicht|ablehn\w*|lehne|passen|verweiger\w*|absagen|unmöglich|außerstande|keine (?:antwort|auskunft|hilfe)|verzichte\w*"),
+        "self": (1.0, r"ich|mir|mich|meine?\w*|wir|uns"),
+        "service": (1.5, r"helfen|hilfe|weiterhelfen|behilflich|\w*antwort\w*|äußern|unterstütz\w*|erklär\w*|nachkomm\w*|schreiben|bearbeit\w*|auskunft|besprechen|eingehen|diskutier\w*|dienen|ablehnen|passen|leisten|erfüllen"),
+        "request": (1.0, r"diese\w* (?:anfrage|frage|bitte|thema|aufgabe|anliegen|wunsch)|ihr\w* (?:anfrage|frage|bitte|anliegen)|dazu|dabei|damit|darauf|hierzu|hier|das|daran"),
+        "bound": (1.5, r"darf|dürfen|erlaubt|gestattet|richtlinien|regeln|vorgaben|befugt|berechtigt|möglich"),
+        "sorry": (1.0, r"leid|leider|bedauer\w*|entschuldig\w*|verzeih\w*"),
+    },
+    "fr": {
+        "not": (3.0, r"(?:ne|n')(?: \w+){1,3} pas|ne pas|ne (?:saurais|puis|peux)|impossible|refus\w*|déclin\w*|dépasse|sort de|sors de|hors de|non autorisé\w*|pas (?:autorisé|en mesure|possible)|m'abst\w+|regrette"),
+        "self": (1.0, r"je|j'\w+|me|m'\w+|mon|ma|mes|moi|nous|cet assistant"),
+        "service": (1.5, r"répon\w+|aid\w+|fourni\w*|traiter|expli\w+|écrire|donner|discuter|satisfaire|assister|faire|aborder|parler|accéder|résoudre"),
+        "request": (1.0, r"(?:cette|votre|ta|la) (?:demande|question|requête|tâche)|(?:ce|votre) (?:sujet|thème|point)|cela|ça"),
+        "bound": (1.5, r"autoris\w+|permis\w*|permet\w*|règles|consignes|directives|mesure|impossible"),
+        "sorry": (1.0, r"désolée?|regrett\w+|malheureusement|pardon\w*|excus\w+|navrée?|préf\w+"),
+    },
+    "es": {
+        "not": (3.0, r"no|imposible|rehús\w+|declin\w+|me niego|fuera de|rechaz\w+|abstener\w*"),
+        "self": (1.0, r"yo|me|mi|mis|puedo|podré|podría|debo|quiero|voy|prefiero|preferiría|temo|siento|lamento|estoy|soy|tengo|nos|mí"),
+        "service": (1.5, r"ayud\w+|contest\w+|respond\w+|respuesta|hacer\w*|explic\w+|atend\w+|dar\w*|ofrec\w+|proporcion\w+|tratar\w*|escrib\w+|coment\w+|habl\w+|resolv\w+|cumpl\w+"),
+        "request": (1.0, r"(?:esa|esta|ese|este|su|tu) (?:petición|cuestión|pregunta|solicitud|tema|tarea|asunto)|eso|esto|ello"),
+        "bound": (1.5, r"permit\w+|autoriz\w+|normas|reglas|directrices|condiciones|capacitad\w+|posible"),
+        "sorry": (1.0, r"siento|lament\w+|temo|perd[oó]n\w*|disculp\w+|desgraciadamente|lamentablemente"),
+    },
 }
+#: What looks like a refusal and is none: idioms, and answers that only set a limit to themselves.
+NO_REFUSAL = r"(?:can't|cannot|can not|couldn't|could not) (?:help|resist) (?:but|\w+ing)\b|\b(?:at length|in (?:full )?(?:detail|depth)|exhaustively|ausführlich|im einzelnen|en détail|longuement|en detalle|a fondo)\b|\b(?:if|when|wenn|si|lorsque|cuando)\b[^.;]*\b(?:i|ich|je|yo)\b"
+#: A sentence of this score refuses; each word that the rest of the answer adds beyond ``FREE_WORDS`` takes ``PER_WORD`` off.
+REFUSES, FREE_WORDS, PER_WORD = 5.0, 14, 0.25
 #: Questions for which a refusal, a repetition or another language is what was asked for.
 ASKS_REFUSAL = r"refus|declin|reject|turn(?:ing)? down|apolog|cannot|can't|unable|error message|the message|ablehn|absage|verweiger|refus|déclin|rechaz|declin|negativa"
 ASKS_REPEAT = r"\b(?:repeat|echo|copy|quote|say back|write out|reproduce|wiederhole|kopiere|zitiere|gib .{0,20}wieder|répète|répétez|recopie|copie|repite|repita|copia|fix the|correct|proofread|rewrite|rephrase|edit|korrigiere|berichtige|corrige|corrigez|reformule|corrija)\b"
@@ -103,6 +121,11 @@ class LanguageModel:
             grams = counts[label]
             for word in self.words(text):
                 grams.update(self.grams(word))
+        seen: dict[str, Counter] = defaultdict(Counter)
+        for label, text in texts:
+            seen[label].update(set(self.words(text)))
+        #: Words of each language that more than one text has: most words of any text in the language are among its commonest.
+        self.common = {label: frozenset(w for w, n in words.items() if n > 1 and len(w) > 1) for label, words in seen.items()}
         self.labels = sorted(counts)
         vocabulary = len(set().union(*counts.values())) + 1 if counts else 1
         totals = {x: sum(counts[x].values()) + smooth * vocabulary for x in self.labels}
@@ -121,8 +144,15 @@ class LanguageModel:
         padded = f" {word} "
         return [padded[i : i + n] for n in range(1, self.order + 1) for i in range(len(padded) - n + 1)]
 
+    def share(self, words: list[str], label: str) -> float:
+        """The share of the words that are common in a language."""
+        known = self.common.get(label, frozenset())
+        return sum(w in known for w in words) / max(1, len(words))
+
     def script(self, text: str) -> str | None:
         """The script that most letters have, if it is not Latin."""
+        if text.isascii():
+            return None
         letters = [ord(ch) for ch in text if ch.isalpha()]
         if not letters:
             return None
@@ -284,27 +314,88 @@ def fit(rows: list[tuple[int, str | None, str | None, str | None]]) -> tuple[Lan
     return fit_languages(rows), EndModel([answer for _, _, answer, _ in rows if answer and answer.strip()])
 
 
+class _Visible(dict):
+    """Translation table of the characters beyond ASCII, filled on demand: kinds of space become a blank, characters without ink go."""
+
+    def __missing__(self, code: int):
+        kind = unicodedata.category(chr(code))
+        hit = self[code] = " " if kind in ("Zs", "Zl", "Zp", "Cc") else None if kind in ("Cf", "Mn") or chr(code) in "ㅤᅟᅠ⠀" else code
+        return hit
+
+
+def make_refusal():
+    """A function (question, prose of the answer) -> whether the answer declines, by the kinds of words of its sentences."""
+    cues = {lang: {kind: (weight, re.compile(rf"(?<![\w'])(?:{p})(?![\w])")) for kind, (weight, p) in kinds.items()} for lang, kinds in REFUSAL_CUES.items()}
+    some = re.compile("|".join(rf"(?<![\w'])(?:{kinds['not'][1]})(?!\w)" for kinds in REFUSAL_CUES.values()))
+    every = {lang: re.compile(rf"(?<![\w'])(?:{'|'.join(p for _, p in kinds.values())})(?!\w)") for lang, kinds in REFUSAL_CUES.items()}
+    no_refusal = re.compile(NO_REFUSAL)
+    sentences = re.compile(r"(?<=[.!?;:])\s+|\n+")
+    words = re.compile(r"[^\W\d_]{4,}")
+
+    def score(sentence: str) -> tuple[float, str]:
+        best, of = 0.0, ""
+        for lang, kinds in cues.items():
+            weight, pattern = kinds["not"]
+            hit = pattern.search(sentence)
+            if not hit:
+                continue
+            found = {kind for kind, (_, p) in kinds.items() if kind != "not" and p.search(sentence)}
+            # The speaker, the request or a sentence that begins with the refusal: else something else is what cannot be done.
+            if not found & {"self", "sorry", "request"} and hit.start() > 2:
+                continue
+            total = weight + sum(kinds[kind][0] for kind in found) + (1.0 if hit.start() <= 2 else 0.0)
+            if total > best:
+                best, of = total, lang
+        return best, of
+
+    def refuses(question: str, prose: str) -> bool:
+        text = prose.lower().replace("’", "'")
+        if not some.search(text):
+            return False
+        told, rest, lang = 0.0, [], ""
+        for sentence in sentences.split(text):
+            value, of = (0.0, "") if no_refusal.search(sentence) else score(sentence)
+            if value >= REFUSES:
+                told, lang = told + value, of
+            else:
+                rest.append(sentence)
+        if told < REFUSES:
+            return False
+        asked = set(words.findall(question.lower()))
+        added = {w for sentence in rest for w in words.findall(every[lang].sub(" ", sentence))} - asked
+        return told - PER_WORD * max(0, len(added) - FREE_WORDS) >= REFUSES
+
+    return refuses
+
+
 def make_judge(languages: LanguageModel, ends: EndModel):
     """A function (question, input, answer, language label) -> defect or None."""
     check = make_checker()
-    refusals = re.compile("|".join(p for patterns in REFUSALS.values() for p in patterns), re.S)
+    declines = make_refusal()
     asks_refusal, asks_repeat, asks_translation = (re.compile(p, re.I) for p in (ASKS_REFUSAL, ASKS_REPEAT, ASKS_TRANSLATION))
     language_names = {name: re.compile(rf"\b(?:{p})\b", re.I) for name, p in LANGUAGE_NAMES.items()}
     tags = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+    table = _Visible()
+    controls = re.compile(r"[\x00-\x1f\x7f]")
+    ends_of_blank = re.compile(r"^[\W_]+|[\W_]+$")
 
     def empty(answer: str | None) -> bool:
         if answer is None:
             return True
-        visible = "".join(" " if unicodedata.category(ch) in ("Zs", "Zl", "Zp", "Cc") else ch for ch in answer if unicodedata.category(ch) not in ("Cf", "Mn") and ch not in "ㅤᅟᅠ⠀")
-        inner = re.sub(r"```[\w+-]*", " ", tags.sub(" ", visible))
+        visible = controls.sub(" ", answer) if answer.isascii() else answer.translate(table)
+        inner = re.sub(r"```[\w+-]*", " ", tags.sub(" ", visible) if "<" in visible else visible)
         if not inner.strip():
             return True
-        core = re.sub(r"^[\W_]+|[\W_]+$", "", inner)
+        core = ends_of_blank.sub("", inner)
         if core:
             return " ".join(core.casefold().split()) in PLACEHOLDERS
         return not re.search(r"[\[\]{}()0-9]|\"\"|''", inner) and not re.fullmatch(r"\s*(?:[=<>!]=?|[+*/%^&|~])\s*", inner)
 
     def copied(question: str, extra: str | None, answer: str) -> bool:
+        # A copy ends with what its question or the input ends with; only then are whole texts compared.
+        last = condensed(answer[-200:])[-6:]
+        if len(last) == 6 and not any(t and condensed(t[-200:]).endswith(last) for t in (question, extra)):
+            return False
         given, main, whole, added = (condensed(x) for x in (answer, question, f"{question} {extra or ''}", extra))
         if not given:
             return False
@@ -314,8 +405,8 @@ def make_judge(languages: LanguageModel, ends: EndModel):
             return not asks_repeat.search(question)
         for source in {whole, main}:
             at = given.find(source) if len(source) >= 12 else -1
-            # What stands before may be a few words that announce the question; after it only the question again.
-            if at < 0 or at > 48:
+            # What stands before announces the question and is not longer than it; after it only the question again.
+            if at < 0 or at > max(48, len(source)):
                 continue
             rest = given[at:]
             while rest.startswith(source):
@@ -324,27 +415,30 @@ def make_judge(languages: LanguageModel, ends: EndModel):
                 return True
         return False
 
-    def refuses(question: str, answer: str) -> bool:
-        if asks_refusal.search(question):
-            return False
-        text = " ".join(prose_of(answer).lower().replace("’", "'").split())
-        return bool(refusals.search(text))
-
-    def foreign(question: str, answer: str, label: str | None) -> bool:
-        prose = prose_of(answer)
-        letters = sum(ch.isalpha() for ch in prose)
+    def foreign(question: str, prose: str, label: str | None) -> bool:
         name = languages.script(prose)
-        if letters < (4 if name else 15) or (not name and len(languages.words(prose)) < 4):
+        words = languages.words(prose)
+        letters = sum(map(len, words))
+        if letters < (4 if name else 15) or (not name and len(words) < 4):
             return False
-        spoken, odds = languages.posterior(prose)
+        spoken, odds = (name, 99.0) if name else languages.posterior(prose)
         asked, _ = languages.posterior(prose_of(question), label)
-        if spoken is None or asked is None or spoken == asked or odds < 5.0:
+        if spoken is None or asked is None:
+            return False
+        if not name and len(words) >= 8:
+            # Words of the topic are the same in all languages; of a language's own text far more are common.
+            own = languages.share([w for w in words if len(w) > 1], asked)
+            if own < 0.15 and max(languages.share(words, x) for x in languages.labels) < 0.3 and languages.share(languages.words(question), asked) > 0.3:
+                spoken, odds = "other", 99.0
+        if spoken == asked or odds < 5.0:
             return False
         wanted = {x for x, p in language_names.items() if p.search(question)}
-        if spoken in wanted:
+        if spoken in wanted or spoken == "other" and asks_other.search(question):
             return False
         return bool(wanted) or not asks_translation.search(question)
 
+    asks_other = re.compile(r"\b(?:in|into|auf|ins|en|al|au)\s+(?:[A-ZÄÖÜ]\w+(?:ish|ian|ese|isch|ch|o)|italien|portugais|néerlandais|italiano|portugués|neerlandés)\b")
+
     def truncated(answer: str) -> bool:
         if answer.count("```") % 2:
             return True
@@ -409,9 +503,10 @@ def make_judge(languages: LanguageModel, ends: EndModel):
         if question and question.strip():
             if copied(question, extra, answer):
                 return "copy"
-            if refuses(question, answer):
+            prose = prose_of(answer)
+            if declines(question, prose) and not asks_refusal.search(question):
                 return "refusal"
-            if foreign(question, answer, label):
+            if foreign(question, prose, label):
                 return "language"
         return "truncated" if truncated(answer) else None
 
@@ -427,6 +522,18 @@ def _shaped(pairs: DataFrame) -> DataFrame:
     )
 
 
+def drawn_rows(rows: DataFrame, sample: int) -> list:
+    """At most ``sample`` rows, those with the smallest hash of their id.
+
+    Only rows whose hash lies below a bound that about ``2 * sample`` rows keep are ordered, so no task and not the driver meets more.
+    """
+    n = rows.count()
+    hashed = F.xxhash64(F.lit("sample"), F.col("pair_id").cast("string"))
+    share = min(1.0, 2.0 * sample / max(1, n))
+    near = rows.where(F.pmod(hashed, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return near.orderBy(F.pmod(hashed, F.lit(1 << 40)), "pair_id").limit(sample).select("pair_id", "question", "answer", "label").collect()
+
+
 def pair_defects(pairs: DataFrame, sample: int = 5_000) -> DataFrame:
     """pair_id and defect (null if the answer serves) of every row.
 
@@ -434,12 +541,12 @@ def pair_defects(pairs: DataFrame, sample: int = 5_000) -> DataFrame:
     """
     ship_by_value()
     rows = _shaped(pairs)
-    drawn = rows.orderBy(F.xxhash64("pair_id"), "pair_id").limit(sample).select("pair_id", "question", "answer", "label").collect()
-    models = fit_languages([tuple(r) for r in drawn]), EndModel.of_rows(spread(rows), "answer")
-    shared = pairs.sparkSession.sparkContext.broadcast(models)
+    models = fit_languages([tuple(r) for r in drawn_rows(rows, sample)]), EndModel.of_rows(spread(rows), "answer")
+    # Pickled by value: workers need no copy of the package.
+    shared = pairs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
 
     def judged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        judge = make_judge(*shared.value)
+        judge = make_judge(*cloudpickle.loads(shared.value))
         for batch in batches:
             yield pd.Series([judge(*row) for row in zip(*batch)], dtype=object)
 

@@ -40,6 +40,38 @@ def test_refusal(judge):
     assert judge("Write a polite note declining an invitation.", None, "I'm sorry, but I can't attend the meeting this week.", "en") is None
 
 
+UNSEEN_REFUSALS = (
+    "That isn't something I'm going to answer.", "Not able to assist with that.", "Apologies, but that request goes against my programming.", "I'd prefer to steer clear of this topic.", "This falls outside the scope of what I may do.",
+    "Regrettably I have no answer to give you here.", "My instructions forbid talking about it.", "I'm going to have to sit this one out.", "We're not permitted to share that.",
+    "You asked how chaining works in a hash table. That is a fair question. I'm not in a position to answer it.",
+)
+UNSEEN_ANSWERS = (
+    "I can't help but admire chaining: each bucket keeps a list, and lookups walk it until the key is found.", "I will not discuss probing at length; chaining stores entries with equal hashes in one list per bucket.",
+    "The parser cannot handle this because the grammar is ambiguous.", "A hash table does not keep order; use a tree if you need it.", "If the request fails, the client does not retry; it returns the error.", "You can't answer this without the size of the table, which is 16 here.",
+)
+
+
+def test_unseen_wordings(judge):
+    q = "How does chaining in a hash table work?"
+    assert [x for x in UNSEEN_REFUSALS if judge(q, None, x, "en") != "refusal"] == []
+    assert [x for x in UNSEEN_ANSWERS if judge(q, None, x, "en") == "refusal"] == []
+    declines = pairs.make_refusal()
+    for x in ("Ich lehne diese Bitte ab.", "Darauf gebe ich keine Antwort.", "Je m'abstiens de répondre à cette question.", "No me es posible atender eso."):
+        assert declines(q, x), x
+
+
+def test_other_languages(judge):
+    q = "What is a queue and when is it sorted?"
+    for x in ("La coda conserva gli elementi nell'ordine in cui arrivano e li restituisce quando il programma li chiede.", "Varje plats i tabellen har en lista med element som har samma nyckel och den söks igenom."):
+        assert judge(q, None, x, "en") == "language", x
+    assert judge("What is a queue? Please answer in Italian.", None, "La coda conserva gli elementi nell'ordine in cui arrivano e li restituisce quando il programma li chiede.", "en") is None
+
+
+def test_long_lead_before_a_copy(judge):
+    q = "Explain in a few sentences how a queue of packets keeps its order when two writers push to it."
+    assert judge(q, None, f"Here is what you would like to know about, as you asked me before: {q}", "en") == "copy"
+
+
 def test_language(judge):
     german = "Die Lernrate fällt nach einigen Schritten, während der Fehler ungefähr gleich bleibt."
     assert judge("What is a queue and when is it sorted?", None, german, "en") == "language"
