@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import ByteBpe, with_token_counts
-from corpusmill.session import cut_lineage, ship_by_value
+from corpusmill.session import ship_by_value
 
 
 def plan_blocks(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -97,7 +97,7 @@ def _slots(plans: dict[str, list[tuple[int, dict[int, int]]]]) -> dict[tuple[str
     return {key: tuple(np.array(x, dtype=np.int64) for x in zip(*entries)) for key, entries in rows.items()}
 
 
-def pack(counts: DataFrame, blocks: DataFrame, max_capacity: int = 1_000_000, max_configs: int = 100, rows_per_chunk: int = 200_000) -> DataFrame:
+def pack(counts: DataFrame, blocks: DataFrame, max_capacity: int = 100_000, max_configs: int = 20, rows_per_chunk: int = 200_000) -> DataFrame:
     """Blocks of documents: config, block_id, doc_id, piece, first_token, n_tokens.
 
     ``counts`` has doc_id and n_tokens, ``blocks`` config and block_size (null or non-positive sizes are ignored).
@@ -133,8 +133,7 @@ def pack(counts: DataFrame, blocks: DataFrame, max_capacity: int = 1_000_000, ma
     offsets = totals.select("config", "n_tokens", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("config", "n_tokens", "chunk").orderBy("doc_id", "piece")
     ranked = keyed.withColumn("rank", F.row_number().over(within) - 1)
-    if chunks > 1:
-        ranked = ranked.join(offsets, ["config", "n_tokens", "chunk"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    ranked = ranked.join(offsets, ["config", "n_tokens", "chunk"]).withColumn("rank", F.col("rank") + F.col("offset"))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,8 +153,7 @@ def pack_documents(documents: DataFrame, blocks: DataFrame, bpe: ByteBpe) -> Dat
     """Token counts of the non-blank documents, then ``pack``."""
     text = F.col("text")
     rows = documents.where(F.col("doc_id").isNotNull() & text.isNotNull() & text.rlike(r"(?U)\S"))
-    counts = cut_lineage(with_token_counts(rows, "text", bpe, ["doc_id"]))
-    return pack(counts, blocks)
+    return pack(with_token_counts(rows, "text", bpe, ["doc_id"]), blocks)
 
 
 def block_fill(packed: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Method: a document longer than ``oversize`` characters is cut into chunks only where the tokenizer provably cannot
 join what lies on both sides; the chunks are salted across the workers, counted, and their exact counts summed per
-document. The others are counted where they are read, without a shuffle of text. Slices are rolled up from the
+document. The others are counted where they are read, without a shuffle of text. Both happen in one pass over the texts, whose
+result (a number per document, and the chunks of the oversized ones) is written to the shared folder. Slices are rolled up from the
 counts, with partial aggregation before the exchange.
 
 Why the cuts are safe. Pre-tokens are matches of the pattern below, which scans from left to right. (1) No
@@ -25,19 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import ship_by_value, spread, table
+from corpusmill.functions.subword import Subword, byte_chars
+from corpusmill.session import cut_lineage, ship_by_value, spread, table
 
 #: Fixed value: the pre-token pattern of the tokenizer artifact.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\w+| ?[^\s\w]+|\s+(?!\S)|\s+"""
-#: The same matches with the commonest case tried first: a contraction and a word cannot begin at the same place.
-PRETOKEN_FAST = r"""(?: ?\w+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\w]+|\s+(?!\S)|\s+)"""
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable character of each byte: printable bytes stand for themselves, the others follow from U+0100 on."""
-    printable = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
-    hidden = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 @dataclass(frozen=True)
@@ -49,11 +42,13 @@ class ByteBpe:
 
     @staticmethod
     def load(spark: SparkSession, directory: str, max_merges: int = 2_000_000) -> ByteBpe:
-        """From the tables tokenizer_merges and tokenizer_vocab. A vocabulary is bounded; more than ``max_merges`` is an error."""
+        """From the tables tokenizer_merges and tokenizer_vocab. A vocabulary is bounded; more than ``max_merges`` rows are an error."""
         merges = table(spark, directory, "tokenizer_merges").orderBy("merge_rank").limit(max_merges + 1).collect()
         if len(merges) > max_merges:
             raise ValueError(f"more than {max_merges} merges: this is no vocabulary to send to the workers")
-        vocab = table(spark, directory, "tokenizer_vocab").collect()
+        vocab = table(spark, directory, "tokenizer_vocab").limit(2 * max_merges + 1).collect()
+        if len(vocab) > 2 * max_merges:
+            raise ValueError(f"more than {2 * max_merges} pieces: this is no vocabulary to send to the workers")
         return ByteBpe(tuple((m["left_piece"], m["right_piece"]) for m in merges), {v["piece"]: v["token_id"] for v in vocab})
 
 
@@ -64,28 +59,9 @@ def mergeable_pairs(bpe: ByteBpe) -> set[tuple[str, str]]:
 
 def make_encoder(bpe: ByteBpe):
     """A function bytes of one pre-token -> its token strings: the best-ranked pair is merged until none is left."""
-    alphabet = byte_alphabet()
+    alphabet = byte_chars()
     ranks = {pair: k for k, pair in reversed(list(enumerate(bpe.merges)))}
-    far = len(ranks) + 1
-
-    def encode(data: bytes) -> list[str]:
-        symbols = [alphabet[b] for b in data]
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:]), key=lambda pair: ranks.get(pair, far))
-            if best not in ranks:
-                break
-            joined, merged, i = best[0] + best[1], [], 0
-            while i < len(symbols):
-                if symbols[i] == best[0] and i + 1 < len(symbols) and symbols[i + 1] == best[1]:
-                    merged.append(joined)
-                    i += 2
-                else:
-                    merged.append(symbols[i])
-                    i += 1
-            symbols = merged
-        return symbols
-
-    return encode
+    return lambda data: Subword._merged([alphabet[b] for b in data], ranks)
 
 
 def make_splitter(bpe: ByteBpe):
@@ -93,10 +69,10 @@ def make_splitter(bpe: ByteBpe):
     try:
         from tokenizers import models
     except ImportError:
-        code = {ch: b for b, ch in byte_alphabet().items()}
+        code = {ch: b for b, ch in byte_chars().items()}
         encode = make_encoder(bpe)
         return lambda chars: len(encode(bytes(code[ch] for ch in chars)))
-    pieces = dict.fromkeys([*byte_alphabet().values(), *(left + right for left, right in bpe.merges)])
+    pieces = dict.fromkeys([*byte_chars().values(), *(left + right for left, right in bpe.merges)])
     model = models.BPE(vocab={piece: k for k, piece in enumerate(pieces)}, merges=list(bpe.merges))
     return lambda chars: len(model.tokenize(chars))
 
@@ -106,7 +82,7 @@ class _Counts(dict):
 
     def __init__(self, bpe: ByteBpe, most: int):
         super().__init__()
-        self.most, self.table = most, {b: ord(ch) for b, ch in byte_alphabet().items()}
+        self.most, self.table = most, {b: ord(ch) for b, ch in byte_chars().items()}
         self.split = make_splitter(bpe)
 
     def __missing__(self, piece: str) -> int:
@@ -119,7 +95,7 @@ class _Counts(dict):
 def make_counter(bpe: ByteBpe, most: int = 300_000):
     """A function text -> number of tokens."""
     counts = _Counts(bpe, most)
-    find = re.compile(PRETOKEN_FAST).findall
+    find = re.compile(PRETOKEN).findall
     get = counts.__getitem__
 
     def count(text: str) -> int:
@@ -130,7 +106,7 @@ def make_counter(bpe: ByteBpe, most: int = 300_000):
 
 def make_cutter(bpe: ByteBpe, chunk: int):
     """A function text -> chunks of at least ``chunk`` characters that are tokenized independently of each other."""
-    alphabet = byte_alphabet()
+    alphabet = byte_chars()
     pairs = mergeable_pairs(bpe)
     is_word = re.compile(r"\w").match
 
@@ -172,26 +148,29 @@ def token_count_udf(bpe: ByteBpe):
     return F.pandas_udf(counted, "long")
 
 
-def with_token_counts(df: DataFrame, text_col: str, bpe: ByteBpe, keep: list[str], oversize: int = 1_000_000, chunk: int = 100_000) -> DataFrame:
-    """``keep`` columns and n_tokens for each row of ``df``; texts beyond ``oversize`` characters are spread in chunks."""
+def _counts_or_chunks(bpe: ByteBpe, oversize: int, chunk: int):
+    """Vectorised UDF text -> (tokens, null) or, beyond ``oversize`` characters, (null, chunks)."""
+
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        count, cut = make_counter(bpe), make_cutter(bpe, chunk)
+        for texts in batches:
+            long = [t is not None and len(t) > oversize for t in texts]
+            numbers = [None if big else count(t or "") for t, big in zip(texts, long)]
+            yield pd.DataFrame({"n": pd.array(numbers, dtype="Int64"), "chunks": [cut(t) if big else None for t, big in zip(texts, long)]})
+
     ship_by_value()
-    text = F.col(f"`{text_col}`")
-    rows = spread(df.select(*keep, text.alias("__text")))
-    counted = token_count_udf(bpe)
-    small = rows.where(F.col("__text").isNull() | (F.length("__text") <= oversize)).select(*keep, counted("__text").alias("n_tokens"))
+    return F.pandas_udf(first, "n long, chunks array<string>")
+
+
+def with_token_counts(df: DataFrame, text_col: str, bpe: ByteBpe, keep: list[str], oversize: int = 8_000, chunk: int = 4_000) -> DataFrame:
+    """``keep`` columns and n_tokens for each row of ``df``; texts beyond ``oversize`` characters are spread in chunks."""
+    rows = spread(df.select(*keep, F.col(f"`{text_col}`").alias("__text")))
+    seen = rows.select(*keep, _counts_or_chunks(bpe, oversize, chunk)("__text").alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    seen = cut_lineage(seen.select(*keep, "__row", F.col("__t.n").alias("n_tokens"), F.col("__t.chunks").alias("__chunks")))
+    small = seen.where(F.col("__chunks").isNull()).select(*keep, "n_tokens")
     names = [*keep, "__row"]
-    large = rows.where(F.length("__text") > oversize).withColumn("__row", F.monotonically_increasing_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in large.select(*names).schema) + ", __chunk int, __text string"
-
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = make_cutter(bpe, chunk)
-        for batch in batches:
-            for _, row in batch.iterrows():
-                parts = cut(row["__text"])
-                yield pd.DataFrame({name: [row[name]] * len(parts) for name in names} | {"__chunk": range(len(parts)), "__text": parts})
-
-    chunks = large.select(*names, "__text").mapInPandas(chunked, schema).repartition(F.xxhash64("__row", "__chunk"))
-    summed = chunks.select(*names, counted("__text").alias("n_tokens")).groupBy(*names).agg(F.sum("n_tokens").alias("n_tokens")).select(*keep, "n_tokens")
+    chunks = seen.where(F.col("__chunks").isNotNull()).select(*names, F.posexplode("__chunks").alias("__at", "__part")).repartition(F.xxhash64("__row", "__at"))
+    summed = chunks.select(*names, token_count_udf(bpe)("__part").alias("__n")).groupBy(*names).agg(F.sum("__n").alias("n_tokens")).select(*keep, "n_tokens")
     return small.unionByName(summed)
 
 

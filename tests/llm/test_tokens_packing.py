@@ -51,6 +51,15 @@ def test_oversized_texts_and_labels(spark, data, bpe):
     assert [tuple(r) for r in labels] == [("en", "s"), ("en", "s"), ("unknown", "unknown"), ("python", "unknown")]
 
 
+def test_chunked_counts_equal_whole_ones(spark, data, bpe):
+    """Every document cut at any size: the same numbers, row by row, as without a cut."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("n_tokens", F.lit("clash"))
+    whole = {r["doc_id"]: r["n_tokens"] for r in tokens.with_token_counts(docs, "text", bpe, ["doc_id"], oversize=10**9).collect()}
+    for oversize, chunk in ((200, 100), (8_000, 4_000)):
+        cut = {r["doc_id"]: r["n_tokens"] for r in tokens.with_token_counts(docs, "text", bpe, ["doc_id"], oversize=oversize, chunk=chunk).collect()}
+        assert cut == whole
+
+
 def greedy_blocks(sizes, capacity):
     """Best-two-fit one document at a time, as the plan on the histogram must make it."""
     left = sorted(sizes)
