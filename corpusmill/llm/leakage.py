@@ -33,7 +33,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 def make_words():
     """A function text -> lower-case runs of ASCII letters and digits of its form, without markup tags."""
     fold = make_folder()
-    tag = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+    tag = re.compile(r"</?[A-Za-z][^<>\n]*>")
     word = re.compile(r"[a-z0-9]+")
 
     def words(text: str) -> list[str]:
@@ -157,11 +157,25 @@ def _aligned(prompts: dict[int, list[str]]):
     return run
 
 
-def _scored(prompts: dict[int, list[str]], n: int, together: int = 4096):
-    """mapInPandas function: words of a passage -> scores of all items that share an n-gram with it, of frequent n-grams too."""
+def score_bounds(held: np.ndarray) -> np.ndarray:
+    """No alignment of a row's words scores more: every word the other side has may match, every other one costs. One row per pair."""
+    sums = np.cumsum(np.where(held, MATCH, max(MISMATCH, GAP)), axis=1)
+    low = np.minimum.accumulate(np.concatenate([np.zeros((len(sums), 1), dtype=sums.dtype), sums[:, :-1]], axis=1), axis=1)
+    return (sums - low).max(axis=1, initial=0)
+
+
+def _scored(prompts: dict[int, list[str]], n: int, min_score: int, together: int = 4096):
+    """mapInPandas function: words of a passage -> scores of all items that share an n-gram with it, of frequent n-grams too.
+
+    Pairs that cannot reach ``min_score`` by ``score_bounds`` are not aligned.
+    """
     ids = {w: k for k, w in enumerate(dict.fromkeys(w for words in prompts.values() for w in words))}
     sides = {item: np.array([ids[w] for w in words], dtype=np.int32) for item, words in prompts.items()}
     holders: dict[tuple, list[int]] = {}
+    row_of = {item: k for k, item in enumerate(prompts)}
+    held = np.zeros((len(prompts), len(ids) + 1), dtype=bool)  # the last column stands for words of no item
+    for item, side in sides.items():
+        held[row_of[item], side] = True
     for item, words in prompts.items():
         for gram in {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}:
             holders.setdefault(gram, []).append(item)
@@ -184,6 +198,9 @@ def _scored(prompts: dict[int, list[str]], n: int, together: int = 4096):
                 words = text.split(" ")
                 near = sorted({item for i in range(len(words) - n + 1) for item in holders.get(tuple(words[i : i + n]), ())})
                 side = np.array([ids.get(w, -1) for w in words], dtype=np.int32)
+                if near and min_score > 0:
+                    bounds = score_bounds(held[np.array([row_of[i] for i in near])][:, side])
+                    near = [i for i, bound in zip(near, bounds) if bound >= min_score]
                 pairs += [(side, sides[i]) for i in near]
                 items.append((text, near))
                 if len(pairs) >= together:
@@ -194,9 +211,10 @@ def _scored(prompts: dict[int, list[str]], n: int, together: int = 4096):
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12, margin: int = 24, block_items: int = 5000, runs_only: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12, margin: int = 24, block_items: int = 5000, runs_only: bool = False, min_score: int = 0) -> DataFrame:
     """Scores of all (item, document) pairs that share n words in a row: item_id, doc_id, score, longest_run, item_words.
 
+    ``min_score``: passages whose words show that they score less against an item are not aligned to it and count in neither number.
     ``runs_only``: of the pairs without ``min_run`` words in a row some are left out, which is quicker; all others come out.
     ``docs`` has doc_id and text, ``items`` item_id and prompt. Items are taken in blocks of about
     ``block_items``: what a block sends to the workers is bounded by it.
@@ -208,14 +226,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, min_run: int = 12,
     docs = spread(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "prompt").where(F.col("item_id").isNotNull() & F.col("prompt").isNotNull())
     blocks = max(1, math.ceil(items.count() / block_items))
-    parts = [_leaks_of_block(spark, docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), n, min_run, margin, runs_only) for k in range(blocks)]
+    parts = [_leaks_of_block(spark, docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), n, min_run, margin, runs_only, min_score) for k in range(blocks)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _leaks_of_block(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int, min_run: int, margin: int, runs_only: bool) -> DataFrame:
+def _leaks_of_block(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int, min_run: int, margin: int, runs_only: bool, min_score: int) -> DataFrame:
     words_of = make_words()
     prompts = {r["item_id"]: words_of(r["prompt"]) for r in items.collect()}
     known = frozenset(tuple(w[i : i + n]) for w in prompts.values() for i in range(len(w) - n + 1))
@@ -225,7 +243,7 @@ def _leaks_of_block(spark: SparkSession, docs: DataFrame, items: DataFrame, n: i
         kind = "words string, found array<struct<item_id: long, score: int, longest_run: int, item_words: int>>"
         # Copies of a passage are aligned once; the items travel in one row, so that no frequent n-gram gathers rows.
         distinct = passages.select("words").distinct().repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        scores = distinct.mapInPandas(_scored(prompts, n), kind)
+        scores = distinct.mapInPandas(_scored(prompts, n, min_score), kind)
         return passages.select("doc_id", "words").join(scores, "words").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").groupBy("item_id", "doc_id").agg(*best)
     hits = passages.select("doc_id", "passage", F.explode("grams").alias("gram"))
     frequency = hits.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.relate import salted_join
 from corpusmill.session import cut_lineage, ship_by_value, spread
 
 #: Letters that look alike, by class. The key is the class; a value gives one letter of each script that
@@ -32,9 +33,18 @@ a а.. c сϲ. d ԁ.. e е.. g ..ց h һ.հ i і.. j јϳ. n ..ո o оοօ p р
 """
 SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
 #: More letters of the Latin block and of other scripts that look like a basic letter.
-VARIANTS = {"ɑ": "a", "ɡ": "g", "Ү": "Y", "Ӏ": "I", "Ꭺ": "A", "Ꭼ": "E", "Ꮋ": "H", "Ꮯ": "C", "Ꮲ": "P", "Ꭲ": "T", "Ꮇ": "M", "Ꮶ": "K", "Ꮮ": "L", "Ꮪ": "S", "Ꮓ": "Z", "Ꮩ": "V", "Ꮃ": "W", "Ꭰ": "D", "Ꭱ": "R", "Ꮐ": "G", "Ꭻ": "J", "Ꭵ": "i"}
+VARIANTS = {
+    "ɑ": "a", "ɡ": "g", "Ү": "Y", "Ӏ": "I", "յ": "j",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭵ": "i", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "Ⲃ": "B", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲧ": "T", "Ⲭ": "X", "ⲥ": "c", "ⲟ": "o", "ⲣ": "p",
+}
+#: Letters that pass for a Latin one only within a word of Latin letters; by themselves (a formula's alpha) they are what they are.
+WITHIN_WORDS = {"α": "a", "γ": "y", "ι": "i", "κ": "k", "σ": "o", "υ": "u", "ω": "w"}
 #: Ranges of ligatures and digraphs that are written as several letters, and a sign that is a Greek letter.
-LIGATURE_RANGES = ((0xFB00, 0xFB17), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0xB5, 0xB5))
+LIGATURE_RANGES = ((0xFB00, 0xFB17), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0xB5, 0xB5), (0x2160, 0x217F))
+#: Ranges of letters and digits in other founts of the same alphabet (mathematical and letter-like signs).
+FOUNT_RANGES = ((0x2102, 0x214F), (0x1D400, 0x1D7FF))
 WIDTH_RANGES = ((0xFF01, 0xFFEE), (0x3000, 0x3000))
 #: Characters without ink that Unicode does not put into category Cf.
 NO_INK = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -78,6 +88,10 @@ def _fold_table() -> dict[int, str | None]:
         for code in range(low, high + 1):
             if unicodedata.decomposition(chr(code)):
                 out[code] = unicodedata.normalize("NFKC", chr(code))
+    for low, high in FOUNT_RANGES:
+        for code in range(low, high + 1):
+            if unicodedata.decomposition(chr(code)).startswith("<font>"):
+                out[code] = unicodedata.normalize("NFKC", chr(code))
     for code in [*range(0x80, 0x3100), *range(0xFE00, 0x10000), *range(0x110BD, 0x110CE), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE0080)]:
         kind = unicodedata.category(chr(code))
         if kind == "Cf" and code not in out:
@@ -93,7 +107,8 @@ def make_folder():
     table = _fold_table()
     members, class_of = MEMBERS, CLASS_OF
     token_re = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-    outside = re.compile("[ɐ-ʯͰ-֏Ꭰ-᏿]")
+    # Tokens with a letter of another script, or with one that looks like a basic letter, are resolved; all others are their own form.
+    outside = re.compile("[ɐ-ʯͰ-֏" + "".join(sorted(re.escape(ch) for ch in class_of if ord(ch) > 0x58F)) + "]")
     known: dict[str, tuple[str, int, int]] = {}
 
     def resolve(token: str) -> tuple[str, int, int]:
@@ -109,8 +124,9 @@ def make_folder():
         if target is None and possible:
             return token, 0, 0
         spelt = []
+        latin = target is None and "latin" in written
         for ch in token:
-            key = class_of.get(ch)
+            key = class_of.get(ch) or (WITHIN_WORDS.get(ch) if latin else None)
             spelt.append(ch if key is None else members[key].get(target, key) if target else key)
         mixed = int(len(written) > 1)
         whole = int(not mixed and target is not None and target not in written)
@@ -192,6 +208,19 @@ def form_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.where(text.isNotNull() & (text != "")).select(F.col(id_col).alias("id"), form_key(text).alias("form_key"), F.md5(text).alias("stored_key"))
 
 
+def look_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per non-empty text: (id, class_id, n_copies, n_links): texts equal as stored, and those that only look the same.
+
+    Classes are summed from totals per stored text; rows meet their class's numbers through a key that is salted where a class is large.
+    """
+    rows = cut_lineage(form_classes(df, id_col, text_col))
+    stored = cut_lineage(rows.groupBy("form_key", "stored_key").agg(F.count("*").alias("n")))
+    whole = stored.groupBy("form_key").agg(F.sum("n").alias("all"))
+    sums = stored.join(whole, "form_key").select("form_key", "stored_key", (F.col("n") - 1).alias("n_copies"), (F.col("all") - F.col("n")).alias("n_links"))
+    met = salted_join(rows, sums, ["form_key", "stored_key"], "id", stored)
+    return met.select("id", F.col("form_key").alias("class_id"), "n_copies", "n_links")
+
+
 def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (id_a < id_b) of rows whose texts look the same and differ as stored.
 

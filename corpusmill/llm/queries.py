@@ -62,8 +62,10 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, directory: str) -> DataFrame:
-    leaks = leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "bench_items"))
-    return leaks.where(F.col("score") >= 2 * leakage.MATCH * 6)
+    """Pairs of at least the score of twelve equal words, wholly or in part edited."""
+    least = 12 * leakage.MATCH
+    leaks = leakage.find_leaks(table(spark, directory, "documents"), table(spark, directory, "bench_items"), min_score=least)
+    return leaks.where(F.col("score") >= least)
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -71,6 +73,11 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, directory: str) -> DataFrame:
+    classes = lookalike.look_classes(table(spark, directory, "documents"))
+    return classes.withColumnRenamed("id", "doc_id")
+
+
 def p8_forms(spark: SparkSession, directory: str) -> DataFrame:
     shaped = lookalike.with_form(table(spark, directory, "documents").select("doc_id", "lang", "text"))
     changed = F.col("form") != F.col("text")
@@ -79,7 +86,7 @@ def p8_forms(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_splits, p2_token_budget, p3_found, p4_found, p4_labels, p5_found, p5_rates, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_forms)
+    named = (p1_found, p1_splits, p2_token_budget, p3_found, p4_found, p4_labels, p5_found, p5_rates, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_classes, p8_forms)
     return {f.__name__: f for f in named}
 
 

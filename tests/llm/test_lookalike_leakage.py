@@ -15,6 +15,15 @@ def test_same_look():
         assert form(a) == form(b), (a, b)
 
 
+def test_more_scripts_and_founts():
+    same = [("𝐛𝐨𝐥𝐝", "bold"), ("ℋello", "Hello"), ("Ⅻ", "XII"), ("ⅽat", "cat"), ("ꓮꓐꓚ", "ABC"), ("ⲥⲟⲣy", "copy"), ("pαypal", "paypal"), ("wιndow", "window"), ("𝟏𝟐", "12"), ("ᏚᎪᎷ"[1:2] + "x", "Ax")]
+    for a, b in same:
+        assert form(a) == form(b), (a, b)
+    # A letter of its own script by itself is no other letter.
+    for a, b in [("α = 1", "a = 1"), ("σ", "o"), ("ı", "i"), ("γραμμα", "ypaμμa"), ("№", "No"), ("x²", "x2")]:
+        assert form(a) != form(b), (a, b)
+
+
 def test_different_look():
     different = [("Word", "word"), ("1", "l"), ("uber", "über"), ("a b", "ab"), ("a\nb", "a b"), ("²", "2"), ("вода", "boda"), ("мир", "mup"), ("é", "e")]
     for a, b in different:
@@ -43,6 +52,18 @@ def test_pairs(spark):
     assert shaped[2]["form"] == "abc" and shaped[2]["form_mixed"] == 1 and shaped[5]["form"] is None and shaped[6]["form"] == ""
 
 
+def test_classes_equal_counting(spark):
+    texts = ["abc", "аbс", "abc", "abd", None, "", "Abc", "ab\u200bc", "𝐚bc"]
+    df = spark.createDataFrame([(k, t, "clash", 7) for k, t in enumerate(texts)], "doc_id long, text string, form_key string, n long")
+    got = {r["id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in lookalike.look_classes(df).collect()}
+    real = [(k, t) for k, t in enumerate(texts) if t]
+    assert set(got) == {k for k, _ in real}
+    for k, t in real:
+        assert got[k][1:] == (sum(u == t for _, u in real) - 1, sum(u != t and form(u) == form(t) for _, u in real))
+        assert all((got[k][0] == got[j][0]) == (form(t) == form(u)) for j, u in real)
+    assert lookalike.look_classes(df.limit(0)).count() == 0
+
+
 def sentence(rng, n):
     return [f"w{rng.randrange(40)}" if rng.random() < 0.5 else f"name{rng.randrange(5000)}" for _ in range(n)]
 
@@ -84,6 +105,39 @@ def test_edited_copy_is_scored(spark):
     assert row["longest_run"] == 8 and row["score"] >= 90
 
 
+def test_shared_prompts_and_frequent_copies(spark):
+    """Two items with one prompt, a phrase that every document has, and many copies: no edited copy is lost."""
+    rng = random.Random(10)
+    phrase = "please write a python function that returns".split()
+    prompts = [phrase + [f"word{i}x{k}" for k in range(50)] for i in range(4)]
+    items = [(i, " ".join(p)) for i, p in enumerate(prompts)] + [(9, " ".join(prompts[0]))]
+    docs, want = [], set()
+    for d in range(60):
+        i, every = d % 4, rng.choice([6, 7, 8, 9])
+        edited = [w if (k + 1) % every else f"other{rng.randrange(99)}" for k, w in enumerate(prompts[i])]
+        docs.append((d, " ".join(sentence(rng, 30) + phrase + sentence(rng, 20) + edited + sentence(rng, 30))))
+        want |= {(j, d) for j in ((0, 9) if i == 0 else (i,))}
+    docs += [(100 + k, docs[0][1]) for k in range(30)]
+    want |= {(j, 100 + k) for j in (0, 9) for k in range(30)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, prompt string")
+    free = {(r["item_id"], r["doc_id"]): r["score"] for r in leakage.find_leaks(df, bench).collect()}
+    bounded = {(r["item_id"], r["doc_id"]): r["score"] for r in leakage.find_leaks(df, bench, min_score=24).collect()}
+    assert {k: v for k, v in free.items() if v >= 24} == {k: v for k, v in bounded.items() if v >= 24}
+    assert {k for k, v in bounded.items() if v >= 24} == want
+
+
+def test_no_alignment_exceeds_its_bound():
+    import numpy as np
+
+    rng = random.Random(11)
+    for _ in range(200):
+        a = np.array([rng.randrange(-1, 5) for _ in range(rng.randrange(1, 30))], dtype=np.int32)
+        b = np.array([rng.randrange(5) for _ in range(rng.randrange(1, 12))], dtype=np.int32)
+        held = np.isin(a, b)[None, :]
+        assert leakage.align(a, b)[0] <= leakage.score_bounds(held)[0]
+
+
 def test_alignments_side_by_side_equal_single_ones():
     import numpy as np
 
