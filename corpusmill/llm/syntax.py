@@ -2,8 +2,8 @@
 
 Method: one lexer per language takes out strings and comments and notes literals that never end; a pushdown stack of
 delimiters reduces the rest until only unmatched ones are left; the reduced text shows the top level of the
-file, whose statements must be ones the language has there. Merge-conflict markers, neighbouring operands without an
-operator, broken block structure (a stack of indentations in Python) and premature ends are found in what the
+file, whose statements must be ones the language has there. At every depth, operators without a right side, operands side by
+side and jumps without an end are looked for. Merge-conflict markers, neighbouring operands without an operator, broken block structure (a stack of indentations in Python) and premature ends are found in what the
 lexer left. A Python text that the lexer rejects is then put before Python's own compiler (never run), which can only
 acquit it.
 
@@ -42,7 +42,7 @@ LEXERS = {
     "javascript": "|".join((REGEX, DOUBLE, SINGLE, TEMPLATE)),
     "java": "|".join((COMMENTS, TRIPLE_DOUBLE, SINGLE)),
     "go": "|".join((COMMENTS, DOUBLE, SINGLE, RAW)),
-    "c": "|".join((COMMENTS, r"\#(?:[^\n\\/]+|\\.|/(?!\*))*+", DOUBLE, SINGLE)),
+    "c": "|".join((COMMENTS, r"\#(?:[^\n\\/]+|\\.|/\*(?:[^*]+|\*(?!/))*+\*/|/(?!\*))*+", DOUBLE, SINGLE)),
 }
 #: Reserved words, and those that may follow an operand.
 PY_WORDS = frozenset("False None True and as assert async await break case class continue def del elif else except finally for from global if import in is lambda match nonlocal not or pass raise return try type while with yield _".split())
@@ -61,6 +61,7 @@ JAVA_TOP = re.compile(r"\s+|;|package\s+[\w.]+\s*;|import\s+(?:static\s+)?[\w.]+
 GO_TOP = re.compile(r"\s+|;|package[ \t]+\w+|import[ \t]*(?:(?:[\w.]+[ \t]+)?\x02|\x03)|func[ \t]*(?:\x03[ \t]*)?\w+[ \t]*\x05?\x03[^\n\x04\x02]*(?:\x04(?=[ \t]*\w|[ \t]*\x03|[ \t]*\x04)[^\n\x04]*)?\x04|(?:var|const)[ \t]*(?:\x03|\w+[^\n]*[^\s=:+\-*/&|,.][ \t]*$)|type[ \t]*(?:\x03|\w+[ \t]*\x05?[ \t]*[^\n]*[^\s,.=][ \t]*$)", re.M)
 C_BASE = "typedef|static|extern|const|volatile|inline|struct|union|enum|unsigned|signed|void|char|short|int|long|float|double|register|auto"
 C_SEGMENT = re.compile(rf"\s*(?:(?:{C_BASE}|_\w+)\b|[A-Za-z_]\w*\s*\x03\s*$|[A-Za-z_]\w*(?:[\s*]+[A-Z_][A-Z0-9_]*)?[\s*]+[A-Za-z_]\w*\s*(?:[=,:\x03\x05]|$))")
+C_MACROS = re.compile(r"(?:\s*[A-Z_][A-Z0-9_]*\b(?:\s*\x03)?)+\s*")
 C_WORD = rf"(?!(?:{C_BASE}|return|else|do|goto|case|if|for|while|switch|sizeof|break|continue|default|_\w+|[A-Z_][A-Z0-9_]*)\b)[A-Za-z_]\w*"
 THREE_NAMES = re.compile(rf"(?<![\w.]){C_WORD}\s+{C_WORD}\s+{C_WORD}")
 DELIMITERS = re.compile(r"([()\[\]{}])")
@@ -109,13 +110,17 @@ def make_checker():
             return taken(m)
         if len(found) == 1:
             return found
-        before = m.string[max(0, m.start() - 200) : m.start()].rstrip(" \t")
-        return STRING if before_regex.search(before[-12:]) else "/" + lexers["javascript"].sub(taken_js, found[1:])
+        at = m.start()
+        while at and m.string[at - 1] in " \t":
+            at -= 1
+        # Twelve characters hold the longest word that may stand before a pattern.
+        return STRING if before_regex.search(m.string[max(0, at - 12) : at]) else "/" + lexers["javascript"].sub(taken_js, found[1:])
 
     def taken_py(m: re.Match) -> str:
         found = m.group()
         return "" if found[0] == "#" else quoted(found)
 
+    expressions = _expression_rules()
     take = {"python": taken_py, "javascript": taken_js}
     rules = {"python": _python_rules(), "javascript": _javascript_rules(), "c": _c_rules, "java": lambda _, top: _declarations("java", top), "go": lambda _, top: _declarations("go", top)}
 
@@ -125,6 +130,9 @@ def make_checker():
         text = text.lstrip("﻿")
         if language == "javascript" and text.startswith("#!"):
             text = text.partition("\n")[2]
+        own = language == "c" and "#" in text and C_OWN.search(text)
+        if own and CONDITIONAL.search(text):
+            text = one_branch(text)
         bare = lexers[language].sub(take.get(language, taken), text)
         if any(mark in bare for mark in MARKS) and CONFLICT.search(bare):
             return "conflict"
@@ -135,11 +143,25 @@ def make_checker():
             return defect
         if language != "python" and (bare.lstrip()[:1] == "<" or any(x in bare for x in FORBIDDEN[language])):
             return "foreign"
-        return rules[language](bare, top)
+        if language != "python" and any(rule.search(bare) for rule in expressions[language]):
+            return "expression"
+        defect = rules[language](bare, top)
+        # With directives of its own a text is C, whatever names its macros give to things.
+        return None if own and defect == "foreign" else defect
 
     return check
 
 
+def _expression_rules() -> dict[str, list[re.Pattern]]:
+    """What no expression or statement holds at any depth: an operator without its right side, operands side by side, a jump without its end."""
+    no_right_side = r"(?:[^=!<>+\-*/%&|^?:\s]\s*=|[=!<>]=|:=|&&|\|\||[^+\s]\s*\+|[^\-<\s]\s*-|[^%\s]\s*[%^])\s*[;)\]}]"
+    number = r"(?<![\w.$\x02'])\d[\w.]*+[ \t]++"
+    side_by_side = {"java": rf"{number}(?:\d|[A-Za-z_$\x02])", "go": rf"{number}(?:\d|[A-Za-z_\x02])", "c": rf"{number}(?:\d|[A-Za-z_\x02])", "javascript": rf"{number}(?:\d|(?!(?:in|of|instanceof|as|from)\b)[A-Za-z_$\x02])"}
+    no_end = r"\b(?:return|break|continue|throw|goto)\b[^;{}:?]*\}"
+    more = {"java": (no_end, r"[+\-*%=<>&|^(,]\s*[*%^](?!=)", r",\s*\)", r"[(=]\s*,"), "c": (no_end, r"=\s*,"), "go": (r"[(=]\s*,",), "javascript": (r"[(=]\s*,",)}
+    return {name: [re.compile(p) for p in (no_right_side, side_by_side[name], *more[name])] for name in more}
+
+
 def _declarations(language: str, top: str) -> str | None:
     """Java and Go: the top level is a sequence of declarations; Go's first one names the package."""
     at, rule = 0, JAVA_TOP if language == "java" else GO_TOP
@@ -153,9 +175,35 @@ def _declarations(language: str, top: str) -> str | None:
     return None
 
 
+DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b((?:[^\n\\]|\\.)*+)", re.M | re.S)
+CONDITIONAL = re.compile(r"^[ \t]*#[ \t]*(?:else|elif)\b|__cplusplus|^[ \t]*#[ \t]*if[ \t]+0\b", re.M)
+C_OWN = re.compile(r"^[ \t]*#[ \t]*(?:include[ \t]*[<\"]|define[ \t]+\w|ifndef[ \t]+\w|ifdef[ \t]+\w|pragma[ \t]|endif\b)", re.M)
+
+
+def one_branch(text: str) -> str:
+    """C text with one branch of every conditional: the first one, but none that is for C++ or switched off."""
+    out, at, stack = [], 0, []  # of each open conditional: is its present branch taken, was any
+    for m in DIRECTIVE.finditer(text):
+        word, rest = m.group(1), m.group(2)
+        if all(active for active, _ in stack):
+            out.append(text[at : m.start()])
+        if word.startswith("if"):
+            off = "__cplusplus" in rest and word != "ifndef" and "!" not in rest or word == "if" and rest.strip() == "0"
+            stack.append((not off, not off))
+        elif word == "endif":
+            stack[-1:] = []
+        elif stack:
+            stack[-1] = (not stack[-1][1], True)
+        at = m.end()
+    if all(active for active, _ in stack):
+        out.append(text[at:])
+    return "\n".join(out)
+
+
 def _c_rules(_: str, top: str) -> str | None:
     segments = re.split(r";|(?<![=\s])\s*\x04(?=\s*[^\s;,\w*]|\s*$|\s*\n)|\x04(?=\s*;)", top)
-    if segments[-1].strip():
+    # A file may end with macros, which are words of capitals or calls.
+    if segments[-1].strip() and not C_MACROS.fullmatch(segments[-1]):
         return "premature_end" if C_SEGMENT.match(segments[-1]) else "foreign"
     if any(s.strip() and not C_SEGMENT.match(s) for s in segments) or THREE_NAMES.search(top):
         return "foreign"
@@ -165,9 +213,13 @@ def _c_rules(_: str, top: str) -> str | None:
 def _python_rules():
     word_pairs = re.compile(r"\b(\w++)[ \t]++(?=([\w\x02]++))").findall
     after_close = re.compile(r"[)\]}\x02][ \t]*+(?=([A-Za-z_0-9]\w*+))").findall
-    numbers = re.compile(r"[^\w.](?:\d[\da-fjxA-FJX_]*+[g-zG-Z]|0\d++(?![.eEjJ_]))").search
-    lone_operator = re.compile(r"[(\[{,]\s*+[,=]|[^=!<>:+\-*/%&|^@]=(?:\s*+[)\]},:]|\s++=)|:\s*+[)}]|[+\-/%^&|~]\s*+[,)\]}:]|\.\s*+[,)\]}:]").search
-    over_lines = re.compile(r"[\w\x02)\]}][ \t]*+\n\s*+(?=([\w\x02]++))").findall
+    numbers = re.compile(r"[^\w.](?!0[oOxXbB])(?:\d[\da-fjxA-FJX_]*+[g-zG-Z]|0++[1-9]\d*+(?![\d.eEjJ_]))").search
+    lone_operator = re.compile(r"[(\[{]\s*+[,=]|,\s*+,|[^=!<>:+\-*/%&|^@]=(?:\s*+[)\]},:]|\s++=)|:\s*+[)}]|[+\-%^&|~]\s*+[,)\]}:]|[^\s,(/]\s*+//?\s*+[,)\]}:]|(?<!\.\.)\.\s*+[,)\]}:]").search
+    lone_inside = re.compile(r",\s*+=(?!=)").search
+    over_lines = re.compile(r"(\w++|[\x02)\]}])[ \t]*+\n\s*+(?=([\w\x02]++))").findall
+    a_string = re.compile(r"[rbfuRBFU]{0,2}\x02").match
+    awaits = re.compile(r"\bawait\b").search
+    values = frozenset(("None", "True", "False", "_", "match", "case", "type"))
     first_word = re.compile(r"[A-Za-z_]\w*").match
     starts = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_0123456789.@~+-*" + STRING + PAREN + BRACKET + BRACE)
 
@@ -179,7 +231,7 @@ def _python_rules():
                 return "neighbours"
         if any(w not in PY_WORDS for w in set(after_close(bare))) or numbers(bare) or any(x in bare for x in ("<>", "?", "$", "`")):
             return "neighbours"
-        if "await" in bare and "async" not in bare:
+        if "await" in bare and "async" not in bare and awaits(bare):
             return "statement"
         if lone_operator(bare):
             return "statement"
@@ -217,7 +269,7 @@ def _python_rules():
                     return "statement"
                 if head == "except" and "," in body:
                     return "legacy"
-            elif last in "=+-*/%@&|^<>~." and body != "..." or last.isalpha() and body.rsplit(None, 1)[-1] in PY_DANGLING:
+            elif last in "=+-*/%@&|^<>~." and not body.endswith("...") and not (last == "." and body[-2:-1].isdigit()) and not (head == "from" and last == "*") or last.isalpha() and body.rsplit(None, 1)[-1] in PY_DANGLING:
                 return "premature_end"
             elif head in PY_HEADED and ":" not in body:
                 return "statement"
@@ -230,8 +282,11 @@ def _python_rules():
         # Within delimiters a line break is a blank: what stands on both sides must be joined by something.
         if bare.count("\n") != top.count("\n"):
             inner = [part for part, depth in depths(bare) if depth and "\n" in part]
-            if any(w not in PY_WORDS for part in inner for w in over_lines(part)):
-                return "neighbours"
+            if any(lone_inside(part) for part in inner):
+                return "statement"
+            for a, b in {pair for part in inner for pair in over_lines(part)}:
+                if b not in PY_WORDS and (a not in PY_WORDS or a in values) and not (a == STRING and a_string(b)):
+                    return "neighbours"
         return None
 
     def last_of(top: str) -> str:
@@ -268,7 +323,7 @@ def _javascript_rules():
             return "neighbours"
         if numbers(bare) or ("import" in bare and imports(bare)) or ("#" in bare and private(bare)):
             return "neighbours"
-        if dangling(top[-200:]):
+        if dangling(top.rstrip()):
             return "premature_end"
         return "statement" if missing(bare) or headless(top) else None
 

@@ -66,6 +66,51 @@ def test_tables(spark):
     assert syntax.found_defects(code.limit(0), kod.limit(0)).count() == 0
 
 
+def test_lexer_accepts_the_standard_library():
+    """Without the compiler's acquittal: the lexer and its rules alone reject no module that Python accepts."""
+    import sysconfig
+    from pathlib import Path
+
+    check = syntax.make_checker()
+    files = sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")) + sorted(Path(sysconfig.get_paths()["stdlib"]).glob("[a-e]*/*.py"))
+    texts = [(f.name, f.read_text(encoding="utf-8", errors="replace")) for f in files]
+    valid = [(name, t) for name, t in texts if t.strip() and syntax.python_accepts(t)]
+    rejected = [name for name, t in valid if check("python", t)]
+    assert len(valid) > 150 and len(rejected) <= len(valid) // 100, rejected
+
+
+def test_lexer_accepts_system_headers():
+    from pathlib import Path
+
+    check = syntax.make_checker()
+    files = [f for folder in ("", "sys", "linux", "net") for f in sorted(Path("/usr/include", folder).glob("*.h"))]
+    texts = [(str(f), f.read_text(encoding="utf-8", errors="replace")) for f in files]
+    rejected = [name for name, t in texts if t.strip() and "__cplusplus" not in t and check("c", t)]
+    assert len(rejected) <= len(texts) // 50, rejected
+
+
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("java", "class A { void f() { int x = ; } }"), ("java", "class A { void f() { foo(1 2); } }"), ("java", "class A { int f() { return x } }"), ("java", "class A { int f() { return (a + * b); } }"), ("java", "class A { int f() { g(a,); } }"),
+        ("go", "package a\nfunc f() { x := }\n"), ("go", "package a\nfunc f() int { return g(1 2) }\n"), ("c", "int f() { return 1 +; }"), ("c", "int f() { int x = 3 return x; }"), ("c", "int f() { return x }"), ("javascript", "let a = foo(1 2);"), ("javascript", "const x = a &&;"),
+    ],
+)
+def test_errors_inside_bodies(language, text):
+    assert syntax.make_checker()(language, text)
+
+
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("java", "import java.util.*;\nenum A { X, Y,; int[] t = {1, 2}; int f(int... a) { for (;;) { x++; if (a == b) break; } return -1; } }"), ("go", "package a\nfunc f(c chan<- int, p *T) (int, error) {\n\tx := []int{1, 2,}\n\tc <- 1\n\treturn x[1:], nil\n}\n"),
+        ("c", "#ifdef __cplusplus\nextern \"C\" {\n#endif\n#if A || \\\n  B\nint f(char *, int *p) { return p ? *p : 1; }\n#else\nint f(char *, int *p) {\n#endif\n#ifdef __cplusplus\n}\n#endif\nEND_DECLS\n"), ("javascript", "const f = (a = 1, b) => a++ + b--;\nfor (const x of [1, 2,]) { if (1 in x) y = x / 2; }\n"),
+    ],
+)
+def test_valid_bodies(language, text):
+    assert syntax.make_checker()(language, text) is None
+
+
 HAND = "import os\n\n\ndef load_{0}(path, limit=3):\n    items = []\n    for name in sorted(os.listdir(path)):\n        if name.endswith('.txt') and len(items) < limit:\n            items.append(name)\n    return items\n\n\nclass {1}:\n    def __init__(self, value):\n        self.value = value\n\n    def grow(self, by):\n        self.value += by\n        return self.value\n"
 LIBRARY = "# libfoo v1.2.3\n# Distributed under the permissive license of the libfoo authors; see NOTICE.\n" + HAND.format("foo", "Foo")
 
