@@ -158,7 +158,10 @@ def _aligned(prompts: dict[int, list[str]]):
 
 
 def score_bounds(held: np.ndarray) -> np.ndarray:
-    """No alignment of a row's words scores more: every word the other side has may match, every other one costs. One row per pair."""
+    """No alignment of a row's words scores more: every word the other side has may match, every other one costs. One row per pair.
+
+    It holds for either side of a pair, so the smaller of both counts.
+    """
     sums = np.cumsum(np.where(held, MATCH, max(MISMATCH, GAP)), axis=1)
     low = np.minimum.accumulate(np.concatenate([np.zeros((len(sums), 1), dtype=sums.dtype), sums[:, :-1]], axis=1), axis=1)
     return (sums - low).max(axis=1, initial=0)
@@ -174,8 +177,11 @@ def _scored(prompts: dict[int, list[str]], n: int, min_score: int, together: int
     holders: dict[tuple, list[int]] = {}
     row_of = {item: k for k, item in enumerate(prompts)}
     held = np.zeros((len(prompts), len(ids) + 1), dtype=bool)  # the last column stands for words of no item
+    longest = max(map(len, sides.values()), default=0)
+    padded = np.full((len(prompts), longest), len(ids), dtype=np.int32)
     for item, side in sides.items():
         held[row_of[item], side] = True
+        padded[row_of[item], : len(side)] = side
     for item, words in prompts.items():
         for gram in {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}:
             holders.setdefault(gram, []).append(item)
@@ -199,7 +205,10 @@ def _scored(prompts: dict[int, list[str]], n: int, min_score: int, together: int
                 near = sorted({item for i in range(len(words) - n + 1) for item in holders.get(tuple(words[i : i + n]), ())})
                 side = np.array([ids.get(w, -1) for w in words], dtype=np.int32)
                 if near and min_score > 0:
-                    bounds = score_bounds(held[np.array([row_of[i] for i in near])][:, side])
+                    rows = np.array([row_of[i] for i in near])
+                    spoken = np.zeros(len(ids) + 1, dtype=bool)
+                    spoken[side[side >= 0]] = True
+                    bounds = np.minimum(score_bounds(held[rows][:, side]), score_bounds(spoken[padded[rows]]))
                     near = [i for i, bound in zip(near, bounds) if bound >= min_score]
                 pairs += [(side, sides[i]) for i in near]
                 items.append((text, near))
