@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush, heapreplace
 from pathlib import Path
 
 import pandas as pd
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens of the BPE kinds and of WordPiece; special tokens by kind.
 PRETOKEN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\w+| ?[^\s\w]+|\s+(?!\S)|\s+"""
-WORD = r"(?U)\w+|[^\w\s]"
-SPECIALS = {"bpe": ("<unk>", "<eos>"), "byte_bpe": ("<|endoftext|>",), "wordpiece": ("[UNK]", "[EOS]"), "unigram": ("<unk>", "<eos>")}
-END = "</w>"
-UNKNOWN = {"bpe": "<unk>", "wordpiece": "[UNK]", "unigram": "<unk>"}
+WORD = r"(?U)\w+|[^\w\s]+"
+SPECIALS = {"bpe": ("<|endoftext|>", "<|unk|>"), "byte_bpe": ("<|endoftext|>",), "wordpiece": ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"), "unigram": ("<unk>", "<s>", "</s>")}
+UNKNOWN = {"bpe": "<|unk|>", "wordpiece": "[UNK]", "unigram": "<unk>"}
+END_OF_TEXT = {"bpe": "<|endoftext|>", "byte_bpe": "<|endoftext|>", "wordpiece": "[SEP]", "unigram": "</s>"}
+#: Marks of a word's end (bpe), of a piece inside a word (wordpiece) and of a blank (unigram).
+END, INNER, BLANK = "</w>", "##", "\u2581"
+#: Fixed value: the log-probability of special tokens and of characters that no path used.
+RARE = math.log(1e-9)
 
 
 def word_counts(df: DataFrame, text: str, order: str, pattern: str = PRETOKEN, lower: bool = False, min_count: int = 1) -> DataFrame:
@@ -58,46 +64,94 @@ def gather_words(counts: DataFrame, max_words: int = 2_000_000) -> list[tuple[st
 
 def byte_chars() -> dict[int, str]:
     """Bytes as printable characters: those that print stand for themselves, the others follow from U+0100."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in shown]
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class _Pairs:
-    """Counts of neighbouring symbols over weighted words, kept up to date while pairs are merged."""
+    """Neighbouring symbols over weighted words, kept up to date while pairs are merged, with the best pair at hand.
 
-    def __init__(self, words: list[tuple[list[str], int]]):
-        self.words, self.counts, self.singles, self.places = words, Counter(), Counter(), defaultdict(set)
+    A pair's value is its count or, if ``relative``, its count over the product of its symbols' counts. Of equal values the pair that
+    stands first counts. The queue holds a pair under its value and a place that is not behind its true one; entries whose value has
+    changed are dropped when they come up, and those whose place has moved are put back, so a merge costs what it changes.
+    """
+
+    def __init__(self, words: list[tuple[list[str], int]], relative: bool = False):
+        self.words, self.relative = words, relative
+        self.counts, self.singles = Counter(), Counter()
+        self.seen_in: dict[tuple[str, str], list[int]] = defaultdict(list)
+        self.with_symbol: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        self.queue: list = []
         for k in range(len(words)):
-            self._add(k, 1)
+            self._count(k, 1)
+        for pair in self.counts:
+            self._offer(pair)
 
-    def _add(self, k: int, sign: int) -> None:
+    def _count(self, k: int, sign: int) -> set[tuple[str, str]]:
         symbols, n = self.words[k]
         for symbol in symbols:
             self.singles[symbol] += sign * n
-        for pair in zip(symbols, symbols[1:]):
+        pairs = list(zip(symbols, symbols[1:]))
+        for pair in pairs:
             self.counts[pair] += sign * n
-            if sign > 0:
-                self.places[pair].add(k)
-
-    def position(self, pair: tuple[str, str]) -> tuple[int, int]:
+        if sign > 0:
+            for pair in set(pairs):
+                heappush(self.seen_in[pair], k)
+                self.with_symbol[pair[0]].add(pair)
+                self.with_symbol[pair[1]].add(pair)
+        return set(pairs)
+
+    def value(self, pair: tuple[str, str]) -> float:
+        n = self.counts.get(pair, 0)
+        return n / (self.singles[pair[0]] * self.singles[pair[1]]) if self.relative and n else n
+
+    def _offer(self, pair: tuple[str, str]) -> None:
+        value = self.value(pair)
+        if value:
+            heappush(self.queue, (-value, self.seen_in[pair][0], -1, pair))
+
+    def place(self, pair: tuple[str, str]) -> tuple[int, int]:
         """The first word that has the pair, and where."""
-        for k in sorted(self.places[pair]):
-            symbols = self.words[k][0]
+        heap = self.seen_in[pair]
+        while True:
+            symbols = self.words[heap[0]][0]
             for i in range(len(symbols) - 1):
-                if (symbols[i], symbols[i + 1]) == pair:
-                    return k, i
-        return len(self.words), 0
+                if symbols[i] == pair[0] and symbols[i + 1] == pair[1]:
+                    return heap[0], i
+            heappop(heap)
+
+    def best(self) -> tuple[tuple[str, str], float] | None:
+        while self.queue:
+            negative, k, i, pair = self.queue[0]
+            if -negative != self.value(pair):
+                heappop(self.queue)
+                continue
+            place = self.place(pair)
+            if place == (k, i):
+                return pair, -negative
+            heapreplace(self.queue, (negative, *place, pair))
+        return None
 
     def merge(self, pair: tuple[str, str], joined: str) -> None:
-        for k in sorted(self.places.pop(pair, ())):
+        changed: set[tuple[str, str]] = set()
+        for k in sorted(set(self.seen_in.pop(pair))):
             symbols, n = self.words[k]
             if pair not in zip(symbols, symbols[1:]):
                 continue
-            self._add(k, -1)
+            changed |= self._count(k, -1)
             self.words[k] = (merge_pair(symbols, pair, joined), n)
-            self._add(k, 1)
-        self.counts = Counter({p: n for p, n in self.counts.items() if n > 0})
+            changed |= self._count(k, 1)
+        if self.relative:
+            for symbol in (*pair, joined):
+                changed |= self.with_symbol[symbol]
+        for other in changed:
+            if self.counts[other] > 0:
+                self._offer(other)
+            else:
+                del self.counts[other]
+                self.with_symbol[other[0]].discard(other)
+                self.with_symbol[other[1]].discard(other)
 
 
 def merge_pair(symbols: list[str], pair: tuple[str, str], joined: str) -> list[str]:
@@ -127,7 +181,7 @@ class Subword:
 
     @property
     def eos_token_id(self) -> int:
-        return self.token_to_id[SPECIALS[self.kind][-1]]
+        return self.token_to_id[END_OF_TEXT[self.kind]]
 
     def save(self, path: str) -> None:
         """One JSON file with the kind and its tables."""
@@ -151,35 +205,35 @@ class Subword:
             raise ValueError("the vocabulary does not fit the type")
 
     def encode(self, text: str, add_eos: bool = False) -> list[int]:
-        unknown = self.token_to_id.get(UNKNOWN.get(self.kind, ""), 0)
-        ids = [self.token_to_id.get(t, unknown) for t in self.pieces(text)]
+        ids: list[int] = []
+        unknown = self.token_to_id[UNKNOWN[self.kind]] if self.kind in UNKNOWN else None
+        for piece in self.pieces(text):
+            if unknown is None and piece not in self.token_to_id:
+                ids += [self.token_to_id[ch] for ch in piece]  # a merge whose product the vocabulary lacks: its bytes
+            else:
+                ids.append(self.token_to_id.get(piece, unknown))
         return [*ids, self.eos_token_id] if add_eos else ids
 
+    def encode_batch(self, texts: Iterable[str], add_eos: bool = False) -> list[list[int]]:
+        """The ids of several texts."""
+        return [self.encode(t, add_eos) for t in texts]
+
     def pieces(self, text: str) -> list[str]:
-        import re
-
-        if self.kind in ("bpe", "byte_bpe"):
-            cache = self.__dict__.setdefault("_cache", {})
-            ranks = self.__dict__.setdefault("_ranks", {tuple(m): k for k, m in enumerate(self.merges)})
-            out: list[str] = []
-            for word in re.findall(PRETOKEN[4:], text):
-                if word not in cache:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    cache[word] = self._merged(self._symbols(word), ranks)
-                out += cache[word]
-            return out
-        if self.kind == "wordpiece":
-            cache = self.__dict__.setdefault("_cache", {})
-            found: list[str] = []
-            for word in re.findall(WORD[4:], text.lower()):
-                if word not in cache:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    cache[word] = self._longest(word)
-                found += cache[word]
-            return found
-        return [s for line in text.split("\n") for s in best_path(line, self.log_probs)[0]]
+        if self.kind == "unigram":
+            marked = BLANK + text.replace(" ", BLANK) if text else ""
+            lines = [best_path(line, self.log_probs)[0] for line in marked.split("\n")]
+            # No piece but the line break itself holds one, so lines are independent.
+            return [p for k, line in enumerate(lines) for p in ([*line] if k == 0 else ["\n", *line])]
+        cache = self.__dict__.setdefault("_cache", {})
+        ranks = self.__dict__.setdefault("_ranks", {tuple(m): k for k, m in reversed(list(enumerate(self.merges)))})
+        found: list[str] = []
+        for word in re.findall(WORD[4:], text.lower()) if self.kind == "wordpiece" else re.findall(PRETOKEN[4:], text):
+            if word not in cache:
+                if len(cache) > 200_000:
+                    cache.clear()
+                cache[word] = self._longest(word) if self.kind == "wordpiece" else self._merged(self._symbols(word), ranks)
+            found += cache[word]
+        return found
 
     def _symbols(self, word: str) -> list[str]:
         if self.kind == "byte_bpe":
@@ -206,32 +260,33 @@ class Subword:
             at = end
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        names = {i: t for t, i in self.token_to_id.items()}
-        skip = set(SPECIALS[self.kind])
-        tokens = [names[i] for i in ids if names.get(i) is not None and names[i] not in skip]
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids; unknown ids are left out, special tokens too but by bpe, which spells them."""
+        names = self.__dict__.setdefault("_names", {i: t for t, i in self.token_to_id.items()})
+        skip = set() if self.kind == "bpe" else set(SPECIALS[self.kind])
+        tokens = [t for t in (names.get(int(i), "") for i in ids) if t not in skip]
         if self.kind == "byte_bpe":
             codes = {ch: b for b, ch in byte_chars().items()}
-            return bytes(codes[ch] for t in tokens for ch in t).decode("utf-8", errors="replace")
+            return bytes(codes.get(ch, ord("?")) for t in tokens for ch in t).decode("utf-8", errors="replace")
         if self.kind == "bpe":
             return "".join(tokens).replace(END, "")
         if self.kind == "wordpiece":
-            return "".join(t[2:] if t.startswith("##") else " " + t for t in tokens).strip()
-        return "".join(tokens)
+            return "".join(t[2:] if t.startswith(INNER) else " " + t for t in tokens).strip()
+        return "".join(tokens).replace(BLANK, " ").lstrip(" ")
 
 
 def train_bpe(words: list[tuple[str, int]], vocab_size: int, kind: str = "bpe") -> Subword:
-    """Merges the commonest pair until the size is reached or it occurs once. Ties: the pair first seen (Q8)."""
+    """Merges the commonest pair until the size is reached or it occurs once. Ties: the pair first seen (Q8)."""
     model = Subword(kind, {t: k for k, t in enumerate(SPECIALS[kind])})
     state = _Pairs([(model._symbols(w), n) for w, n in words])
-    start = byte_chars().values() if kind == "byte_bpe" else dict.fromkeys(s for symbols, _ in state.words for s in symbols)
+    start = byte_chars().values() if kind == "byte_bpe" else sorted({s for symbols, _ in state.words for s in symbols})
     for symbol in start:
         model.token_to_id.setdefault(symbol, len(model.token_to_id))
-    while len(model.token_to_id) < vocab_size and state.counts:
-        most = max(state.counts.values())
-        if most < 2:
+    while len(model.token_to_id) < vocab_size:
+        found = state.best()
+        if found is None or found[1] < 2:
             break
-        pair = min((p for p, n in state.counts.items() if n == most), key=state.position)
+        pair = found[0]
         joined = pair[0] + pair[1]
         model.merges.append(pair)
         model.token_to_id.setdefault(joined, len(model.token_to_id))
@@ -240,17 +295,21 @@ def train_bpe(words: list[tuple[str, int]], vocab_size: int, kind: str = "bpe")
 
 
 def train_wordpiece(words: list[tuple[str, int]], vocab_size: int) -> Subword:
-    """Merges the pair with the highest count over the product of its parts' counts; stops when a token exists already (Q10)."""
+    """Merges the pair with the highest count over the product of its parts' counts; stops when a token exists already (Q10).
+
+    The vocabulary starts with the special tokens, the first characters of words in order, and the inner ones in order.
+    """
     model = Subword("wordpiece", {t: k for k, t in enumerate(SPECIALS["wordpiece"])})
-    state = _Pairs([([w[0], *("##" + ch for ch in w[1:])], n) for w, n in words if w])
-    for symbol in dict.fromkeys(s for symbols, _ in state.words for s in symbols):
+    words = [(w, n) for w, n in words if w]
+    for symbol in [*sorted({w[0] for w, _ in words}), *(INNER + ch for ch in sorted({ch for w, _ in words for ch in w[1:]}))]:
         model.token_to_id.setdefault(symbol, len(model.token_to_id))
-    while len(model.token_to_id) < vocab_size and state.counts:
-        single = state.singles
-        score = {p: n / (single[p[0]] * single[p[1]]) for p, n in state.counts.items()}
-        most = max(score.values())
-        pair = min((p for p, x in score.items() if x == most), key=state.position)
-        joined = pair[0] + pair[1].removeprefix("##")
+    state = _Pairs([([w[0], *(INNER + ch for ch in w[1:])], n) for w, n in words], relative=True)
+    while len(model.token_to_id) < vocab_size:
+        found = state.best()
+        if found is None:
+            break
+        pair = found[0]
+        joined = pair[0] + pair[1].removeprefix(INNER)
         if joined in model.token_to_id:
             break
         model.token_to_id[joined] = len(model.token_to_id)
@@ -258,16 +317,22 @@ def train_wordpiece(words: list[tuple[str, int]], vocab_size: int) -> Subword:
     return model
 
 
-def best_path(line: str, log_probs: dict[str, float], unknown: float = -20.0) -> tuple[list[str], float]:
-    """Viterbi: the most probable pieces of a line; a character without a piece costs ``unknown``."""
-    longest = max((len(p) for p in log_probs), default=1)
+def best_path(line: str, log_probs: dict[str, float], unknown: float | None = None) -> tuple[list[str], float]:
+    """Viterbi: the most probable pieces of a line; a character without a piece costs ``unknown``, else what ``<unk>`` does."""
+    lengths = sorted({len(p) for p in log_probs})
+    missing = unknown if unknown is not None else log_probs.get("<unk>", math.log(1e-6))
     best, back = [0.0] + [-math.inf] * len(line), [0] * (len(line) + 1)
     for end in range(1, len(line) + 1):
-        for start in range(max(0, end - longest), end):
-            piece = line[start:end]
-            value = log_probs.get(piece, unknown if end - start == 1 else None)
+        # From the longest piece on, so that of equally probable paths the one with the longer last piece wins.
+        for size in reversed(lengths):
+            start = end - size
+            if start < 0:
+                continue
+            value = log_probs.get(line[start:end])
             if value is not None and best[start] + value > best[end]:
                 best[end], back[end] = best[start] + value, start
+        if line[end - 1] not in log_probs and best[end - 1] + missing > best[end]:
+            best[end], back[end] = best[end - 1] + missing, end - 1
     out, at = [], len(line)
     while at > 0:
         out.append(line[back[at] : at])
@@ -275,47 +340,78 @@ def best_path(line: str, log_probs: dict[str, float], unknown: float = -20.0) ->
     return out[::-1], best[-1]
 
 
-def train_unigram(df: DataFrame, text: str, vocab_size: int, rounds: int = 2, seeds: int = 10_000, prune: float = 0.2) -> Subword:
-    """Frequent substrings as seeds, expectation by best paths over the corpus, pruning until the size is reached.
+def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds: int = 4, seeds: int = 10_000, longest: int = 16, prune: float = 0.2, max_chars: int = 200_000) -> Subword:
+    """All characters and the commonest substrings of lines as seeds; in each of ``rounds`` the pieces of the best paths are counted
+    over the corpus and the least used longer ones go, a share ``prune`` of them at most, until the size is reached.
 
-    Every expectation step is one distributed pass; the driver sees pieces and their counts, at most ``seeds`` and the alphabet.
+    The texts count in the order of the integer column ``order``, which ties go by: the piece first seen or first used is first. Every
+    round is one distributed pass; the driver sees pieces and counts, at most ``seeds`` and the alphabet (more than ``max_chars`` characters are an error).
     """
-    lines = df.select(F.explode(F.split(text, "\n")).alias("line")).where("line <> ''")
-    pieces = substring_counts(df, text).orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(seeds).collect()
-    chars = lines.select(F.explode(F.split("line", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(100_000).collect()
-    counts = {r["c"]: r["n"] for r in chars} | {r["piece"]: r["n"] for r in pieces}
-    alphabet = {r["c"] for r in chars}
-    goal = max(vocab_size - len(SPECIALS["unigram"]), len(alphabet))
-    log_probs = _normal(counts)
-    while True:
-        for _ in range(rounds):
-            found = {r["piece"]: r["n"] for r in _expected(lines, log_probs).collect()}
-            log_probs = _normal({p: found.get(p, 0) + 1 for p in log_probs})
+    docs = df.where(F.col(text).isNotNull()).select(F.col(order).cast("long").alias("o"), F.col(text).alias("t"))
+    head = docs.agg(F.min("o").alias("first"), F.count("*").alias("n"), F.sum(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("breaks")).first()
+    special = SPECIALS["unigram"]
+    if not head["n"]:
+        return Subword("unigram", {t: k for k, t in enumerate(special)}, [], {t: RARE for t in special})
+    marked = F.replace("t", F.lit(" "), F.lit(BLANK))
+    marked = F.when(F.col("o") == head["first"], F.concat(F.lit(BLANK), marked)).otherwise(marked)
+    lines = docs.select("o", F.posexplode(F.split(marked, "\n")).alias("at", "line")).where("line <> ''")
+    big = lambda c, places: c.cast("decimal(38,0)") * F.lit(places).cast("decimal(38,0)")
+    ahead = big(F.col("o"), 2**31).cast("decimal(30,0)") + F.col("at")
+    starts = lines.select(ahead.cast("decimal(30,0)").alias("ahead"), "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("i"))
+    sizes = starts.select("ahead", "line", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("line") - F.col("i") + 1))).alias("k"))
+    place = (F.col("ahead") * F.lit(10**8).cast("decimal(9,0)") + F.col("i")).cast("decimal(38,0)")
+    counted = sizes.select(F.expr("substring(line, i, k)").alias("piece"), "k", place.alias("p")).groupBy("piece", "k").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    from corpusmill.session import cut_lineage
+
+    counted = cut_lineage(counted)
+    chars = counted.where("k = 1").orderBy("p").limit(max_chars + 1).collect()
+    if len(chars) > max_chars:
+        raise ValueError(f"more than {max_chars} characters: this is no alphabet")
+    # The texts stand one below the other: the first line break ends the first line of the first text.
+    breaks, after = int(head["breaks"] or 0) + head["n"] - 1, (head["first"] * 2**31 + 1) * 10**8
+    letters = {r["piece"]: r["n"] for r in chars if r["p"] < after} | ({"\n": breaks} if breaks else {}) | {r["piece"]: r["n"] for r in chars if r["p"] >= after}
+    top = counted.where("k > 1").orderBy(F.desc("n"), "p", "k").limit(seeds).collect()
+    start = letters | {r["piece"]: r["n"] for r in top if r["piece"] not in letters}
+    total = sum(start.values())
+    log_probs = {p: math.log(n / total) for p, n in start.items()}
+    goal = vocab_size - len(special)
+    for _ in range(rounds):
         if len(log_probs) <= goal:
             break
-        longer = sorted((p for p in log_probs if p not in alphabet), key=lambda p: (log_probs[p], p))
-        drop = set(longer[: max(1, min(int(len(longer) * prune), len(log_probs) - goal))])
-        log_probs = {p: x for p, x in log_probs.items() if p not in drop}
-    tokens = [*SPECIALS["unigram"], *sorted(log_probs, key=lambda p: (-log_probs[p], p))]
-    return Subword("unigram", {t: k for k, t in enumerate(tokens)}, [], log_probs)
-
-
-def _normal(counts: dict[str, int]) -> dict[str, float]:
-    total = sum(counts.values())
-    return {p: math.log(n / total) for p, n in counts.items()}
+        used = {r["piece"]: r["n"] for r in _expected(lines, log_probs | {t: log_probs.get(t, RARE) for t in special}).orderBy("first").collect()}
+        scale = sum(used.values()) + len(used)
+        log_probs = {p: math.log((n + 1) / scale) for p, n in used.items() if p not in special}
+        for ch in letters:
+            log_probs.setdefault(ch, RARE)
+        over = len(log_probs) - goal
+        if over > 0:
+            longer = sorted((p for p in log_probs if len(p) > 1), key=lambda p: used.get(p, 0))
+            for p in longer[: min(int(prune * len(longer)) + 1, over)]:
+                del log_probs[p]
+    tokens = dict.fromkeys([*special, *log_probs])
+    return Subword("unigram", {t: k for k, t in enumerate(tokens)}, [], log_probs | {t: log_probs.get(t, RARE) for t in special})
 
 
 def _expected(lines: DataFrame, log_probs: dict[str, float]) -> DataFrame:
+    """piece, n and first (its first use) over the best paths of all lines."""
 
     def count(batches):
-        seen: Counter = Counter()
+        seen: dict[str, list] = {}
         for batch in batches:
-            for line in batch["line"]:
-                seen.update(best_path(line, log_probs)[0])
+            for o, at, line in zip(batch["o"], batch["at"], batch["line"]):
+                for i, piece in enumerate(best_path(line, log_probs)[0]):
+                    hit = seen.get(piece)
+                    if hit is None:
+                        seen[piece] = [1, (o, at, i)]
+                    else:
+                        hit[0] += 1
+                        if (o, at, i) < hit[1]:
+                            hit[1] = (o, at, i)
         if seen:
-            yield pd.DataFrame({"piece": list(seen), "n": list(seen.values())})
+            yield pd.DataFrame([(p, n, *first) for p, (n, first) in seen.items()], columns=["piece", "n", "o", "at", "i"])
 
-    return lines.mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = lines.select("o", "at", "line").mapInPandas(count, "piece string, n long, o long, at int, i int")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"), F.min(F.struct("o", "at", "i")).alias("first"))
 
 
 def encode_column(c: Column, model: Subword, add_eos: bool = False) -> Column:

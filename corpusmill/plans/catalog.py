@@ -672,7 +672,7 @@ def _trained(kind: str):
     def run(spark, directory):
         docs = table(spark, directory, "documents")
         if kind == "unigram":
-            model = subword.train_unigram(docs, "text", 400)
+            model = subword.train_unigram(docs, "text", "doc_id", 400)
         elif kind == "wordpiece":
             model = subword.train_wordpiece(subword.gather_words(subword.word_counts(docs, "text", "doc_id", subword.WORD, lower=True)), 500)
         else:

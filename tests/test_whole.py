@@ -3,13 +3,11 @@
 import ast
 import random
 import warnings
+from collections import Counter
 
-import numpy as np
 import pytest
 
 from corpusmill.functions import subword
-from corpusmill.llm import leakage, pairs, provenance
-from corpusmill.llm import queries as llm
 from corpusmill.plans import catalog
 from corpusmill.session import table
 
@@ -65,80 +63,97 @@ def test_tokenizers_are_trained_on_documents(spark, corpus, kind):
     assert set(got) == {k for k, _ in TEXTS}
 
 
-def test_rates_cover_the_exercises(spark, tmp_path):
-    code = [(1, "a/b", None, "x.py", "def f(:\n"), (2, "a/b", None, "y.py", "x = 1\n"), (3, None, None, "z.py", "x = 1\n")]
-    spark.createDataFrame(code, "file_id long, max_stars_repo_name string, repo_name string, max_stars_repo_path string, content string").write.parquet(f"{tmp_path}/code_files.parquet")
-    spark.createDataFrame([(1, "x = 1", "def t(:"), (2, None, ""), (3, "y = (", "z = 2"), (4, "y = 3", " \n")], "row_id long, solution string, test string").write.parquet(f"{tmp_path}/kodcode_v1.parquet")
-    got = {(r["src_table"], r["field_name"], r["repo"], r["language"]): (r["n_checked"], r["n_broken"], r["rate"]) for r in llm.queries()["p5_rates"](spark, str(tmp_path)).collect()}
-    assert got == {
-        ("code_files", "content", "a/b", "python"): (2, 1, 0.5), ("code_files", "content", "unknown", "python"): (1, 0, 0.0),
-        ("kodcode_v1", "solution", "unknown", "python"): (3, 1, 0.333333), ("kodcode_v1", "test", "unknown", "python"): (2, 1, 0.5),
-    }
-
-
-def test_every_shared_passage_is_scored(spark):
-    # Old seeds: the rarest n-gram of a window, and those of one item; here both items share the n-grams that are left whole.
-    rng = random.Random(3)
-    shared = [f"common{k}" for k in range(8)]
-    items = {i: [f"i{i}a{k}" for k in range(6)] + shared + [f"i{i}b{k}" for k in range(20)] for i in (1, 2)}
-    docs = {}
-    for d in range(60):
-        words = [f"x{rng.randrange(400)}" for _ in range(20)]
-        for i, p in items.items():
-            # Every third word of the item is another; only the n-gram that both items have is left whole.
-            words += [w if w in shared or k % 3 and k not in (5, 14) else "other" for k, w in enumerate(p)] if d % (2 * i) == 0 else []
-        docs[d] = words + [f"y{rng.randrange(400)}" for _ in range(20)]
-    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, prompt string")
-    want = {}
-    for d, words in docs.items():
-        for i, p in items.items():
-            ids = {w: k for k, w in enumerate(p)}
-            grams = set(leakage.grams_of(words, 5)) & set(leakage.grams_of(p, 5))
-            score = leakage.align(np.array([ids.get(w, -1) for w in words]), np.arange(len(p)))
-            if grams and score[0] >= 24:
-                want[i, d] = score
-    got = {(r["item_id"], r["doc_id"]): (r["score"], r["longest_run"]) for r in leakage.find_leaks(df, bench).where("score >= 24").collect()}
-    assert got == want and len(want) >= 30
-    rare = leakage.find_leaks(df, bench, runs_only=True)
-    assert rare.where("longest_run >= 12").count() == sum(r >= 12 for _, r in want.values())
-
-
-def test_ends_are_counted_over_all_rows(spark, data, monkeypatch):
-    rows = pairs._shaped(table(spark, data, "sft_pairs"))
-    whole = pairs.EndModel([r["answer"] for r in rows.collect() if r["answer"] and r["answer"].strip()])
-    counted = pairs.EndModel.of_rows(rows.repartition(3), "answer")
-    assert vars(counted) == vars(whole) and whole.all
-    used = []
-    monkeypatch.setattr(pairs.EndModel, "settle", lambda self, settle=pairs.EndModel.settle: (settle(self), used.append(self))[0])
-    pairs.pair_defects(table(spark, data, "sft_pairs"), sample=5)
-    assert [m.all for m in used] == [whole.all]
-
-
-def test_unigram_starts_from_ten_thousand_seeds(spark, tmp_path, monkeypatch):
+def spelt_out(words, relative, rounds):
+    """Merges by counting everything anew each time; of equal values the pair met first."""
+    words, merges = [(list(w), n) for w, n in words], []
+    for _ in range(rounds):
+        pairs, singles = Counter(), Counter()
+        for symbols, n in words:
+            for s in symbols:
+                singles[s] += n
+            for pair in zip(symbols, symbols[1:]):
+                pairs[pair] += n
+        value = lambda p: pairs[p] / (singles[p[0]] * singles[p[1]]) if relative else pairs[p]  # noqa: B023, E731
+        if not pairs:
+            break
+        best = max(pairs, key=value)
+        merges.append((best, value(best)))
+        words = [(merged_once(symbols, best), n) for symbols, n in words]
+    return merges
+
+
+def merged_once(symbols, pair):
+    return subword.merge_pair(symbols, pair, pair[0] + "+" + pair[1])
+
+
+@pytest.mark.parametrize("relative", [False, True])
+def test_queue_of_pairs_equals_counting_anew(relative):
+    rng = random.Random(4)
+    for _ in range(60):
+        distinct = dict.fromkeys("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 14)))
+        words = [(list(w), rng.randrange(1, 5)) for w in distinct]
+        state = subword._Pairs([(list(w), n) for w, n in words], relative)
+        for pair, value in spelt_out(words, relative, 12):
+            assert state.best() == (pair, value)
+            state.merge(pair, pair[0] + "+" + pair[1])
+
+
+def unigram_by_hand(texts, size, seeds, longest, rounds, prune):
+    """The training on one text in memory, line after line."""
+    import math
+
+    mark = "\u2581"
+    whole = mark + "\n".join(texts).replace(" ", mark)
+    letters, parts = Counter(whole), Counter()
+    for line in whole.split("\n"):
+        parts.update(line[i : i + k] for i in range(len(line)) for k in range(2, min(longest, len(line) - i) + 1))
+    start = dict(letters) | {p: n for p, n in parts.most_common(seeds)}
+    probs = {p: math.log(n / sum(start.values())) for p, n in start.items()}
+    special = ("<unk>", "<s>", "</s>")
+    for _ in range(rounds):
+        if len(probs) + 3 <= size:
+            break
+        model = probs | {t: math.log(1e-9) for t in special}
+        used = Counter(p for line in whole.split("\n") for p in subword.best_path(line, model)[0])
+        probs = {p: math.log((n + 1) / (sum(used.values()) + len(used))) for p, n in used.items() if p not in special}
+        probs |= {ch: math.log(1e-9) for ch in letters if ch not in probs}
+        over = len(probs) - (size - 3)
+        longer = sorted((p for p in probs if len(p) > 1), key=lambda p: used[p])
+        for p in longer[: max(0, min(int(prune * len(longer)) + 1, over))]:
+            del probs[p]
+    return [*special, *probs], probs
+
+
+def test_unigram_equals_training_in_memory(spark):
     rng = random.Random(5)
-    texts = [(k, "".join(rng.choice("abcdefgh ") for _ in range(90))) for k in range(12)]
-    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    sizes, passes = [], []
-    monkeypatch.setattr(subword, "_normal", lambda counts, normal=subword._normal: (sizes.append(len(counts)), normal(counts))[1])
-    monkeypatch.setattr(subword, "_expected", lambda lines, p, expected=subword._expected: (passes.append(len(p)), expected(lines, p))[1])
-    got = {r["doc_id"]: r["n_tokens"] for r in catalog.queries()["train_unigram"](spark, str(tmp_path)).collect()}
-    pieces = {t[i : i + k] for _, t in texts for i in range(len(t)) for k in range(2, 17) if i + k <= len(t)}
-    assert len(pieces) > 10_000 and sizes[0] == 10_000 + len({c for _, t in texts for c in t})
-    assert passes[0] == passes[1] == sizes[0] and set(got) == set(range(12)) and all(0 < n <= 90 for n in got.values())
-
-
-def test_leading_comment_is_searched_whole(spark):
-    licence = "".join(f"# Line {k} of the terms under which this text may be passed on to others.\n" for k in range(90))
-    body = "import os\n\n\ndef load(path):\n    return sorted(os.listdir(path))\n"
-    rows = [(1, "o/r", None, "src/a.py", licence + "# Code generated by tool v1. DO NOT EDIT.\n" + body), (2, "o/r", None, "src/b.py", licence + body)]
-    df = spark.createDataFrame(rows, "file_id long, max_stars_repo_name string, repo_name string, max_stars_repo_path string, content string")
-    assert len(licence) > 4000
-    assert {r["file_id"]: r["label"] for r in provenance.file_labels(df).collect()} == {1: "generated", 2: "handwritten"}
-
-
-def test_refusal_is_found_anywhere_in_a_long_answer():
-    judge = pairs.make_judge(pairs.LanguageModel([]), pairs.EndModel([]))
-    talk = "The queue keeps its own index, so the reader never has to wait. " * 12
-    assert judge("What is a queue?", None, talk + "I can't help with that request.", "en") == "refusal"
-    assert len(talk) > 700 and judge("What is a queue?", None, talk.strip(), "en") is None
+    for size, seeds, longest in ((40, 200, 6), (30, 40, 16), (500, 30, 4)):
+        texts = ["".join(rng.choice("abc de\n") for _ in range(rng.randrange(1, 60))) for _ in range(8)] + ["", "漢字 <s> x"]
+        df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)] + [(99, None, "x")], "doc_id long, t string, piece string").repartition(4)
+        model = subword.train_unigram(df, "t", "doc_id", size, seeds=seeds, longest=longest)
+        tokens, probs = unigram_by_hand(texts, size, seeds, longest, 4, 0.2)
+        assert list(model.token_to_id) == tokens
+        assert {p: round(x, 9) for p, x in model.log_probs.items() if p in probs} == {p: round(x, 9) for p, x in probs.items()}
+        assert all(model.decode(model.encode(t)) == t.lstrip(" ") for t in texts if "<s>" not in t)
+    assert subword.train_unigram(df.limit(0), "t", "doc_id", 9).vocab_size == 3
+
+
+def test_artifacts_have_the_known_layout(spark, tmp_path):
+    """Special tokens, ids and unknown characters of the four kinds, on texts worked out by hand."""
+    df = spark.createDataFrame([(1, "low lower low"), (2, "It's")], "doc_id long, t string")
+    words = subword.gather_words(subword.word_counts(df, "t", "doc_id"))
+    bpe = subword.train_bpe(words, 18)
+    assert list(bpe.token_to_id) == ["<|endoftext|>", "<|unk|>", " ", "'", "</w>", "I", "e", "l", "o", "r", "s", "t", "w", "lo", "low", "low</w>"]
+    assert bpe.merges == [("l", "o"), ("lo", "w"), ("low", "</w>")]
+    assert bpe.encode("z", add_eos=True) == [1, bpe.token_to_id["</w>"], 0] and bpe.decode([0]) == "<|endoftext|>"
+    byte = subword.train_bpe(words, 259, "byte_bpe")
+    assert list(byte.token_to_id)[:3] == ["<|endoftext|>", "!", '"'] and list(byte.token_to_id)[256:] == [chr(256 + 67), "lo", "low"]
+    byte.merges.append(("z", "z"))
+    assert byte.encode("zz") == [byte.token_to_id["z"]] * 2 and byte.decode(byte.encode("größe", add_eos=True)) == "größe"
+    piece = subword.train_wordpiece(subword.gather_words(subword.word_counts(df, "t", "doc_id", subword.WORD, lower=True)), 20)
+    assert list(piece.token_to_id)[:16] == ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "'", "i", "l", "s", "##e", "##o", "##r", "##t", "##w", "##er", "it"]
+    assert piece.encode("zz", add_eos=True) == [1, 3] and piece.encode_batch(["It", "it"]) == [[15], [15]]
+    assert [w for w, _ in subword.gather_words(subword.word_counts(spark.createDataFrame([(1, "a!!?b")], "doc_id long, t string"), "t", "doc_id", subword.WORD))] == ["a", "!!?", "b"]
+    for model in (bpe, byte, piece):
+        model.save(str(tmp_path / model.kind / "tokenizer.json"))
+        again = subword.Subword.load(str(tmp_path / model.kind))
+        assert again.encode("low lower It's") == model.encode("low lower It's")
