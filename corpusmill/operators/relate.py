@@ -10,23 +10,24 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import normalize_text, stable_hash
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, most: int = 10_000, least: int = 100_000) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], n: str, most: int = 10_000, least: int = 100_000, total: int | None = None) -> DataFrame:
     """Keys with so many rows that they are split, and into how many parts (``__salts``): at most ``most`` keys, whatever the table's size.
 
     A key is hot above ``least`` rows, and above total / ``most`` of them in tables so large that otherwise more keys could be hot.
+    ``total`` is the number of rows if it is known; else it is summed here.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
+    total = total if total is not None else counts.agg(F.sum(n)).first()[0] or 0
     limit = max(least, math.ceil(total / most))
     return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("__salts"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, counts: DataFrame, n: str = "n", how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, counts: DataFrame, n: str = "n", how: str = "inner", total: int | None = None, least: int = 100_000) -> DataFrame:
     """``left`` joined to ``right``, a table with few rows per key, where a key may hold most of ``left``.
 
     ``counts`` has the rows of ``left`` per key in ``n`` (checkpointed, as it is read twice). Rows of hot keys are split by a hash of
     ``spread_by`` and meet a copy each of the key's rows on the right. Null keys match nothing and are spread too. ``how``: inner or left.
     """
-    hot = F.broadcast(hot_keys(counts, keys, n))
+    hot = F.broadcast(hot_keys(counts, keys, n, least=least, total=total))
     lost = F.col(keys[0]).isNull()
     for key in keys[1:]:
         lost = lost | F.col(key).isNull()

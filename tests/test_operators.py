@@ -156,3 +156,26 @@ def test_tasks(spark, tmp_path):
     for bad in ({}, {"name": "a", "stage": "x"}, {"name": "a", "category": "x"}):
         with pytest.raises(ValueError):
             tasks.described(bad)
+
+
+def test_salted_join_equals_a_plain_one(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice(["hot", "hot", "hot", "a", "b", None, "none"]), rng.randrange(3), "x") for k in range(400)]
+    left = spark.createDataFrame(rows, "id long, a string, b int, __salts string")
+    right = spark.createDataFrame([("hot", 0, "r0"), ("hot", 0, "again"), ("hot", 1, "r1"), ("a", 2, "r2"), (None, 0, "no")], "a string, b int, v string")
+    counts = left.groupBy("a", "b").agg(F.count("*").alias("n")).where("a is not null")
+    for how in ("inner", "left"):
+        plain = sorted(map(repr, left.drop("__salts").join(right, ["a", "b"], how).collect()))
+        for least in (100_000, 5):
+            got = relate.salted_join(left.drop("__salts"), right, ["a", "b"], "id", counts, how=how, least=least)
+            assert sorted(map(repr, got.collect())) == plain
+    assert relate.hot_keys(counts, ["a", "b"], "n", least=5).where("a = 'hot'").count() == 3
+    many = spark.createDataFrame([(str(k), 10) for k in range(50)], "a string, n long")
+    assert relate.hot_keys(many, ["a"], "n", most=3, least=1).count() <= 3
+
+
+def test_anti_join_with_many_nulls(spark):
+    df = spark.createDataFrame([(k, None if k % 3 else k % 7, {"m": k}) for k in range(60)], "id long, k int, m map<string,int>")
+    keys = spark.createDataFrame([(0,), (3,), (None,)], "o int")
+    got = {r["id"] for r in relate.drop_keys(df, keys, "k", "o").collect()}
+    assert got == {k for k in range(60) if k % 3 or k % 7 not in (0, 3)}
