@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.relate import salted_join
 from corpusmill.session import cut_lineage
 
 BLANK = r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$"
@@ -49,7 +50,7 @@ def path_head(path: Column) -> Column:
     return F.when(head != "", head)
 
 
-def hash_to_min(pairs: DataFrame, max_rounds: int = 60, salts: int = 8) -> DataFrame:
+def hash_to_min(pairs: DataFrame, max_rounds: int = 60, hot: int = 100_000) -> DataFrame:
     """Components of an undirected graph given as rows (a, b): rows (node, component), the component being its smallest node.
 
     Nulls are ignored; self-loops give components of one node. Runs until stable; ``max_rounds`` guards against a bug and raises.
@@ -59,11 +60,9 @@ def hash_to_min(pairs: DataFrame, max_rounds: int = 60, salts: int = 8) -> DataF
     clusters = cut_lineage(both.union(both.select("a", "a")).toDF("node", "member").distinct())
     state = _fingerprint(clusters)
     for _ in range(max_rounds):
-        least = clusters.groupBy("node").agg(F.min("member").alias("least"))
-        # The smallest node of a large component has a row per member: its rows meet their minimum through a salted key.
-        spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keyed = clusters.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(salts)).cast("int"))
-        told = keyed.join(spread, ["node", "salt"]).select("least", "member")
+        least = clusters.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n"))
+        # The smallest node of a large component has a row per member: above ``hot`` rows they meet their minimum through a salted key.
+        told = salted_join(clusters, least.select("node", "least"), ["node"], "member", least, total=state[0], least=hot).select("least", "member")
         up, down = F.struct(F.col("least").alias("node"), F.col("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member"))
         fresh = cut_lineage(told.select(F.explode(F.array(up, down)).alias("p")).select("p.node", "p.member").distinct())
         after = _fingerprint(fresh)
@@ -84,42 +83,40 @@ def owners_of_rows(code: DataFrame) -> DataFrame:
         "file_id", F.col("max_stars_repo_name").alias("first_name"), F.col("repo_name").alias("second_name"),
         repository(F.col("max_stars_repo_name")).alias("first_repo"), repository(F.col("repo_name")).alias("second_repo"), path_head(F.col("max_stars_repo_path")).alias("head"),
     )
+    rows = cut_lineage(rows)
     nameless = F.col("first_repo").isNull() & F.col("second_repo").isNull()
     named = rows.where(~nameless).select("file_id", F.coalesce(owner(F.col("first_repo")), owner(F.col("second_repo"))).alias("one"), F.coalesce(owner(F.col("second_repo")), owner(F.col("first_repo"))).alias("other"), "first_name", "second_name")
     lone = rows.where(nameless).select("file_id", "head")
-    heads = lone.select("head").where(F.col("head").isNotNull()).distinct()
+    heads = lone.where(F.col("head").isNotNull()).groupBy("head").agg(F.count("*").alias("n"))
     repos = rows.where(~nameless).select(F.explode(F.array("first_repo", "second_repo")).alias("head")).where(F.col("head").contains("/")).join(heads, "head", "left_semi").distinct()
     known = repos.withColumn("found", owner(F.col("head")))
-    placed = lone.join(known, "head", "left").select("file_id", F.col("found").alias("one"), F.col("found").alias("other"), F.lit(None).cast("string").alias("first_name"), F.lit(None).cast("string").alias("second_name"))
+    placed = salted_join(lone, known, ["head"], "file_id", heads, how="left").select("file_id", F.col("found").alias("one"), F.col("found").alias("other"), F.lit(None).cast("string").alias("first_name"), F.lit(None).cast("string").alias("second_name"))
     return named.unionByName(placed)
 
 
-def grouped_rows(code: DataFrame, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+def grouped_rows(code: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows (file_id, node, component) and groups (component, n_rows, group_name).
 
     Groups are summed from totals per owner, so no task meets all rows of a group. Only owners tied to others are
-    looked up in the components; rows reach their component through a salted key, so a hot owner is spread.
+    looked up in the components; rows reach their component through a key that is salted for hot owners and null ones.
     """
     rows = cut_lineage(owners_of_rows(code))
     ties = rows.where("one <> other").select(F.col("one").alias("a"), F.col("other").alias("b")).distinct()
     components = cut_lineage(hash_to_min(ties))
     name = lambda c: F.when(F.regexp_replace(c, BLANK, "") != "", F.col(c))
     least = F.least(name("first_name"), name("second_name"))
-    owners = rows.where(F.col("one").isNotNull()).groupBy(F.col("one").alias("node")).agg(F.count("*").alias("n"), F.min(least).alias("least"))
+    owners = cut_lineage(rows.where(F.col("one").isNotNull()).groupBy(F.col("one").alias("node")).agg(F.count("*").alias("n"), F.min(least).alias("least")))
     settled = owners.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = settled.groupBy("component").agg(F.sum("n").alias("n_rows"), F.min("least").alias("group_name"))
-    salted = components.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = rows.select("file_id", F.col("one").alias("node")).withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(salts)).cast("int"))
-    members = keyed.join(salted, ["node", "salt"], "left").select("file_id", "node", F.coalesce("component", "node").alias("component"))
+    members = salted_join(rows.select("file_id", F.col("one").alias("node")), components, ["node"], "file_id", owners, how="left").select("file_id", "node", F.coalesce("component", "node").alias("component"))
     return members, groups
 
 
-def found_groups(code: DataFrame, salts: int = 8) -> DataFrame:
+def found_groups(code: DataFrame) -> DataFrame:
     """(group_name, file_id) of every row in a group of at least two rows."""
-    members, groups = grouped_rows(code, salts)
-    spread = groups.where("n_rows >= 2").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = members.where(F.col("component").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(salts)).cast("int"))
-    return keyed.join(spread, ["component", "salt"]).select("group_name", "file_id")
+    members, groups = grouped_rows(code)
+    groups = cut_lineage(groups.where("n_rows >= 2"))
+    return salted_join(members.where(F.col("component").isNotNull()), groups.select("component", "group_name"), ["component"], "file_id", groups, n="n_rows").select("group_name", "file_id")
 
 
 def rendezvous(key: Column, weights: dict[str, float], salt: str = "split-v1") -> Column:
@@ -134,9 +131,9 @@ def rendezvous(key: Column, weights: dict[str, float], salt: str = "split-v1") -
     return (F.least(*draws) if len(draws) > 1 else draws[0])["split"]
 
 
-def assign_splits(code: DataFrame, weights: dict[str, float] | None = None, salt: str = "split-v1", salts: int = 8) -> DataFrame:
+def assign_splits(code: DataFrame, weights: dict[str, float] | None = None, salt: str = "split-v1") -> DataFrame:
     """(file_id, split) for every row; all rows of a component share one split."""
     weights = weights or {"train": 0.9, "validation": 0.05, "test": 0.05}
-    members, _ = grouped_rows(code, salts)
+    members, _ = grouped_rows(code)
     key = F.coalesce(F.concat(F.lit("owner="), F.col("component")), F.concat(F.lit("file="), F.col("file_id").cast("string")), F.lit("none"))
     return members.select("file_id", rendezvous(key, weights, salt).alias("split"))

@@ -44,7 +44,8 @@ def test_components_match_union_find(spark):
         groups[find(x)].add(x)
     want = {x: min(g) for g in groups.values() for x in g}
     df = spark.createDataFrame(pairs + [(None, "q"), ("q", None)], "a string, b string")
-    assert {r["node"]: r["component"] for r in splits.hash_to_min(df).collect()} == want
+    for hot in (100_000, 1):
+        assert {r["node"]: r["component"] for r in splits.hash_to_min(df, hot=hot).collect()} == want
 
 
 def test_splits_keep_groups_and_shares(spark):
