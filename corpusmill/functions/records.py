@@ -8,15 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.rules import first_reason, is_true, label_in, within
+from corpusmill.functions.harness import PASS_LINE, case_program, pytest_program
+from corpusmill.functions.rules import first_reason, is_true, label_in, try_number, within
 from corpusmill.functions.text import clean_solution, code_for_execution, defines_function, parses_as_python, rstrip, stable_hash, starts_badly, strip
+from corpusmill.operators.order import even_positions
 
 #: Instructions of the prompts.
 COMPLETE_INSTRUCTION = "Complete the following Python function. Return only the missing code; do not repeat the prompt."
 WRITE_INSTRUCTION = "Write a complete Python solution. Return only Python code."
 SIGNED_INSTRUCTION = "Write a complete Python solution. Return only Python code. Define the required function exactly as named in the signature below; helper functions are allowed, but do not rename the required function."
 STDIN_INSTRUCTION = "Write a complete Python program that reads from standard input and writes to standard output. Return only Python code."
-PASS_LINE = "print('ALL TESTS PASSED')"
 #: Identifiers that tests must not use, and what a test function looks like.
 FORBIDDEN = r"(?U)\b(?:tempfile|\w*subprocess\w*|shutil|TemporaryDirectory|NamedTemporaryFile|mkdtemp|mkstemp)\b|\b(?:os|Path)\.(?:getcwd|chdir|system|popen|spawn\w*|fork|exec\w*|cwd)\b"
 TEST_FUNCTION = r"(?U)\bdef\s+test_\w+\s*\("
@@ -95,24 +96,19 @@ def rl_decisions(rows: DataFrame, leaks: DataFrame | None, styles: list[str], ma
 
 
 def rl_records(decided: DataFrame, source: str = "exercises") -> DataFrame:
-    """P10: prompts with their test programs; the program has a place for the code to be tested."""
+    """Prompts with their test programs; the program has a place for the code to be tested and runs the row's tests on it."""
     kept = decided.where("reason = 'kept'").withColumn("entry_points", entry_points(F.col("test_info")))
     question, test = text_of(F.col("question")), text_of(F.col("test"))
-    starter = F.when(prompt_kind(F.col("style")) == "humaneval", question).otherwise("")
-    template = F.concat(F.lit("SUBMITTED = __CODE_REPR__\nSTARTER = "), python_literal(starter), F.lit("\nENTRY_POINTS = "), F.to_json("entry_points"), F.lit("\nTESTS = "), python_literal(test), F.lit(f"\n{PASS_LINE}\n"))
+    complete = prompt_kind(F.col("style")) == "humaneval"
+    template = pytest_program(test, complete, F.when(complete, question).otherwise(""), F.col("entry_points"))
     task = F.coalesce(F.nullif(F.col("question_id"), F.lit("")), stable_hash(F.col("question")))
     return kept.select(
         F.concat(F.lit("user:\n"), user_content(question, F.col("style")), F.lit("\nassistant:\n")).alias("prompt"), template.alias("test_program_template"), F.concat(F.lit(f"{source}/"), task).alias("task_id"), F.lit(source).alias("source"), F.lit("pytest").alias("task_type"),
-        F.lower(strip("style")).alias("style"), prompt_kind(F.col("style")).alias("prompt_kind"), F.coalesce("subset", F.lit("")).alias("subset"), F.coalesce("gpt_difficulty", F.lit("")).alias("gpt_difficulty"), "gpt_pass_percentage", "benchmark_similarity",
+        F.lower(strip("style")).alias("style"), prompt_kind(F.col("style")).alias("prompt_kind"), F.coalesce("subset", F.lit("")).alias("subset"), F.coalesce("gpt_difficulty", F.lit("")).alias("gpt_difficulty"), try_number(F.col("gpt_pass_percentage")).alias("gpt_pass_percentage"), try_number(F.col("benchmark_similarity")).alias("benchmark_similarity"),
         F.coalesce(F.get("entry_points", F.lit(0)), F.lit("")).alias("entry_point"), "entry_points", "num_tests", F.length(question).alias("question_chars"), F.length(test).alias("test_chars"), F.length(template).alias("template_chars"),
     )
 
 
-def python_literal(c: Column) -> Column:
-    """A text as a literal that both JSON and Python read (not byte-equal to Python's own spelling, Q16)."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-
-
 def bench_samples(bench: DataFrame) -> DataFrame:
     """Dataset, task_id, kind, prompt, entry_point, test, test_list, signature of benchmark rows."""
     kind = F.when(F.lower("dataset").contains("mbpp"), "mbpp").otherwise("humaneval")
@@ -235,20 +231,44 @@ def problem_prompt(problem: Column, task_type: Column, entry_point: Column, star
     return F.concat(F.lit("user:\n"), head, F.lit("\n\n"), strip(problem), tail, F.lit("\nassistant:\n"))
 
 
-def problem_decisions(rows: DataFrame, leaks: DataFrame | None = None, min_chars: int = 1, max_chars: int = 20_000, max_case: int = 10_000, min_cases: int = 1, skip_stdin: bool = False, skip_functional: bool = False) -> DataFrame:
-    """Problems (problem, tests, starter_code, func_name, source) with parsed tests and the first reason against each."""
+def problem_decisions(
+    rows: DataFrame, leaks: DataFrame | None = None, min_chars: int = 1, max_chars: int = 20_000, max_case: int = 10_000, min_cases: int = 1, max_cases: int = 0,
+    min_template: int = 0, max_template: int = 10**9, skip_stdin: bool = False, skip_functional: bool = False, seconds: float = 10.0,
+) -> DataFrame:
+    """Problems (problem, tests, starter_code, func_name, source) with parsed tests, test program and the first reason against each.
+
+    Of more than ``max_cases`` cases (0: all) that many are taken, evenly spread.
+    """
     problem = text_of(F.col("problem"))
     parsed = rows.withColumn("t", parsed_tests()("tests", "func_name", "source", F.lit(max_case)))
     if leaks is not None:
         parsed = parsed.join(leaks.select("problem_id", F.col("reason").alias("__leak")), "problem_id", "left")
     else:
         parsed = parsed.withColumn("__leak", F.lit(None).cast("string"))
+    n = F.size("t.cases")
+    spread = F.transform(even_positions(n, max_cases), lambda at: F.element_at("t.cases", at.cast("int") + 1))
+    parsed = parsed.withColumn("__cases", F.when((F.lit(max_cases) > 0) & (n > max_cases), spread).otherwise(F.col("t.cases")))
+    parsed = parsed.withColumn("template", case_program(F.col("t.task_type"), F.col("__cases"), F.col("t.entry_point"), F.col("t.uses_class"), seconds))
+    size = F.length("template")
     reason = first_reason(
         (problem == "", "missing_problem"), (F.length(problem) < min_chars, "easy_problem_too_short"), (F.length(problem) > max_chars, "problem_too_long"), (F.col("__leak").isNotNull(), F.col("__leak")), (F.col("t.reason").isNotNull(), F.col("t.reason")),
-        ((F.col("t.task_type") == "stdin") & F.lit(skip_stdin), "skip_stdin"), ((F.col("t.task_type") == "function") & F.lit(skip_functional), "skip_functional"), (F.size("t.cases") < min_cases, "too_few_tests"),
+        ((F.col("t.task_type") == "stdin") & F.lit(skip_stdin), "skip_stdin"), ((F.col("t.task_type") == "function") & F.lit(skip_functional), "skip_functional"), (n < min_cases, "too_few_tests"),
+        (size < min_template, "easy_template_too_short"), (size > max_template, "template_too_long"),
     )
     task = F.concat(F.lit("problems/"), F.col("source"), F.lit("/"), F.substring(stable_hash(problem), 1, 16))
-    return parsed.select(*rows.columns, F.col("t.task_type").alias("task_type"), F.col("t.entry_point").alias("entry_point"), F.col("t.uses_class").alias("uses_class"), F.col("t.cases").alias("cases"), reason.alias("reason"), task.alias("task_id"))
+    return parsed.select(
+        *rows.columns, F.col("t.task_type").alias("task_type"), F.col("t.entry_point").alias("entry_point"), F.col("t.uses_class").alias("uses_class"), F.col("__cases").alias("cases"), "template", reason.alias("reason"), task.alias("task_id")
+    )
+
+
+def problem_records(decided: DataFrame) -> DataFrame:
+    """The records of the problems that were kept."""
+    kept = decided.where("reason = 'kept'")
+    prompt = problem_prompt(text_of(F.col("problem")), F.col("task_type"), F.col("entry_point"), F.col("starter_code"), F.col("uses_class"))
+    return kept.select(
+        prompt.alias("prompt"), F.col("template").alias("test_program_template"), "task_id", "source", "task_type", "entry_point",
+        F.size("cases").alias("num_tests"), F.length(text_of(F.col("problem"))).alias("problem_chars"), F.length("template").alias("template_chars"),
+    )
 
 
 def sandbox_result(payload: Column) -> Column:

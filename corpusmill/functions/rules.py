@@ -10,10 +10,16 @@ from corpusmill.functions.text import strip
 OPERATORS = ("ge", "lt", "eq", "ne")
 
 
+def try_number(c: Column) -> Column:
+    """2.9p: a value as a double; null where it is none."""
+    return c.try_cast("double")
+
+
 def _compared(c: Column, op: str, value) -> Column:
-    """Comparison as in Python: with NaN only ``ne`` holds."""
-    c = c.cast("double") if isinstance(value, float) else c
-    nan = F.isnan(c.cast("double")) if isinstance(value, (int, float)) else F.lit(False)
+    """Comparison as in Python: with NaN only ``ne`` holds. A text that is no number is null against a number."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    c = try_number(c) if isinstance(value, float) else c
+    nan = F.coalesce(F.isnan(try_number(c)), F.lit(False)) if number else F.lit(False)
     if op == "ge":
         return (c >= value) & ~nan
     if op == "lt":
@@ -37,7 +43,7 @@ def drop_equal(c: Column, value) -> Column:
 
 def drop_at_most(c: Column, value) -> Column:
     """what is greater than ``value``; null stays, NaN goes."""
-    return F.coalesce((c > value) & ~F.isnan(c.cast("double")), F.lit(True))
+    return F.coalesce((try_number(c) > value) & ~F.isnan(try_number(c)), F.lit(True))
 
 
 def drop_rule(c: Column, drop_eq=None, drop_le=None) -> Column:
@@ -49,7 +55,7 @@ def drop_rule(c: Column, drop_eq=None, drop_le=None) -> Column:
 
 def at_least(c: Column, value: float) -> Column:
     """``c >= value`` as doubles; null and NaN go."""
-    return row_rule(c.cast("double"), "ge", float(value))
+    return row_rule(try_number(c), "ge", float(value))
 
 
 def nonzero_or_null(c: Column) -> Column:
@@ -79,7 +85,7 @@ def is_true(c: Column) -> Column:
 def within(c: Column, low: float | None = None, high: float | None = None) -> Column:
     """within the bounds that are given; null fails as soon as one is."""
     out = F.lit(True)
-    value = F.expr("null").cast("double") if c is None else c.cast("double")
+    value = F.lit(None).cast("double") if c is None else try_number(c)
     if low is not None:
         out = out & F.coalesce(value >= low, F.lit(False))
     if high is not None:
