@@ -23,7 +23,10 @@ def single_reward(response: Column, name: str, **kwargs) -> Column:
     if name == "contains":
         return one(response.contains(kwargs["pattern"]))
     if name == "regex":
-        return one(response.rlike(kwargs["pattern"]))
+        flags = "".join(kwargs.get("flags", ""))
+        if not set(flags) <= set("imsx"):
+            raise ValueError("flags are some of i, m, s and x")
+        return one(response.rlike(f"(?{flags}){kwargs['pattern']}" if flags else kwargs["pattern"]))
     if name == "length":
         return one(F.length(response).between(kwargs.get("min_chars", 0), kwargs.get("max_chars", 10**12)))
     if name == "code_block":

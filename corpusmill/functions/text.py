@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 
 #: The characters that Python's ``str.strip`` removes, as a class that Java and RE2 read alike.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A fenced block, a thinking block, a leading role label, the beginning of a line of code.
+#: A fenced block, a thinking block, a leading role label, phrases before code, a signature, the beginning of a line of code.
 FENCE = r"(?is)```(?:python|py)?\s*(.*?)```"
-FIRST_FENCE = r"(?is)```(?:python|py)?\s*(.*?)```"
 THINK = r"(?is)<think>.*?</think>\s*"
 ROLE_LABEL = r"^\s*(?:assistant|Assistant)\s*:\s*"
 BAD_PREFIXES = ("write a complete python solution", "complete the following python function", "return only python code", "here is", "the solution", "we need")
 SIGNATURE = r"(?m)^\s*def\s+[A-Za-z_]\w*\s*\([^\n)]*\)\s*(?:->\s*[^:]+\s*)?:"
+CODE_START = r"^\s*(?:@|def\s+|async\s+def\s+|class\s+|from\s+\S+\s+import\s+|import\s+|if\s+__name__\s*==|[A-Za-z_]\w*\s*=)"
 
 
 def let(value: Column, use) -> Column:
@@ -70,8 +70,8 @@ def slug(c: Column) -> Column:
 
 def fenced_code(c: Column) -> Column:
     """The first fenced block, or the whole text where there is none."""
-    found = F.regexp_extract(c, FIRST_FENCE, 1)
-    return F.when(c.rlike(FIRST_FENCE), found).otherwise(c)
+    found = F.regexp_extract(c, FENCE, 1)
+    return F.when(c.rlike(FENCE), found).otherwise(c)
 
 
 def code_for_execution(c: Column) -> Column:
@@ -97,9 +97,8 @@ def clean_solution(c: Column) -> Column:
 
 
 def _without_preface(lines: Column) -> Column:
-    start = r"^\s*(?:@|def\s+|async\s+def\s+|class\s+|from\s+\S+\s+import\s+|import\s+|if\s+__name__\s*==|[A-Za-z_]\w*\s*=)"
     none = F.lit(0)
-    first = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(start)), True), F.lit(0)).cast("int") - 1
+    first = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(CODE_START)), True), F.lit(0)).cast("int") - 1
 
     def cut(at: Column) -> Column:
         prefix = F.lower(F.array_join(F.filter(F.transform(F.slice(lines, 1, at), strip), lambda x: x != ""), " "))
@@ -144,10 +143,36 @@ def until_eos(ids: Column, eos: int) -> Column:
     return F.when(at > 0, F.slice(ids, F.lit(1), (at - 1).cast("int"))).otherwise(ids)
 
 
+def plain_output(c: Column) -> Column:
+    """2.9f: a program's output without blanks at the ends of its lines and of the whole."""
+    lines = F.split(strip(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")
+    return strip(F.array_join(F.transform(lines, rstrip), "\n"))
+
+
 def percent(share: Column) -> Column:
     return F.format_string("%.2f%%", share * 100)
 
 
+def byte_size(n: Column) -> Column:
+    """2.9g: a number of bytes with the largest binary unit that leaves at least one."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    out = F.format_string("%.1f TB", n / float(1024**4))
+    for k in range(len(units) - 2, -1, -1):
+        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {units[k]}", n / float(1024**k))).otherwise(out)
+    return out
+
+
+def duration(seconds: Column) -> Column:
+    """2.9g: a time that is left as h:mm:ss; ``?`` for null and negative ones."""
+    s = seconds.cast("long")
+    return F.when(s >= 0, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).otherwise("?")
+
+
+def utc_stamp(c: Column) -> Column:
+    """2.9q: a timestamp as text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def parses_as_python():
     """Vectorised UDF: whether the text is a Python module. The only test here that needs Python; nothing is run."""
 

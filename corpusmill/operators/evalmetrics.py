@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.order import running_best
+
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """The unbiased estimate from c passes among n completions."""
@@ -34,9 +36,8 @@ def completions_needed(n: int, ks: list[int]) -> int:
 
 def best_so_far(history: DataFrame, order: str, metric: str, run: list[str]) -> DataFrame:
     """Adds the best metric up to each row of its run and whether the row is a new best (strictly greater)."""
-    ahead = Window.partitionBy(*run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(metric).over(ahead)
-    return history.withColumn("best", F.greatest(F.coalesce(best, F.col(metric)), F.col(metric))).withColumn("is_best", F.coalesce(F.col(metric) > best, F.lit(True)))
+    rows = running_best(history, [order], run, metric, "__best")
+    return rows.withColumn("best", F.greatest("__best", metric)).withColumn("is_best", F.coalesce(F.col(metric) > F.col("__best"), F.lit(True))).drop("__best")
 
 
 def group_advantages(rollouts: DataFrame, prompt: str, reward: str) -> DataFrame:
@@ -76,17 +77,32 @@ def newest_snapshots(snapshots: DataFrame, step: str, keep: int) -> DataFrame:
     return snapshots.orderBy(F.desc(step)).limit(keep)
 
 
-def policy_loss(df: DataFrame, clip_low: float = 0.2, clip_high: float = 0.28) -> DataFrame:
-    """Forward values of the clipped policy loss on arrays new_logprobs, old_logprobs, mask and a number advantage: loss, clip_fraction.
+def resume_from(snapshots: DataFrame, step: str, whole: str) -> DataFrame:
+    """T-2: the snapshot to go on from: the newest one that is whole; no row if there is none."""
+    return snapshots.where(F.col(whole)).orderBy(F.desc(step)).limit(1)
+
 
-    Both are means over the unmasked tokens of all rows; the sums are aggregated partially.
+def policy_loss(df: DataFrame, clip_low: float = 0.2, clip_high: float = 0.28, kl_coef: float = 0.0, per_sequence: bool = False) -> DataFrame:
+    """Forward values of the clipped policy loss on arrays new_logprobs, old_logprobs, mask (and ref_logprobs for the KL term) and a number
+    advantage: loss, clip_fraction, approx_kl.
+
+    Means are over the unmasked tokens of all rows, or with ``per_sequence`` over rows of their means; sums are aggregated partially.
+    The KL term of a token is exp(r) - r - 1 with r = reference - new, and counts ``kl_coef`` times. No unmasked token at all gives 0.
     """
-    tokens = F.arrays_zip("new_logprobs", "old_logprobs", "mask")
-    ratio = lambda t: F.exp(t["new_logprobs"] - t["old_logprobs"])
-    clipped = lambda t: F.least(F.greatest(ratio(t), F.lit(1 - clip_low)), F.lit(1 + clip_high))
-    loss = F.transform(tokens, lambda t: -F.least(ratio(t) * F.col("advantage"), clipped(t) * F.col("advantage")) * t["mask"])
-    cut = F.transform(tokens, lambda t: F.when(ratio(t) != clipped(t), 1.0).otherwise(0.0) * t["mask"])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    weight = F.aggregate("mask", F.lit(0.0), lambda x, y: x + y)
-    sums = df.agg(F.sum(total(loss)).alias("l"), F.sum(total(cut)).alias("c"), F.sum(weight).alias("w"))
-    return sums.select((F.col("l") / F.greatest("w", F.lit(1.0))).alias("loss"), (F.col("c") / F.greatest("w", F.lit(1.0))).alias("clip_fraction"))
+    reference = F.col("ref_logprobs") if "ref_logprobs" in df.columns else F.col("new_logprobs")
+    tokens = F.arrays_zip(F.transform("new_logprobs", lambda x: x), F.transform("old_logprobs", lambda x: x), F.transform(reference, lambda x: x), F.transform("mask", lambda x: x))
+    ratio = lambda t: F.exp(t["0"] - t["1"])
+    fields = F.transform(tokens, lambda t: F.struct(ratio(t).alias("x"), F.least(F.greatest(ratio(t), F.lit(1 - clip_low)), F.lit(1 + clip_high)).alias("c"), (F.exp(t["2"] - t["0"]) - (t["2"] - t["0"]) - 1).alias("k"), t["3"].cast("double").alias("m")))
+    total = lambda value: F.aggregate(F.transform("__t", value), F.lit(0.0).cast("double"), lambda a, x: a + x)
+    rows = df.withColumn("__t", fields)
+    gain = lambda t: -F.least(t["x"] * F.col("advantage"), t["c"] * F.col("advantage"))
+    sums = rows.select(
+        total(lambda t: (gain(t) + F.lit(float(kl_coef)) * t["k"]) * t["m"]).alias("l"), total(lambda t: F.when(F.abs(t["x"] - t["c"]) > 1e-8, t["m"]).otherwise(F.lit(0.0))).alias("c"),
+        total(lambda t: t["k"] * t["m"]).alias("k"), total(lambda t: t["m"]).alias("w"),
+    )
+    if per_sequence:
+        own = F.greatest("w", F.lit(1.0))
+        sums = sums.where("w > 0").select((F.col("l") / own).alias("l"), (F.col("c") / own).alias("c"), (F.col("k") / own).alias("k"), F.lit(1.0).alias("w"))
+    added = sums.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in "lckw"])
+    weight = F.greatest("w", F.lit(1.0))
+    return added.select((F.col("l") / weight).alias("loss"), (F.col("c") / weight).alias("clip_fraction"), (F.col("k") / weight).alias("approx_kl"))

@@ -42,24 +42,50 @@ def _all_of(conditions: list[Column]) -> Column:
     return out
 
 
+def running_best(df: DataFrame, order: list[str], group: list[str], value: str, best: str = "best_before") -> DataFrame:
+    """Adds the largest ``value`` among the rows ahead in the group; null at its first row.
+
+    As in ``with_running``, parts of the range are scanned apart and one number per group and part is gathered.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    keys = [*group, "__part"]
+    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn(best, F.max(value).over(ahead))
+    parts = ranged.groupBy(*keys).agg(F.max(value).alias("__most"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*keys, F.max("__most").over(earlier).alias("__earlier"))
+    joined = local.join(offsets, _all_of([local[k].eqNullSafe(offsets[k]) for k in keys]))
+    return joined.select(*[local[c] for c in df.columns], F.greatest(local[best], offsets["__earlier"]).alias(best))
+
+
 def budget_cut(df: DataFrame, order: list[str], length: Column, max_rows: int | None = None, max_chars: int | None = None) -> DataFrame:
-    """Rows in order until a budget is used up. The row that crosses it is kept, and so is the first row always."""
-    rows = with_running(df, order, value=length)
+    """Rows in order until a budget is used up. The row that crosses it is kept, and so is the first row always.
+
+    Only the order and the lengths are ranked; the rows themselves are then picked by their order, which must be unique and not null.
+    """
+    lean = with_running(df.select(*order, length.cast("long").alias("__length")), order, value=F.col("__length"))
     keep = F.lit(True)
     if max_rows is not None:
         keep = keep & (F.col("rank") < max_rows)
     if max_chars is not None:
         keep = keep & (F.col("before") < max_chars)
-    return rows.where((F.col("rank") == 0) | keep).drop("rank", "before")
+    return df.join(lean.where((F.col("rank") == 0) | keep).select(*order), order, "left_semi")
 
 
 def two_level_budget(df: DataFrame, group: str, order: list[str], text: str, per_group: int, total: int) -> DataFrame:
-    """A budget of characters per group and one over all groups, in the order of groups; the last text is cut."""
-    cut = with_running(df, order, [group], F.length(text))
-    taken = cut.withColumn(text, F.substring(F.col(text), F.lit(1), F.greatest(F.lit(0), F.least(F.length(text).cast("long"), F.lit(per_group) - F.col("before"))).cast("int"))).where(F.length(text) > 0).drop("rank", "before")
-    over_all = with_running(taken, [group, *order], value=F.length(text))
-    out = over_all.withColumn(text, F.substring(F.col(text), F.lit(1), F.greatest(F.lit(0), F.least(F.length(text).cast("long"), F.lit(total) - F.col("before"))).cast("int")))
-    return out.where(F.length(text) > 0).drop("rank", "before")
+    """A budget of characters per group and one over all groups, in the order of groups; the last text is cut.
+
+    Lengths alone are ranked; the texts that get a share are then picked by group and order, which must be unique, the order not null.
+    """
+    lean = df.select(group, *order, F.length(text).cast("long").alias("__length")).where("__length > 0")
+    left = lambda rows, budget: F.greatest(F.lit(0).cast("long"), F.least(F.col("__length"), F.lit(budget) - rows["before"]))
+    first = with_running(lean, order, [group], F.col("__length"))
+    taken = first.withColumn("__length", left(first, per_group)).where("__length > 0").drop("rank", "before")
+    second = with_running(taken, [group, *order], value=F.col("__length"))
+    shares = second.withColumn("__length", left(second, total)).where("__length > 0").select(F.col(group).alias("__g"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], "__length")
+    same = _all_of([F.col(group).eqNullSafe(F.col("__g")), *[F.col(c) == F.col(f"__o{k}") for k, c in enumerate(order)]])
+    cut = df.join(shares, same).withColumn(text, F.substring(F.col(text), F.lit(1), F.col("__length").cast("int")))
+    return cut.select(*df.columns)
 
 
 def periodic_split(df: DataFrame, order: list[str], ratio: float) -> DataFrame:

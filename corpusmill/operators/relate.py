@@ -84,20 +84,42 @@ def exact_leaks(texts: DataFrame, index: DataFrame) -> DataFrame:
     return texts.join(index.select("norm", "label"), "norm").select("id", "field", "pos", "label")
 
 
-def near_leaks(texts: DataFrame, index: DataFrame, least: int = 120, ratio: float = 0.85) -> DataFrame:
+def near_leaks(texts: DataFrame, index: DataFrame, least: int = 120, ratio: float = 0.85, n: int = 8) -> DataFrame:
     """Pairs of texts of at least ``least`` characters of which one contains the other, with lengths at least ``ratio`` apart.
 
-    Lengths meet through buckets of log-length, so it is an equi-join: texts of ratio r or more lie in the same or in
-    neighbouring buckets. Of several matches the first in index order is kept.
+    If the longer one contains the shorter one, it has the shorter one's words 2 to n + 1 in a row, and, as the lengths are alike, begins
+    them within its first 1 - ratio. So the shorter text gives one n-gram of words, the longer one those of its beginning, and both meet by it;
+    then containment is tested. Texts with too few words for that meet by their length. Of several matches the first in index order is kept.
     """
-    width = -math.log(ratio)
-    bucket = F.floor(F.log(F.length("norm")) / width).cast("int")
-    left = texts.where(F.length("norm") >= least).withColumn("bucket", bucket).alias("t")
-    right = index.where(F.length("norm") >= least).select("norm", "label", "ord", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")).alias("b")
-    t, b = F.col("t.norm"), F.col("b.norm")
-    near = F.least(F.length(t), F.length(b)) / F.greatest(F.length(t), F.length(b)) >= ratio
-    hits = left.join(right, (F.col("t.bucket") == F.col("b.bucket")) & near & (t.contains(b) | b.contains(t)))
-    return hits.groupBy("t.id", "t.field", "t.pos").agg(F.min_by("b.label", "b.ord").alias("label"))
+    size = F.length("norm")
+    words = F.split("norm", " ")
+    few = F.size(words) < n + 2
+    left = texts.where(size >= least).select("id", "field", "pos", "norm", words.alias("w"), few.alias("few"))
+    right = index.where(size >= least).select("norm", "label", "ord", words.alias("w"), few.alias("few"))
+    gram = lambda at: F.xxhash64(F.array_join(F.slice("w", at, F.lit(n)), " "))
+    own = F.array(gram(F.lit(2)))
+    # A text of m characters holds the shorter one from its first (1 - ratio) * m characters on; the n-gram begins one word later.
+    words_ahead = F.size(F.split(F.substring("norm", F.lit(1), (F.length("norm") * (1 - ratio) + 1).cast("int")), " "))
+    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(words_ahead + 1, F.size("w") - n + 1)))
+    begun = F.transform(spots, gram)
+
+    def keyed(rows: DataFrame, kind: Column, keys: Column) -> DataFrame:
+        return rows.where(~F.col("few")).select("*", kind.alias("kind"), F.explode(keys).alias("key"))
+
+    def both(rows: DataFrame, shorter: int, longer: int) -> DataFrame:
+        bucket = F.floor(F.log(F.length("norm")) / -math.log(ratio)).cast("long")
+        around = F.array(bucket - 1, bucket, bucket + 1) if longer == 0 else F.array(bucket)
+        # The texts with few words meet every text of like length; on either side they may be the shorter one.
+        lone = rows.where("few").select("*", F.lit(2).alias("kind"), F.explode(around).alias("key"))
+        plain = rows.where(~F.col("few")).select("*", F.lit(3 + longer).alias("kind"), F.explode(around).alias("key"))
+        facing = rows.where("few").select("*", F.lit(4 - longer).alias("kind"), F.explode(around).alias("key"))
+        return keyed(rows, F.lit(shorter), own).unionByName(keyed(rows, F.lit(longer), begun)).unionByName(lone).unionByName(plain).unionByName(facing).drop("w", "few")
+
+    a = both(left, 0, 1).withColumnRenamed("norm", "t")
+    b = both(right, 1, 0).withColumnRenamed("norm", "b")
+    alike = F.least(F.length("t"), F.length("b")) / F.greatest(F.length("t"), F.length("b")) >= ratio
+    hits = a.join(b, ["kind", "key"]).where(alike & (F.col("t").contains(F.col("b")) | F.col("b").contains(F.col("t"))))
+    return hits.groupBy("id", "field", "pos").agg(F.min_by("label", "ord").alias("label"))
 
 
 def leak_candidates(rows: DataFrame) -> DataFrame:

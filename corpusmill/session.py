@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import sys
 import tempfile
@@ -40,6 +41,43 @@ def merge_options(*layers: dict | None) -> dict:
     return out
 
 
+def dotlist(pairs: Iterable[str]) -> dict:
+    """Options given as ``a.b=value``; values are read as YAML (numbers, booleans, null, lists), which holds JSON."""
+    out: dict = {}
+    for pair in pairs:
+        key, _, text = pair.partition("=")
+        at = out
+        *parents, last = key.split(".")
+        for name in parents:
+            at = at.setdefault(name, {})
+        at[last] = _yaml(text)
+    return out
+
+
+def _yaml(text: str):
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def deep_merge(low: dict, high: dict) -> dict:
+    """``high`` over ``low``, dictionary by dictionary."""
+    return {**low, **{k: deep_merge(low[k], v) if isinstance(v, dict) and isinstance(low.get(k), dict) else v for k, v in high.items()}}
+
+
+def load_options(spark: SparkSession, path: str, overrides: Iterable[str] = ()) -> dict:
+    """Options of a YAML (or JSON) file. Files named under ``defaults`` fill the fields they are named for, below the file's own values;
+    ``overrides`` (``a.b=value``) go over both. Relative names are relative to the file's folder."""
+    read = lambda p: _yaml(spark.read.text(p, wholetext=True).first()["value"]) or {}
+    own = read(path)
+    folder = path.rpartition("/")[0]
+    named = own.pop("defaults", None) or {}
+    below = {k: read(p if p.startswith("/") or "://" in p else f"{folder}/{p}") for k, p in named.items()}
+    return deep_merge(deep_merge(below, own), dotlist(overrides))
+
+
 def ship_by_value(module_name: str = "corpusmill") -> None:
     """Let worker functions travel with the task, so that executors need no installed copy of the package."""
     module = sys.modules[module_name]

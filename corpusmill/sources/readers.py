@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.chat import turns_of_pair
 from corpusmill.functions.text import strip
+from corpusmill.operators.order import budget_cut, with_running
 from corpusmill.session import merge_options
 
 TEXT_FIELDS = ("text", "content", "markdown", "completion", "output")
@@ -20,23 +21,39 @@ SNAPSHOT = "hf_snapshot"
 FORMATS = ("parquet", "jsonl", "json")
 
 
+def list_files(directory: str) -> list[str]:
+    """All files below a directory, sorted. Addresses with a scheme (hdfs, s3a, gs, file) are listed through the session's file systems."""
+    if "://" not in directory and not directory.startswith("file:"):
+        root = Path(directory)
+        return sorted(str(p) for p in root.rglob("*") if p.is_file()) if root.is_dir() else []
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    found, files = [], system.listFiles(path, True)
+    while files.hasNext():
+        found.append(files.next().getPath().toString())
+    return sorted(found)
+
+
 def data_root(directory: str) -> str:
     """The snapshot folder if it holds data files, else the directory itself."""
-    root = Path(directory)
-    for candidate in (root / SNAPSHOT, root):
-        if candidate.is_dir() and any(discover(str(candidate)).values()):
-            return str(candidate)
+    for candidate in (f"{directory.rstrip('/')}/{SNAPSHOT}", directory):
+        if any(discover(candidate).values()):
+            return candidate
     raise FileNotFoundError(f"no data files in {directory}")
 
 
 def discover(directory: str) -> dict[str, list[str]]:
-    """Data files by format, sorted; hidden parts and metadata files are left out."""
-    root = Path(directory)
+    """Data files by format, sorted; hidden parts, metadata files and what a writer left unfinished are left out."""
     out: dict[str, list[str]] = {f: [] for f in FORMATS}
-    for path in sorted(root.rglob("*")):
-        inner = path.relative_to(root).parts
-        if path.suffix[1:] in out and path.is_file() and path.name not in SKIPPED and not any(p.startswith(".") for p in inner):
-            out[path.suffix[1:]].append(str(path))
+    root = re.sub(r"^file:/+", "/", directory).rstrip("/")
+    for path in list_files(directory):
+        inner = re.sub(r"^file:/+", "/", path).removeprefix(root).strip("/").split("/")
+        suffix = inner[-1].rpartition(".")[2]
+        if suffix in out and inner[-1] not in SKIPPED and not any(p.startswith((".", "_")) for p in inner):
+            out[suffix].append(path)
     return out
 
 
@@ -53,9 +70,9 @@ def first_shards(paths: list[str], n: int | None) -> list[str]:
     return sorted(paths)[:n] if n else sorted(paths)
 
 
-def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """S3: one scan of files whose columns may differ."""
-    return spark.read.option("mergeSchema", True).parquet(*paths)
+def read_parquet(spark: SparkSession, paths: list[str], merge: bool = False) -> DataFrame:
+    """S3: one scan of files. With ``merge`` their columns may differ, for which every footer is read first."""
+    return spark.read.option("mergeSchema", merge).parquet(*paths)
 
 
 def read_jsonl(spark: SparkSession, paths: list[str], schema: T.StructType | None = None, strict: bool = True) -> DataFrame:
@@ -65,10 +82,17 @@ def read_jsonl(spark: SparkSession, paths: list[str], schema: T.StructType | Non
 
 
 def read_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A list of objects, an object with a list under ``data``, or one object per file."""
+    """A list of objects, an object with a list under ``data``, or one object per file; files of all three kinds may be mixed.
+
+    Items that are no objects are left out.
+    """
     df = spark.read.option("multiLine", True).json(paths)
     kind = dict(df.dtypes).get("data", "")
-    return df.select(F.explode("data").alias("row")).select("row.*") if kind.startswith("array<struct") else df
+    if not kind.startswith("array<struct"):
+        return df.drop("_corrupt_record") if "_corrupt_record" in df.columns and len(df.columns) > 1 else df
+    listed = df.where("data is not null").select(F.explode("data").alias("row")).where("row is not null").select("row.*")
+    plain = df.where("data is null").drop("data", "_corrupt_record")
+    return listed.unionByName(plain, allowMissingColumns=True) if plain.columns else listed
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -81,11 +105,9 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, directory: str, split: str | None = None, text_field: str | None = None, options: dict | None = None) -> DataFrame:
-    """All rows of a corpus directory in its first format that has files; adds __text and __file."""
+    """All rows of a corpus directory, of all formats that have files; adds __text and __file."""
     root = data_root(directory)
-    meta_path = Path(directory) / "data_meta.json"
-    meta = json.loads(meta_path.read_text()) if meta_path.is_file() else {}
-    settings = merge_options({"split": None, "text_field": None}, meta, options, {"split": split, "text_field": text_field})
+    settings = corpus_settings(spark, directory, options, split=split, text_field=text_field)
     files = discover(root)
     parts = []
     for name, reader in (("parquet", read_parquet), ("jsonl", read_jsonl), ("json", read_json)):
@@ -98,6 +120,29 @@ def read_corpus(spark: SparkSession, directory: str, split: str | None = None, t
     return out
 
 
+def corpus_settings(spark: SparkSession, directory: str, options: dict | None = None, **given) -> dict:
+    """Settings of a corpus: given ones, else options, else those of its data_meta.json."""
+    path = f"{directory.rstrip('/')}/data_meta.json"
+    there = [p for p in list_files(directory) if p.endswith("/data_meta.json") and p.count("/") == min(q.count("/") for q in list_files(directory))]
+    meta = json.loads(spark.read.text(there[0] if there else path, wholetext=True).first()["value"]) if there else {}
+    return merge_options(dict.fromkeys(given), meta, options, given)
+
+
+def bounded_texts(spark: SparkSession, directory: str, split: str | None = None, text_field: str | None = None, max_samples: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The non-empty texts of a corpus in the order of files and rows until a budget is used up: file, row, text.
+
+    The text that crosses the budget is kept. Budgets that are not given come from the corpus' settings.
+    """
+    settings = corpus_settings(spark, directory, None, split=split, text_field=text_field, max_samples=max_samples, max_chars=max_chars)
+    rows = read_corpus(spark, directory, settings.get("split"), settings.get("text_field"))
+    texts = rows.select(F.col("__file").alias("file"), F.monotonically_increasing_id().alias("row"), F.col("__text").alias("text")).where("text <> ''")
+    if settings.get("max_samples") is None and settings.get("max_chars") is None:
+        return texts
+    from corpusmill.session import cut_lineage
+
+    return budget_cut(cut_lineage(texts), ["file", "row"], F.length("text"), settings.get("max_samples"), settings.get("max_chars"))
+
+
 def text_field_of(columns: list[str], field: str | None = None) -> str:
     """The given field, else the first candidate in the schema."""
     if field is not None:
@@ -164,22 +209,55 @@ def read_sft(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def first_pattern(root: str, patterns: list[str]) -> list[str]:
+#: Where the files of the benchmark sets lie, by preference.
+BENCH_PATTERNS = {
+    "humanevalplus": ("humanevalplus/test.jsonl", "humanevalplus/data/test-*.parquet"), "openai_humaneval": ("openai_humaneval/openai_humaneval/test-*.parquet",),
+    "mbpp": ("mbpp/sanitized/test-*.parquet",), "mbppplus": ("mbppplus/data/test-*.parquet",),
+}
+
+
+def first_pattern(root: str, patterns: list[str] | tuple[str, ...]) -> list[str]:
     """The files of the first pattern that matches any."""
+    base, files = root.rstrip("/"), list_files(root)
     for pattern in patterns:
-        if found := sorted(str(p) for p in Path(root).glob(pattern)):
+        wanted = re.compile(re.escape(base) + "/" + re.escape(pattern).replace(r"\*", "[^/]*"))
+        if found := [p for p in files if wanted.fullmatch(p)]:
             return found
     raise FileNotFoundError(f"none of {patterns} in {root}")
 
 
-def read_bench(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None) -> DataFrame:
-    """Benchmark rows with their fields renamed; rows without id are numbered ``sample/i``."""
-    df = read_parquet(spark, paths) if paths[0].endswith(".parquet") else read_jsonl(spark, paths)
+def numbered(df: DataFrame, column: str = "__row") -> DataFrame:
+    """Adds the number of each row in the order of the scan, from 0 on: parts of the scan are counted, not gathered."""
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    return with_running(placed, ["__at"], rank=column).drop("__at")
+
+
+def read_bench(spark: SparkSession, paths: list[str], names: dict[str, str] | None = None, limit: int | None = None, prefix: str = "sample") -> DataFrame:
+    """Benchmark rows with their fields renamed; rows without id are named ``prefix/i``, i the number of the row.
+
+    In JSONL files i is the number of the line in its file, blank lines counted. ``limit``: only so many rows, the first ones.
+    """
+    if paths[0].endswith(".parquet"):
+        df = numbered(read_parquet(spark, paths))
+    else:
+        lines = spark.read.text(paths).select("value", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__at"))
+        placed = with_running(lines, ["__at"], ["__file"], rank="__row").where(strip(F.col("value")) != "")
+        schema = spark.read.json(paths).schema
+        df = placed.select("__row", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("__row", "r.*")
     for new, old in (names or {}).items():
         df = df.withColumnRenamed(old, new)
     if "task_id" not in df.columns:
         df = df.withColumn("task_id", F.lit(None).cast("string"))
-    return df.withColumn("task_id", F.coalesce(F.col("task_id").cast("string"), F.concat(F.lit("sample/"), F.monotonically_increasing_id().cast("string"))))
+    named = df.withColumn("task_id", F.coalesce(F.col("task_id").cast("string"), F.concat(F.lit(f"{prefix}/"), F.col("__row").cast("string"))))
+    return (named.orderBy("__row").limit(max(0, limit)) if limit is not None else named).drop("__row")
+
+
+def read_bench_set(spark: SparkSession, name: str, root: str, limit: int | None = None) -> DataFrame:
+    """The rows of a benchmark set by its name (or an alias), from the first place that has files of it."""
+    from corpusmill.functions.records import set_name
+
+    known = set_name(name)
+    return read_bench(spark, first_pattern(root, BENCH_PATTERNS[known]), limit=limit, prefix=known).withColumn("dataset", F.lit(known))
 
 
 def read_prompts(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -211,16 +289,33 @@ def preview(df: DataFrame, text: str, rows: int = 3, chars: int = 200) -> DataFr
     return df.limit(rows).withColumn(text, F.substring(text, 1, chars))
 
 
-def read_token_file(spark: SparkSession, path: str, dtype: str = "uint16") -> DataFrame:
-    """Token files of little-endian unsigned integers: file, tokens. Files are read whole, so shards should be moderate."""
+def read_token_file(spark: SparkSession, path: str, dtype: str = "uint16", length: int = 1_000_000) -> DataFrame:
+    """Token files of little-endian unsigned integers in pieces of ``length`` tokens: file, first (position of the piece), tokens.
+
+    Pieces are planned from the files' sizes and read where they are needed, so a file may have any size.
+    """
     import numpy as np
     import pandas as pd
 
+    size = np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    pieces = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("bytes") / size - 1) / length).cast("long")))).alias("k")).where("bytes > 0")
+    spread = pieces.repartition("file", "k")
+
     def tokens(batches):
-        for batch in batches:
-            yield pd.DataFrame({"file": batch["path"], "tokens": [np.frombuffer(b, dtype=f"<{np.dtype(dtype).str[1:]}").astype("int64") for b in batch["content"]]})
+        from pyarrow import fs
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(tokens, "file string, tokens array<long>")
+        for batch in batches:
+            rows = []
+            for file, total, k in zip(batch["file"], batch["bytes"], batch["k"]):
+                system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with system.open_input_file(place) as handle:
+                    handle.seek(k * length * size)
+                    data = handle.read(min(length * size, total - k * length * size))
+                rows.append((file, k * length, np.frombuffer(data, dtype=np.dtype(dtype).newbyteorder("<")).astype("int64")))
+            yield pd.DataFrame(rows, columns=["file", "first", "tokens"])
+
+    return spread.mapInPandas(tokens, "file string, first long, tokens array<long>")
 
 
 def fake_rollouts(prompts: DataFrame, n: int, response: str = "ok") -> DataFrame:
