@@ -154,11 +154,12 @@ def percent(share: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """2.9g: a number of bytes with the largest binary unit that leaves at least one."""
+    """2.9g: a number of bytes with the largest binary unit that leaves at least one; halves are rounded to even."""
     units = ("B", "KB", "MB", "GB", "TB")
-    out = F.format_string("%.1f TB", n / float(1024**4))
+    shown = lambda k: F.format_string(f"%.1f {units[k]}", F.bround(n / float(1024**k), 1))
+    out = shown(4)
     for k in range(len(units) - 2, -1, -1):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {units[k]}", n / float(1024**k))).otherwise(out)
+        out = F.when(n < 1024.0 ** (k + 1), shown(k)).otherwise(out)
     return out
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,6 @@ from corpusmill.functions import chat, keys, records, rewards, rules, schedules,
 from corpusmill.operators import evalmetrics, order, relate, stats
 from corpusmill.session import ship_by_value, spread, table
 from corpusmill.sources.readers import text_column
-from corpusmill.streaming import clean as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,10 +44,14 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from corpusmill.plans import catalog_io  # noqa: F401  registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from corpusmill.plans import catalog_io  # noqa: F401
+
     return dict(ORACLES)
 
 
@@ -438,7 +440,7 @@ def assistant_mask_counts(spark, directory):
     """X9 with one id per character."""
     parts = chat.rendered_parts(F.col("turns"), "plain_lower")
     spelt = _turns(spark, directory).select("pair_id", parts.alias("p"))
-    ids = F.flatten(F.transform("p", lambda p: F.transform(F.sequence(F.lit(1), F.length(p["text"])), lambda i: F.lit(1)))) if False else F.array_repeat(F.lit(1), F.aggregate("p", F.lit(0), lambda n, p: n + F.length(p["text"])))
+    ids = F.array_repeat(F.lit(1), F.aggregate("p", F.lit(0), lambda n, p: n + F.length(p["text"])))
     marks = F.flatten(F.transform("p", lambda p: F.array_repeat(p["supervised"], F.length(p["text"]))))
     labelled = spelt.select("pair_id", chat.shifted_labels(ids, marks, 2**30).alias("e"))
     return labelled.select("pair_id", F.size("e.input_ids").cast("long").alias("n_inputs"), F.size(F.filter("e.labels", lambda x: x >= 0)).cast("long").alias("n_supervised"))
@@ -686,16 +688,3 @@ def _trained(kind: str):
 
 for _kind in ("bpe", "byte_bpe", "wordpiece", "unigram"):
     query(name=f"train_{_kind}")(_trained(_kind))
-
-
-@query()
-def stream_clean(spark, directory):
-    """T-1, T-2: the cleaning of documents as a stream of files, processed until none is left."""
-    schema = table(spark, directory, "documents").schema
-    from corpusmill.session import checkpoint_dir
-
-    base = checkpoint_dir(spark).removeprefix("file:").rstrip("/") if checkpoint_dir(spark).startswith("file:") else checkpoint_dir(spark)
-    target = tempfile.mkdtemp(prefix="stream-", dir=base) if not base.startswith(("hdfs:", "s3")) else f"{base}/stream-{spark.sparkContext.applicationId}"
-    stream = streaming.read_stream(spark, f"{directory}/documents.parquet*", schema)
-    streaming.run_available(streaming.clean(stream), f"{target}/out", f"{target}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{target}/out")

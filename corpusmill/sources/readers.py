@@ -195,13 +195,12 @@ def normal_turns(df: DataFrame) -> Column:
 def read_sft(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Training rows of files and directories, without manifest.json; other suffixes are an error."""
     files: dict[str, list[str]] = {f: [] for f in FORMATS}
-    for path in map(Path, paths):
-        found = [p for group in discover(str(path)).values() for p in group] if path.is_dir() else [str(path)]
-        for item in found:
-            suffix = Path(item).suffix[1:]
-            if suffix not in files:
-                raise ValueError(f"unsupported file {item}")
-            files[suffix].append(item)
+    for path in paths:
+        suffix = path.rpartition("/")[2].rpartition(".")[2]
+        for name, found in ({suffix: [path]} if suffix in files else discover(path)).items():
+            files[name] += found
+        if suffix not in files and list_files(path) in ([], [path]):
+            raise ValueError(f"unsupported file {path}")
     parts = [reader(spark, files[name]) for name, reader in (("jsonl", read_jsonl), ("json", read_json), ("parquet", read_parquet)) if files[name]]
     out = parts[0]
     for part in parts[1:]:

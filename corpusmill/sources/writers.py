@@ -13,8 +13,14 @@ from corpusmill.session import cut_lineage
 
 
 def write_jsonl(df: DataFrame, path: str, rows_per_file: int = 50_000, mode: str = "errorifexists") -> None:
-    """K4, K5: JSON lines in shards of a bounded number of rows; other letters than ASCII stay as they are."""
+    """K4, K5: JSON lines in shards (``part-*.jsonl``) of a bounded number of rows; other letters than ASCII stay as they are."""
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", False).json(path)
+    spark = df.sparkSession
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    system = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    # Spark names such files json, which elsewhere stands for one value per file.
+    for status in system.globStatus(make(f"{path}/part-*.json")) or []:
+        system.rename(status.getPath(), make(status.getPath().toString() + "l"))
 
 
 def write_split_tokens(df: DataFrame, path: str, tokens: str = "tokens", eos: int | None = None, mode: str = "errorifexists") -> None:
@@ -38,7 +44,7 @@ def write_token_files(df: DataFrame, path: str, order: list[str], tokens: str =
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
+        system, folder = fs.FileSystem.from_uri(re.sub(r"^(?:file:)?/+", "file:///", path))
         system.create_dir(folder, recursive=True)
         target, draft = f"{folder}/part-{task.partitionId():05d}.bin", f"{folder}/_part-{task.partitionId():05d}.{task.taskAttemptId()}.tmp"
         most, count, docs = np.iinfo(dtype).max, 0, 0
