@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut_lineage, spread
+
 #: Pre-tokens of the BPE kinds and of WordPiece; special tokens by kind.
 PRETOKEN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\w+| ?[^\s\w]+|\s+(?!\S)|\s+"""
 WORD = r"(?U)\w+|[^\w\s]+"
@@ -48,7 +50,7 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 def substring_counts(df: DataFrame, text: str, longest: int = 16) -> DataFrame:
     """All substrings of 2 to ``longest`` characters of each line, with counts."""
-    lines = df.select(F.explode(F.split(text, "\n")).alias("line")).where(F.length("line") > 1)
+    lines = spread(df.select(text)).select(F.explode(F.split(text, "\n")).alias("line")).where(F.length("line") > 1)
     starts = lines.select("line", F.explode(F.sequence(F.lit(1), F.length("line") - 1)).alias("i"))
     sizes = starts.select("line", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.length("line") - F.col("i") + 1))).alias("k"))
     return sizes.select(F.expr("substring(line, i, k)").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
@@ -221,7 +223,8 @@ class Subword:
     def pieces(self, text: str) -> list[str]:
         if self.kind == "unigram":
             marked = BLANK + text.replace(" ", BLANK) if text else ""
-            lines = [best_path(line, self.log_probs)[0] for line in marked.split("\n")]
+            known = self.__dict__.setdefault("_known", beginnings(self.log_probs))
+            lines = [best_path(line, self.log_probs, None, known)[0] for line in marked.split("\n")]
             # No piece but the line break itself holds one, so lines are independent.
             return [p for k, line in enumerate(lines) for p in ([*line] if k == 0 else ["\n", *line])]
         cache = self.__dict__.setdefault("_cache", {})
@@ -317,23 +320,32 @@ def train_wordpiece(words: list[tuple[str, int]], vocab_size: int) -> Subword:
     return model
 
 
-def best_path(line: str, log_probs: dict[str, float], unknown: float | None = None) -> tuple[list[str], float]:
-    """Viterbi: the most probable pieces of a line; a character without a piece costs ``unknown``, else what ``<unk>`` does."""
-    lengths = sorted({len(p) for p in log_probs})
+def beginnings(pieces: Iterable[str]) -> frozenset[str]:
+    """Every beginning of every piece: what ``best_path`` stops at."""
+    return frozenset(p[:k] for p in pieces for k in range(1, len(p) + 1))
+
+
+def best_path(line: str, log_probs: dict[str, float], unknown: float | None = None, known: frozenset[str] | None = None) -> tuple[list[str], float]:
+    """Viterbi: the most probable pieces of a line; a character without a piece costs ``unknown``, else what ``<unk>`` does.
+
+    Of equally probable paths the one with the longer last piece wins. ``known`` are the ``beginnings`` of the pieces, if they are at hand.
+    """
+    known = beginnings(log_probs) if known is None else known
     missing = unknown if unknown is not None else log_probs.get("<unk>", math.log(1e-6))
-    best, back = [0.0] + [-math.inf] * len(line), [0] * (len(line) + 1)
-    for end in range(1, len(line) + 1):
-        # From the longest piece on, so that of equally probable paths the one with the longer last piece wins.
-        for size in reversed(lengths):
-            start = end - size
-            if start < 0:
-                continue
-            value = log_probs.get(line[start:end])
-            if value is not None and best[start] + value > best[end]:
-                best[end], back[end] = best[start] + value, start
-        if line[end - 1] not in log_probs and best[end - 1] + missing > best[end]:
-            best[end], back[end] = best[end - 1] + missing, end - 1
-    out, at = [], len(line)
+    size = len(line)
+    best, back = [0.0] + [-math.inf] * size, [0] * (size + 1)
+    for start in range(size):
+        reached = best[start]
+        if line[start] not in log_probs and reached + missing > best[start + 1]:
+            best[start + 1], back[start + 1] = reached + missing, start
+        for end in range(start + 1, size + 1):
+            piece = line[start:end]
+            if piece not in known:
+                break
+            value = log_probs.get(piece)
+            if value is not None and reached + value > best[end]:
+                best[end], back[end] = reached + value, start
+    out, at = [], size
     while at > 0:
         out.append(line[back[at] : at])
         at = back[at]
@@ -347,7 +359,7 @@ def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds:
     The texts count in the order of the integer column ``order``, which ties go by: the piece first seen or first used is first. Every
     round is one distributed pass; the driver sees pieces and counts, at most ``seeds`` and the alphabet (more than ``max_chars`` characters are an error).
     """
-    docs = df.where(F.col(text).isNotNull()).select(F.col(order).cast("long").alias("o"), F.col(text).alias("t"))
+    docs = spread(df.where(F.col(text).isNotNull()).select(F.col(order).cast("long").alias("o"), F.col(text).alias("t")))
     head = docs.agg(F.min("o").alias("first"), F.count("*").alias("n"), F.sum(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("breaks")).first()
     special = SPECIALS["unigram"]
     if not head["n"]:
@@ -361,8 +373,6 @@ def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds:
     sizes = starts.select("ahead", "line", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("line") - F.col("i") + 1))).alias("k"))
     place = (F.col("ahead") * F.lit(10**8).cast("decimal(9,0)") + F.col("i")).cast("decimal(38,0)")
     counted = sizes.select(F.expr("substring(line, i, k)").alias("piece"), "k", place.alias("p")).groupBy("piece", "k").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    from corpusmill.session import cut_lineage
-
     counted = cut_lineage(counted)
     chars = counted.where("k = 1").orderBy("p").limit(max_chars + 1).collect()
     if len(chars) > max_chars:
@@ -395,11 +405,13 @@ def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds:
 def _expected(lines: DataFrame, log_probs: dict[str, float]) -> DataFrame:
     """piece, n and first (its first use) over the best paths of all lines."""
 
+    known = beginnings(log_probs)
+
     def count(batches):
         seen: dict[str, list] = {}
         for batch in batches:
             for o, at, line in zip(batch["o"], batch["at"], batch["line"]):
-                for i, piece in enumerate(best_path(line, log_probs)[0]):
+                for i, piece in enumerate(best_path(line, log_probs, None, known)[0]):
                     hit = seen.get(piece)
                     if hit is None:
                         seen[piece] = [1, (o, at, i)]

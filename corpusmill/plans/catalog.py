@@ -674,11 +674,11 @@ def _trained(kind: str):
     def run(spark, directory):
         docs = table(spark, directory, "documents")
         if kind == "unigram":
-            model = subword.train_unigram(docs, "text", "doc_id", 400)
+            model = subword.train_unigram(docs, "text", "doc_id", 3_000)
         elif kind == "wordpiece":
-            model = subword.train_wordpiece(subword.gather_words(subword.word_counts(docs, "text", "doc_id", subword.WORD, lower=True)), 500)
+            model = subword.train_wordpiece(subword.gather_words(subword.word_counts(docs, "text", "doc_id", subword.WORD, lower=True)), 3_000)
         else:
-            model = subword.train_bpe(subword.gather_words(subword.word_counts(docs, "text", "doc_id")), 600, kind)
+            model = subword.train_bpe(subword.gather_words(subword.word_counts(docs, "text", "doc_id")), 3_000, kind)
         ship_by_value()
         return spread(docs.select("doc_id", "text")).select("doc_id", F.size(subword.encode_column(F.col("text"), model)).alias("n_tokens"))
 

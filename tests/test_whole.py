@@ -55,9 +55,9 @@ def test_blocks_hold_the_bytes_of_all_documents(spark, corpus):
 def test_tokenizers_are_trained_on_documents(spark, corpus, kind):
     df = table(spark, corpus, "documents")
     if kind == "wordpiece":
-        model = subword.train_wordpiece(subword.gather_words(subword.word_counts(df, "text", "doc_id", subword.WORD, lower=True)), 500)
+        model = subword.train_wordpiece(subword.gather_words(subword.word_counts(df, "text", "doc_id", subword.WORD, lower=True)), 3_000)
     else:
-        model = subword.train_bpe(subword.gather_words(subword.word_counts(df, "text", "doc_id")), 600, kind)
+        model = subword.train_bpe(subword.gather_words(subword.word_counts(df, "text", "doc_id")), 3_000, kind)
     got = {r["doc_id"]: r["n_tokens"] for r in catalog.queries()[f"train_{kind}"](spark, corpus).collect()}
     assert {k: n for k, n in got.items() if k != 2} == {k: len(model.encode(t)) for k, t in TEXTS if t is not None}
     assert set(got) == {k for k, _ in TEXTS}
