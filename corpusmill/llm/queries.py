@@ -96,11 +96,8 @@ def _sql_repo(column: str) -> str:
     return f"nullif(regexp_replace(regexp_replace({clean}, '/+$', ''), '\\.git$', ''), '')"
 
 
-def oracle_sql() -> dict[str, str]:
-    """p1_found as a recursive walk over owners; the other problems have no SQL form."""
-    return {
-        "p1_found": f"""
-WITH RECURSIVE rows AS (
+#: Rows with the owner they are placed under and its component, for SQL.
+PLACED = f"""WITH RECURSIVE rows AS (
   SELECT file_id, max_stars_repo_name AS n1, repo_name AS n2, {_sql_repo("max_stars_repo_name")} AS r1, {_sql_repo("repo_name")} AS r2,
          regexp_extract(lower(trim(max_stars_repo_path)), '^([^/]+/[^/]+)/+[^/]', 1) AS head
   FROM code_files),
@@ -114,10 +111,24 @@ walk AS (
   SELECT DISTINCT a AS start, a AS node FROM edges
   UNION SELECT walk.start, edges.b FROM walk JOIN edges ON edges.a = walk.node),
 components AS (SELECT start AS node, min(node) AS component FROM walk GROUP BY start),
-placed AS (SELECT owned.*, coalesce(c.component, owned.a) AS component FROM owned LEFT JOIN components c ON c.node = owned.a),
+placed AS (SELECT owned.*, coalesce(c.component, owned.a) AS component FROM owned LEFT JOIN components c ON c.node = owned.a)"""
+
+
+def _sql_draw(split: str, weight: float) -> str:
+    return f"-ln((('0x' || substr(sha256('split-v1' || chr(10) || '{split}' || chr(10) || key), 1, 13))::BIGINT + 0.5::DOUBLE) / {16**13}.0::DOUBLE) / {weight}::DOUBLE"
+
+
+def oracle_sql() -> dict[str, str]:
+    """p1_found and p1_splits by a recursive walk over owners; the other problems have no SQL form."""
+    return {
+        "p1_found": f"""{PLACED},
 names AS (
   SELECT component, n1 AS name FROM placed WHERE trim(n1) <> '' UNION ALL SELECT component, n2 FROM placed WHERE trim(n2) <> ''),
 groups AS (SELECT component, min(name) AS group_name FROM names GROUP BY component)
 SELECT g.group_name, p.file_id FROM placed p JOIN groups g USING (component)
 WHERE component IN (SELECT component FROM placed GROUP BY component HAVING count(*) >= 2)""",
+        "p1_splits": f"""{PLACED},
+keyed AS (SELECT c.file_id, CASE WHEN p.component IS NULL THEN 'file=' || c.file_id ELSE 'owner=' || p.component END AS key FROM code_files c LEFT JOIN placed p USING (file_id)),
+drawn AS (SELECT file_id, {_sql_draw("train", 0.9)} AS train, {_sql_draw("validation", 0.05)} AS validation, {_sql_draw("test", 0.05)} AS test FROM keyed)
+SELECT file_id, CASE least(train, validation, test) WHEN train THEN 'train' WHEN validation THEN 'validation' ELSE 'test' END AS split FROM drawn""",
     }
