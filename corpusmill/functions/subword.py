@@ -12,6 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from heapq import heappop, heappush, heapreplace
 from pathlib import Path
 
@@ -64,10 +65,11 @@ def gather_words(counts: DataFrame, max_words: int = 2_000_000) -> list[tuple[st
     return [(r["word"], r["n"]) for r in rows]
 
 
+@lru_cache(maxsize=1)
 def byte_chars() -> dict[int, str]:
     """Bytes as printable characters: those that print stand for themselves, the others follow from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
+    hidden = sorted(set(range(256)) - set(shown))
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
@@ -228,16 +230,49 @@ class Subword:
             # No piece but the line break itself holds one, so lines are independent.
             return [p for k, line in enumerate(lines) for p in ([*line] if k == 0 else ["\n", *line])]
         cache = self.__dict__.setdefault("_cache", {})
-        ranks = self.__dict__.setdefault("_ranks", {tuple(m): k for k, m in reversed(list(enumerate(self.merges)))})
+        split = self._longest if self.kind == "wordpiece" else self._splitter()
         found: list[str] = []
         for word in re.findall(WORD[4:], text.lower()) if self.kind == "wordpiece" else re.findall(PRETOKEN[4:], text):
-            if word not in cache:
+            hit = cache.get(word)
+            if hit is None:
                 if len(cache) > 200_000:
                     cache.clear()
-                cache[word] = self._longest(word) if self.kind == "wordpiece" else self._merged(self._symbols(word), ranks)
-            found += cache[word]
+                hit = cache[word] = split(word)
+            found += hit
         return found
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _splitter(self):
+        """word -> pieces by the merges: native where the library is there and knows all characters of the word, else in Python."""
+        if "_split" in self.__dict__:
+            return self.__dict__["_split"]
+        ranks = {tuple(m): k for k, m in reversed(list(enumerate(self.merges)))}
+        plain = lambda word: self._merged(self._symbols(word), ranks)
+        try:
+            from tokenizers import models
+        except ImportError:
+            models = None
+        split = plain
+        if models is not None and self.merges:
+            # The mark of a word's end is one symbol of several characters; for the library it is one private character.
+            short, mark = (lambda t: t.replace(END, "\uf8ff")) if self.kind == "bpe" else (lambda t: t), "\uf8ff"
+            names = dict.fromkeys([*byte_chars().values()] if self.kind == "byte_bpe" else [short(t) for t in self.token_to_id if t not in SPECIALS["bpe"]])
+            pairs = [(short(a), short(b)) for a, b in dict.fromkeys(map(tuple, self.merges))]
+            names.update(dict.fromkeys(t for a, b in pairs for t in (a, b, a + b)))
+            model = models.BPE(vocab={t: k for k, t in enumerate(names)}, merges=pairs)
+            letters = frozenset(t for t in names if len(t) == 1)
+
+            def split(word: str) -> list[str]:
+                symbols = "".join(short(s) for s in self._symbols(word))
+                if mark in word or self.kind == "bpe" and END[0] in word or not letters.issuperset(symbols):
+                    return plain(word)
+                return [t.value.replace(mark, END) if self.kind == "bpe" else t.value for t in model.tokenize(symbols)]
+
+        self.__dict__["_split"] = split
+        return split
+
     def _symbols(self, word: str) -> list[str]:
         if self.kind == "byte_bpe":
             chars = byte_chars()

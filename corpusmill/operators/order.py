@@ -128,21 +128,30 @@ def limit_per_group(df: DataFrame, group: str, order: list[str], size: int) -> D
 
 
 def pack_stream(df: DataFrame, order: list[str], tokens: str, length: int) -> DataFrame:
-    """The token arrays in order as one stream, cut into blocks: block_id, x (inputs), y (x shifted by one).
+    """The tokens in order as one stream, cut into blocks: block_id, x (inputs), y (x shifted by one).
 
-    There are floor((n - 1) / length) blocks; the rest of the stream is dropped.
+    ``tokens`` is an array of ids or a binary column, whose bytes are the ids. There are floor((n - 1) / length) blocks; the rest of the stream is
+    dropped. Only the lengths are ranked; the tokens are moved to their block alone. The order must be unique and not null.
     """
-    sized = with_running(df.where(F.size(tokens) > 0), order, value=F.size(tokens))
-    total = F.broadcast(sized.agg((F.max(F.col("before") + F.size(tokens))).alias("__total")))
+    binary = dict(df.dtypes)[tokens] == "binary"
+    measure = F.octet_length if binary else F.size
+    rows = df.where(measure(tokens) > 0)
+    lean = with_running(rows.select(*order, measure(tokens).cast("long").alias("__n")), order, value=F.col("__n"))
+    lean = cut_lineage(lean.select(*order, "before", (F.col("before") + F.col("__n")).alias("end")))
+    total = lean.agg(F.max("end")).first()[0] or 0
     # Each row is cut at the blocks' bounds. A block needs the first token of the next one for its last target: that token is sent to both.
-    end, first = F.col("before") + F.size(tokens), F.greatest(F.lit(0), F.ceil(F.col("before") / length) - 1).cast("long")
-    cut = sized.select("before", end.alias("end"), F.col(tokens).alias("t"), F.explode(F.sequence(first, ((end - 1) / length).cast("long"))).alias("block_id"))
+    first = F.greatest(F.lit(0), F.ceil(F.col("before") / length) - 1).cast("long")
+    sized = rows.select(*order, F.col(tokens).alias("__t")).join(lean, order)
+    cut = sized.select("before", "end", F.col("__t").alias("t"), F.explode(F.sequence(first, F.floor((F.col("end") - 1) / length).cast("long"))).alias("block_id"))
     start = F.greatest(F.col("block_id") * length, F.col("before"))
     stop = F.least((F.col("block_id") + 1) * length + 1, F.col("end"))
-    sent = cut.select("block_id", start.alias("p"), F.slice("t", (start - F.col("before") + 1).cast("int"), (stop - start).cast("int")).alias("t"))
-    blocks = sent.groupBy("block_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda s: s["t"])).alias("all"))
-    kept = blocks.join(total, F.col("block_id") < ((F.col("__total") - 1) / length).cast("long"))
-    return kept.select("block_id", F.slice("all", 1, length).alias("x"), F.slice("all", 2, length).alias("y"))
+    part = (F.substring if binary else F.slice)("t", (start - F.col("before") + 1).cast("int"), (stop - start).cast("int"))
+    sent = cut.where(F.col("block_id") < (total - 1) // length).select("block_id", start.alias("p"), part.alias("t"))
+    parts = F.array_sort(F.collect_list(F.struct("p", "t")))
+    whole = F.aggregate(parts, F.lit(b""), lambda a, s: F.concat(a, s["t"])) if binary else F.flatten(F.transform(parts, lambda s: s["t"]))
+    blocks = sent.groupBy("block_id").agg(whole.alias("all"))
+    piece = F.substring if binary else F.slice
+    return blocks.select("block_id", piece("all", F.lit(1), F.lit(length)).alias("x"), piece("all", F.lit(2), F.lit(length)).alias("y"))
 
 
 def shuffled_blocks(blocks: DataFrame, seed: int, epoch: int, world: int, batch: int) -> DataFrame:

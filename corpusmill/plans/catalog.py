@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -358,13 +359,19 @@ def pack_blocks(spark, directory):
     return blocks.select("block_id", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_x"), (F.col("block_id") * 512).alias("first"))
 
 
+def _byte_sum():
+    def summed(blocks: pd.Series) -> pd.Series:
+        return pd.Series([sum(b) for b in blocks], dtype="int64")
+
+    return F.pandas_udf(summed, "long")
+
+
 @query()
 def pack_blocks_documents(spark, directory):
     """The bytes of all documents as one stream, in blocks of 512."""
-    docs = table(spark, directory, "documents").where("text <> ''")
-    ids = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), 0), lambda b: F.conv(b, 16, 10).cast("int"))
-    blocks = order.pack_stream(docs.select("doc_id", ids.alias("ids")), ["doc_id"], "ids", 512)
-    return blocks.select("block_id", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_x"), (F.col("block_id") * 512).alias("first"))
+    docs = table(spark, directory, "documents").where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    blocks = order.pack_stream(docs, ["doc_id"], "bytes", 512)
+    return blocks.select("block_id", _byte_sum()("x").alias("sum_x"), (F.col("block_id") * 512).alias("first"))
 
 
 # ---- texts, conversations, records

@@ -98,6 +98,18 @@ def test_queue_of_pairs_equals_counting_anew(relative):
             state.merge(pair, pair[0] + "+" + pair[1])
 
 
+@pytest.mark.parametrize("kind", ["bpe", "byte_bpe"])
+def test_native_merging_equals_plain_merging(spark, kind):
+    rng = random.Random(6)
+    texts = [(k, " ".join("".join(rng.choice("abcéx/w>" if rng.random() < 0.9 else "</w>") for _ in range(rng.randrange(1, 9))) for _ in range(30))) for k in range(6)]
+    model = subword.train_bpe(subword.gather_words(subword.word_counts(spark.createDataFrame(texts, "i long, t string"), "t", "i")), 340 if kind == "byte_bpe" else 60, kind)
+    ranks = {m: k for k, m in enumerate(model.merges)}
+    for _, t in texts + [(9, "unknown 漢字 zz</w> \uf8ff")]:
+        plain = [p for w in subword.re.findall(subword.PRETOKEN[4:], t) for p in model._merged(model._symbols(w), ranks)]
+        assert model.pieces(t) == plain
+    assert len(model.merges) > 20
+
+
 def unigram_by_hand(texts, size, seeds, longest, rounds, prune):
     """The training on one text in memory, line after line."""
     import math
