@@ -371,6 +371,7 @@ def pack_blocks_documents(spark, directory):
     """The bytes of all documents as one stream, in blocks of 512."""
     docs = table(spark, directory, "documents").where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
     blocks = order.pack_stream(docs, ["doc_id"], "bytes", 512)
+    ship_by_value()
     return blocks.select("block_id", _byte_sum()("x").alias("sum_x"), (F.col("block_id") * 512).alias("first"))
 
 
@@ -679,6 +680,7 @@ def substring_topk_documents(spark, directory):
 
 def _trained(kind: str):
     def run(spark, directory):
+        ship_by_value()
         docs = table(spark, directory, "documents")
         if kind == "unigram":
             model = subword.train_unigram(docs, "text", "doc_id", 3_000)
@@ -686,7 +688,6 @@ def _trained(kind: str):
             model = subword.train_wordpiece(subword.gather_words(subword.word_counts(docs, "text", "doc_id", subword.WORD, lower=True)), 3_000)
         else:
             model = subword.train_bpe(subword.gather_words(subword.word_counts(docs, "text", "doc_id")), 3_000, kind)
-        ship_by_value()
         return spread(docs.select("doc_id", "text")).select("doc_id", F.size(subword.encode_column(F.col("text"), model)).alias("n_tokens"))
 
     run.__doc__ = f"Trains a {kind} tokenizer on the documents and counts their tokens."

@@ -571,6 +571,7 @@ def top_pair(spark, directory):
 @query()
 def train_native(spark, directory):
     """A byte BPE of the tokenizers library, trained on a budget of characters per dataset; its tokens per document."""
+    ship_by_value()
     docs = table(spark, directory, "documents").where("text <> ''").select("dataset", "doc_id", "text")
     # The budget bounds what comes to the driver.
     sample = [r["text"] for r in order.two_level_budget(docs, "dataset", ["doc_id"], "text", 500_000, 2_000_000).orderBy("dataset", "doc_id").select("text").toLocalIterator()]
