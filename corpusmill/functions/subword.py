@@ -387,6 +387,57 @@ def best_path(line: str, log_probs: dict[str, float], unknown: float | None = No
     return out[::-1], best[-1]
 
 
+def _place(o: Column, at: Column, i: Column) -> Column:
+    """One number for (text, line, position), in this order."""
+    ahead = o.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + at
+    return (ahead.cast("decimal(30,0)") * F.lit(10**8).cast("decimal(9,0)") + i).cast("decimal(38,0)")
+
+
+def _piece_counts(lines: DataFrame, longest: int, seeds: int, most: int = 1_000_000) -> DataFrame:
+    """piece, k (its length), n and p (its first place) of all characters and of all longer pieces that can be among the ``seeds`` commonest.
+
+    If ``seeds`` pieces of two and three characters occur L times or more, no piece rarer than L is among the commonest, and a longer one
+    is as rare as its rarest three characters: it is counted only where each three of it in a row occur L times. Where fewer pieces
+    exist, or more than ``most`` of three characters are that frequent, all are counted.
+    """
+    starts = lines.select("o", "at", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("i"))
+
+    def plain(low: int, high: int) -> DataFrame:
+        room = F.least(F.lit(high), F.length("line") - F.col("i") + 1)
+        sizes = starts.where(room >= low).select("o", "at", "line", "i", F.explode(F.sequence(F.lit(low), room)).alias("k"))
+        pieces = sizes.select(F.expr("substring(line, i, k)").alias("piece"), "k", _place(F.col("o"), F.col("at"), F.col("i")).alias("p"))
+        return pieces.groupBy("piece", "k").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+
+    short = cut_lineage(plain(1, min(3, longest)))
+    if longest <= 3:
+        return short
+    ranked = short.where("k > 1").orderBy(F.desc("n")).limit(seeds).agg(F.count("*").alias("rows"), F.min("n").alias("least")).first()
+    known = short.where((F.col("k") == 3) & (F.col("n") >= ranked["least"])).select("piece").limit(most + 1).collect() if ranked["rows"] == seeds else None
+    if known is None or len(known) > most:
+        return cut_lineage(short.unionByName(plain(4, longest)))
+    frequent = frozenset(r["piece"] for r in known)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict[str, list] = {}
+            for o, at, line in zip(batch["o"], batch["at"], batch["line"]):
+                reach = 0  # how many frequent triples stand in a row from here on
+                for i in range(len(line) - 3, -1, -1):
+                    reach = reach + 1 if line[i : i + 3] in frequent else 0
+                    for k in range(4, min(longest, reach + 2) + 1):
+                        hit = seen.get(line[i : i + k])
+                        if hit is None:
+                            seen[line[i : i + k]] = [1, (o, at, i + 1)]
+                        else:
+                            hit[0] += 1
+                            hit[1] = min(hit[1], (o, at, i + 1))
+            yield pd.DataFrame([(piece, len(piece), n, *first) for piece, (n, first) in seen.items()], columns=["piece", "k", "n", "o", "at", "i"])
+
+    long = lines.select("o", "at", "line").mapInPandas(count, "piece string, k int, n long, o long, at int, i int")
+    long = long.select("piece", "k", "n", _place(F.col("o"), F.col("at"), F.col("i")).alias("p")).groupBy("piece", "k").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
+    return cut_lineage(short.unionByName(long.where(F.col("n") >= ranked["least"])))
+
+
 def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds: int = 4, seeds: int = 10_000, longest: int = 16, prune: float = 0.2, max_chars: int = 200_000) -> Subword:
     """All characters and the commonest substrings of lines as seeds; in each of ``rounds`` the pieces of the best paths are counted
     over the corpus and the least used longer ones go, a share ``prune`` of them at most, until the size is reached.
@@ -402,13 +453,7 @@ def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds:
     marked = F.replace("t", F.lit(" "), F.lit(BLANK))
     marked = F.when(F.col("o") == head["first"], F.concat(F.lit(BLANK), marked)).otherwise(marked)
     lines = docs.select("o", F.posexplode(F.split(marked, "\n")).alias("at", "line")).where("line <> ''")
-    big = lambda c, places: c.cast("decimal(38,0)") * F.lit(places).cast("decimal(38,0)")
-    ahead = big(F.col("o"), 2**31).cast("decimal(30,0)") + F.col("at")
-    starts = lines.select(ahead.cast("decimal(30,0)").alias("ahead"), "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("i"))
-    sizes = starts.select("ahead", "line", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("line") - F.col("i") + 1))).alias("k"))
-    place = (F.col("ahead") * F.lit(10**8).cast("decimal(9,0)") + F.col("i")).cast("decimal(38,0)")
-    counted = sizes.select(F.expr("substring(line, i, k)").alias("piece"), "k", place.alias("p")).groupBy("piece", "k").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    counted = cut_lineage(counted)
+    counted = _piece_counts(lines, longest, seeds)
     chars = counted.where("k = 1").orderBy("p").limit(max_chars + 1).collect()
     if len(chars) > max_chars:
         raise ValueError(f"more than {max_chars} characters: this is no alphabet")

@@ -138,7 +138,7 @@ def unigram_by_hand(texts, size, seeds, longest, rounds, prune):
 
 def test_unigram_equals_training_in_memory(spark):
     rng = random.Random(5)
-    for size, seeds, longest in ((40, 200, 6), (30, 40, 16), (500, 30, 4)):
+    for size, seeds, longest in ((40, 200, 6), (30, 40, 16), (500, 30, 4), (35, 20, 16), (60, 90, 9), (30, 50, 2)):
         texts = ["".join(rng.choice("abc de\n") for _ in range(rng.randrange(1, 60))) for _ in range(8)] + ["", "漢字 <s> x"]
         df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)] + [(99, None, "x")], "doc_id long, t string, piece string").repartition(4)
         model = subword.train_unigram(df, "t", "doc_id", size, seeds=seeds, longest=longest)
