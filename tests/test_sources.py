@@ -67,7 +67,7 @@ def test_sft_and_prompts(spark, tmp_path):
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(k, [k, k + 1], "main", "val" if k == 3 else "train") for k in range(7)], "i int, tokens array<int>, stage string, split string")
     writers.write_jsonl(df.select("i").coalesce(1), str(tmp_path / "j"), rows_per_file=3)
-    assert len(list((tmp_path / "j").glob("*.json"))) == 3
+    assert len(list((tmp_path / "j").glob("*.jsonl"))) == 3
     writers.write_split_tokens(df, str(tmp_path / "t"), eos=9)
     back = spark.read.parquet(str(tmp_path / "t"))
     assert back.where("split = 'val'").first()["tokens"] == [3, 4, 9]
