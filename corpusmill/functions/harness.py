@@ -16,7 +16,8 @@ DATA = "@DATA@"
 
 #: The submission is module ``solution``; the tests see its names and a stand-in of pytest. Runs test functions with their parameters and
 #: fixtures, classes of tests and unittest cases.
-PYTEST = '''import ast
+PYTEST = '''import __future__
+import ast
 import contextlib
 import inspect
 import io
@@ -161,7 +162,7 @@ def module_of(name, source, names):
     vars(module).update({n: getattr(typing, n) for n in ("Any", "Callable", "Dict", "Iterable", "Iterator", "List", "Optional", "Sequence", "Set", "Tuple", "Union")})
     vars(module).update(names)
     sys.modules[name] = module
-    exec(compile("from __future__ import annotations\\n" + source, name, "exec", dont_inherit=True), vars(module))
+    exec(compile(source, name, "exec", flags=__future__.annotations.compiler_flag, dont_inherit=True), vars(module))
     return module
 
 

@@ -75,7 +75,7 @@ def test_pytest_program(spark):
     row = records_of(exercise(spark))
     template = row["test_program_template"]
     assert row["template_chars"] == len(template) and row["num_tests"] == 7 and row["entry_point"] == "add"
-    assert passes(template, RIGHT)
+    assert passes(template, RIGHT) and passes(template, '"""Sums."""\nfrom __future__ import annotations\n\n\n' + RIGHT.replace("a, b", "a: Later, b", 1)) and passes(template, RIGHT.replace("a, b", "a: Later, b", 1))
     for wrong in (WRONG, "", "def add(a, b:\n", "print('ALL TESTS PASSED')", "raise SystemExit(0)", "def add(a, b):\n    return str(a + b)"):
         assert not passes(template, wrong), wrong
     assert not passes(records_of(exercise(spark, test="def test_a(): pass\nx = 1")).test_program_template.replace("def test_a()", "def helper()"), RIGHT)
