@@ -86,7 +86,7 @@ ASKS_TRANSLATION = r"\b(?:translat\w+|übersetz\w+|tradui\w+|traduc\w+|traduzca)
 SCRIPT_RANGES = {"cyrillic": ((0x400, 0x52F),), "greek": ((0x370, 0x3FF),), "arabic": ((0x600, 0x6FF),), "hebrew": ((0x590, 0x5FF),), "devanagari": ((0x900, 0x97F),), "thai": ((0xE00, 0xE7F),), "kana": ((0x3040, 0x30FF),), "hangul": ((0xAC00, 0xD7AF),), "han": ((0x3400, 0x9FFF),)}
 
 FENCE = re.compile(r"```[^\n`]*\n?.*?(?:```|\Z)", re.S)
-CODE_LINE = re.compile(r"^\s*(?:def |async def |class \w+[:(]|@\w|import \w|from \w+ import |return\b.*[(\[+=]|for \w+.* in .*:$|while .*:$|if .*:$|elif .*:$|else:$|try:$|except\b.*:$|with .*:$|raise \w|assert |print\(|[\w.\[\]]+ ?[+*/-]?= ?\S|(?:public|private|static|func|function|const|let|var|package|#include)\b)")
+CODE_LINE = re.compile(r"^\s*(?:def |async def |class \w+[:(]|@\w|import \w|from \w+ import |return\b.*[(\[+=]|for \w+(?:(?! in ).)* in .*:$|while .*:$|if .*:$|elif .*:$|else:$|try:$|except\b.*:$|with .*:$|raise \w|assert |print\(|[\w.\[\]]+ ?[+*/-]?= ?\S|(?:public|private|static|func|function|const|let|var|package|#include)\b)")
 ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•+])(?:\s+(.*)|)$")
 WORDS = re.compile(r"\w+(?:\.\w+)*|[^\w\s]")
 
@@ -111,6 +111,14 @@ def is_bare_code(text: str) -> bool:
     return bool(lines) and "```" not in text and bool(CODE_LINE.match(lines[0])) and sum(bool(CODE_LINE.match(x)) or x[:1] in " \t)]}#" for x in lines) >= 0.6 * len(lines)
 
 
+def without_end(text: str, kind: re.Pattern) -> str:
+    """The text without the characters of a kind at its end. (A search for them from the front takes quadratic time on long runs.)"""
+    at = len(text)
+    while at and kind.match(text, at - 1):
+        at -= 1
+    return text[:at]
+
+
 class LanguageModel:
     """Naive Bayes over character 1- to 3-grams of words. Scripts unlike Latin are languages with a flat letter model."""
 
@@ -377,7 +385,7 @@ def make_judge(languages: LanguageModel, ends: EndModel):
     tags = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
     table = _Visible()
     controls = re.compile(r"[\x00-\x1f\x7f]")
-    ends_of_blank = re.compile(r"^[\W_]+|[\W_]+$")
+    letter, not_letter, closing = re.compile(r"[^\W_]"), re.compile(r"[\W_]"), re.compile(r"[\s\"'”’»)\]*_]")
 
     def empty(answer: str | None) -> bool:
         if answer is None:
@@ -386,8 +394,9 @@ def make_judge(languages: LanguageModel, ends: EndModel):
         inner = re.sub(r"```[\w+-]*", " ", tags.sub(" ", visible) if "<" in visible else visible)
         if not inner.strip():
             return True
-        core = ends_of_blank.sub("", inner)
-        if core:
+        first = letter.search(inner)
+        if first:
+            core = inner[first.start() : len(without_end(inner, not_letter))]
             return " ".join(core.casefold().split()) in PLACEHOLDERS
         return not re.search(r"[\[\]{}()0-9]|\"\"|''", inner) and not re.fullmatch(r"\s*(?:[=<>!]=?|[+*/%^&|~])\s*", inner)
 
@@ -468,7 +477,7 @@ def make_judge(languages: LanguageModel, ends: EndModel):
                 return True
             share = ends.probability(tokens, True)
             return share is not None and share < 0.25 if siblings else False
-        core = re.sub(r"[\s\"'”’»)\]*_]+$", "", last)
+        core = without_end(last, closing)
         if not core or core[-1] in "!?。！？…":
             return False
         if core[-1] == ".":

@@ -71,7 +71,7 @@ NOTICES = (
     (r"\b(?:mit|bsd|apache|gnu|l?gpl|mpl|isc|zlib|boost)\b", 1.5),
     (r"\bpart of (?!this\b|the (?:same|whole)\b)[\w.-]+", 2.0),
     (r"\bupstream\b|\bhttps?://|\bvendored\b|\bthird[- ]party\b", 1.5),
-    (r"^[\W_]*[\w.@/-]+(?: -)?(?:,? (?:release|version))? v?\d+\.\d+\.\d+\b", 3.0),
+    (r"^[^\w\n]*+\w[\w.@/-]*+(?: -)?(?:,? (?:release|version))? v?\d+\.\d+\.\d+\b", 3.0),
 )
 NOTICE_BASE = 2.5
 GENERATED_NAMES = r"(?:_pb2?(?:_grpc)?|\.pb|_autogen|[._-]generated|_gen|_tables|\.g|\.designer|_img|parsetab|lextab)\.[a-z]+$"

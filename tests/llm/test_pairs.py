@@ -67,6 +67,16 @@ def test_other_languages(judge):
     assert judge("What is a queue? Please answer in Italian.", None, "La coda conserva gli elementi nell'ordine in cui arrivano e li restituisce quando il programma li chiede.", "en") is None
 
 
+def test_very_long_answers_take_linear_time(judge):
+    import time
+
+    q = "What is a queue and when is it sorted?"
+    for answer in ("Yes." + " " * 300_000 + "No.", "." * 300_000 + "a", "for x " + "in y " * 60_000, "word " * 60_000, "`" * 100_001, "<a" * 100_000, "(" * 200_000 + "a queue", "\u200b" * 200_000, "I can't " * 20_000):
+        began = time.perf_counter()
+        judge(q, None, answer, "en")
+        assert time.perf_counter() - began < 15, answer[:20]
+
+
 def test_long_lead_before_a_copy(judge):
     q = "Explain in a few sentences how a queue of packets keeps its order when two writers push to it."
     assert judge(q, None, f"Here is what you would like to know about, as you asked me before: {q}", "en") == "copy"

@@ -181,6 +181,18 @@ def test_beliefs_are_exact(spark, monkeypatch):
             assert got[k] == pytest.approx(want, abs=1e-9) and got[100 + k] == got[k]
 
 
+def test_very_long_files_take_linear_time():
+    import time
+
+    features, check = provenance.make_features(), syntax.make_checker()
+    for text in ("#####\n" * 40_000 + "x = 1\n", "/" * 200_000, "x = [" + "1, " * 100_000 + "]\n", " " * 300_000 + "x", "(" * 100_000, "a b " * 50_000, "x = 1 /" + " " * 200_000 + ")", "/* " * 60_000, "return " * 40_000):
+        for language in ("python", "javascript", "java", "go", "c"):
+            began = time.perf_counter()
+            features("a/b", language, text)
+            check(language, text)
+            assert time.perf_counter() - began < 8, (language, text[:20])
+
+
 def test_trees_decide(spark):
     """Siblings, parents and grandparents label files that show nothing themselves; nothing else in the repository is touched."""
     plain = lambda k: HAND.format(f"p{k}", f"P{k}")
