@@ -143,7 +143,7 @@ def make_checker():
             return defect
         if language != "python" and (bare.lstrip()[:1] == "<" or any(x in bare for x in FORBIDDEN[language])):
             return "foreign"
-        if language != "python" and any(rule.search(bare) for rule in expressions[language]):
+        if language != "python" and (no_right_side(bare) or any(rule.search(bare) for rule in expressions[language])):
             return "expression"
         defect = rules[language](bare, top)
         # With directives of its own a text is C, whatever names its macros give to things.
@@ -152,14 +152,38 @@ def make_checker():
     return check
 
 
+OPERATOR_END = re.compile(r"[=+\-%^&|]\s*+[;)\]}]")
+#: What may stand before an operator that then is none without a right side: x++, --, channel arrows, pointers to pointers of a kind.
+NO_OPERATOR = {"=": "+-*/%&|^?", "+": "+", "-": "-<", "%": "%", "^": "%"}
+
+
+def before(text: str, at: int) -> str:
+    """The last character before a place that is no white space."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return text[at - 1] if at else ""
+
+
+def no_right_side(bare: str) -> bool:
+    """Whether an operator is followed by the end of its statement or group."""
+    for m in OPERATOR_END.finditer(bare):
+        sign, last = m.group()[0], bare[m.start() - 1 : m.start()]
+        if sign in "&|":
+            if last == sign:
+                return True
+        elif sign == "=" and last in "=!<>:" and last or before(bare, m.start()) not in NO_OPERATOR[sign]:
+            return True
+    return False
+
+
 def _expression_rules() -> dict[str, list[re.Pattern]]:
     """What no expression or statement holds at any depth: an operator without its right side, operands side by side, a jump without its end."""
-    no_right_side = r"(?:[^=!<>+\-*/%&|^?:\s]\s*=|[=!<>]=|:=|&&|\|\||[^+\s]\s*\+|[^\-<\s]\s*-|[^%\s]\s*[%^])\s*[;)\]}]"
     number = r"(?<![\w.$\x02'])\d[\w.]*+[ \t]++"
     side_by_side = {"java": rf"{number}(?:\d|[A-Za-z_$\x02])", "go": rf"{number}(?:\d|[A-Za-z_\x02])", "c": rf"{number}(?:\d|[A-Za-z_\x02])", "javascript": rf"{number}(?:\d|(?!(?:in|of|instanceof|as|from)\b)[A-Za-z_$\x02])"}
-    no_end = r"\b(?:return|break|continue|throw|goto)\b[^;{}:?]*\}"
+    # Each stretch between separators is read once, and only if a brace closes it.
+    no_end = r"(?:\A|[;{}:?])(?=[^;{}:?]*+\})[^;{}:?]*?\b(?:return|break|continue|throw|goto)\b"
     more = {"java": (no_end, r"[+\-*%=<>&|^(,]\s*[*%^](?!=)", r",\s*\)", r"[(=]\s*,"), "c": (no_end, r"=\s*,"), "go": (r"[(=]\s*,",), "javascript": (r"[(=]\s*,",)}
-    return {name: [re.compile(p) for p in (no_right_side, side_by_side[name], *more[name])] for name in more}
+    return {name: [re.compile(p) for p in (side_by_side[name], *more[name])] for name in more}
 
 
 def _declarations(language: str, top: str) -> str | None:
@@ -214,7 +238,8 @@ def _python_rules():
     word_pairs = re.compile(r"\b(\w++)[ \t]++(?=([\w\x02]++))").findall
     after_close = re.compile(r"[)\]}\x02][ \t]*+(?=([A-Za-z_0-9]\w*+))").findall
     numbers = re.compile(r"[^\w.](?!0[oOxXbB])(?:\d[\da-fjxA-FJX_]*+[g-zG-Z]|0++[1-9]\d*+(?![\d.eEjJ_]))").search
-    lone_operator = re.compile(r"[(\[{]\s*+[,=]|,\s*+,|[^=!<>:+\-*/%&|^@]=(?:\s*+[)\]},:]|\s++=)|:\s*+[)}]|[+\-%^&|~]\s*+[,)\]}:]|[^\s,(/]\s*+//?\s*+[,)\]}:]|(?<!\.\.)\.\s*+[,)\]}:]").search
+    lone_operator = re.compile(r"[(\[{]\s*+[,=]|,\s*+,|[^=!<>:+\-*/%&|^@]=(?:\s*+[)\]},:]|\s++=)|:\s*+[)}]|[+\-%^&|~]\s*+[,)\]}:]|(?<!\.\.)\.\s*+[,)\]}:]").search
+    slash_end = re.compile(r"//?+\s*+[,)\]}:]").finditer
     lone_inside = re.compile(r",\s*+=(?!=)").search
     over_lines = re.compile(r"(\w++|[\x02)\]}])[ \t]*+\n\s*+(?=([\w\x02]++))").findall
     a_string = re.compile(r"[rbfuRBFU]{0,2}\x02").match
@@ -233,7 +258,8 @@ def _python_rules():
             return "neighbours"
         if "await" in bare and "async" not in bare and awaits(bare):
             return "statement"
-        if lone_operator(bare):
+        # A lone slash is a parameter list's mark only after a comma or an opening parenthesis.
+        if lone_operator(bare) or "/" in bare and any(before(bare, m.start()) not in ",(" for m in slash_end(bare)):
             return "statement"
         stack, tries, open_block, body = [0], [], False, ""
         if "\\\n" in top:
