@@ -12,7 +12,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from heapq import heappop, heappush, heapreplace
 from pathlib import Path
 
@@ -65,14 +64,20 @@ def gather_words(counts: DataFrame, max_words: int = 2_000_000) -> list[tuple[st
     return [(r["word"], r["n"]) for r in rows]
 
 
-@lru_cache(maxsize=1)
-def byte_chars() -> dict[int, str]:
-    """Bytes as printable characters: those that print stand for themselves, the others follow from U+0100."""
+def _byte_chars() -> dict[int, str]:
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = sorted(set(range(256)) - set(shown))
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+BYTE_CHARS = _byte_chars()
+
+
+def byte_chars() -> dict[int, str]:
+    """Bytes as printable characters: those that print stand for themselves, the others follow from U+0100."""
+    return BYTE_CHARS
+
+
 class _Pairs:
     """Neighbouring symbols over weighted words, kept up to date while pairs are merged, with the best pair at hand.
 
