@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 from heapq import heappop, heappush, heapreplace
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,164 @@ def substring_counts(df: DataFrame, text: str, longest: int = 16) -> DataFrame:
     return sizes.select(F.expr("substring(line, i, k)").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
+def commonest_substrings(df: DataFrame, text: str, top: int, longest: int = 16) -> DataFrame:
+    """The ``top`` commonest of ``substring_counts``, counts descending, ties by the substring."""
+    source = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")))
+    rows = [(piece, n) for piece, n, *_ in _commonest(source, top, longest)[1]]
+    return df.sparkSession.createDataFrame(rows, "piece string, n long").coalesce(1)
+
+
+#: Characters that are worked on at once, and the entries up to which a table is kept in full.
+SLICE, FULL = 1 << 21, 1 << 22
+
+
+def _slices(batches: Iterator[pa.RecordBatch], placed: bool, reach: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Characters as numbers, each text followed by a line break; how many of them are starts (up to ``reach`` follow, which the next slice
+    starts with); where the texts start, and their places (order, and position of the first character). Texts go by their order."""
+    for batch in batches:
+        texts = batch.column("t").to_pylist()
+        ranks = batch.column("o").to_numpy(zero_copy_only=False) if placed else np.arange(len(texts))
+        turns, at = np.argsort(ranks, kind="stable").tolist() if placed else range(len(texts)), 0
+        while at < len(turns):
+            group, chars = at, 0
+            while at < len(turns) and (at == group or chars + len(texts[turns[at]]) < SLICE):
+                chars += len(texts[turns[at]]) + 1
+                at += 1
+            mine = turns[group:at]
+            codes = np.frombuffer("\n".join([*(texts[k] for k in mine), ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+            starts = np.cumsum([0, *(len(texts[k]) + 1 for k in mine)])[:-1]
+            for low in range(0, len(codes), SLICE):
+                here = max(0, int(np.searchsorted(starts, low, "right")) - 1)
+                until = max(here + 1, int(np.searchsorted(starts, low + SLICE)))
+                first = np.stack([ranks[mine[here:until]], np.maximum(low - starts[here:until], 0)])
+                yield codes[low : low + SLICE + reach], min(SLICE, len(codes) - low), np.maximum(starts[here:until] - low, 0), first
+
+
+def _tally(keys: np.ndarray, size: int, placed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The keys that occur (of numbers under ``size``), how often, and the index where each is first."""
+    if size <= max(FULL, 2 * len(keys)):
+        n = np.bincount(keys, minlength=size)
+        there = np.flatnonzero(n)
+        if not placed:
+            return there, n[there], None
+        first = np.empty(size, np.int64)
+        first[keys[::-1]] = np.arange(len(keys) - 1, -1, -1)  # of several values the last stays
+        return there, n[there], first[there]
+    if not placed:
+        return *np.unique(keys, return_counts=True), None
+    there, first, n = np.unique(keys, return_index=True, return_counts=True)
+    return there, n, first
+
+
+class _Steps:
+    """From the number of a piece and the class of the next character to the number of the longer piece, -1 if there is none."""
+
+    def __init__(self, keys: np.ndarray, size: int):
+        self.keys = keys if size > FULL else None
+        self.order = np.argsort(keys) if size > FULL else None
+        self.full = None if size > FULL else np.full(size, -1, np.int32)
+        if self.full is not None:
+            self.full[keys] = np.arange(len(keys))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if self.full is not None:
+            return self.full[keys]
+        at = self.order[np.minimum(np.searchsorted(self.keys, keys, sorter=self.order), len(self.keys) - 1)]
+        return np.where(self.keys[at] == keys, at, -1)
+
+
+def _classes(letters: list[int]) -> np.ndarray:
+    """Characters to classes: 1, 2 and so on for ``letters``, 0 for all others."""
+    classes = np.zeros(0x110000, np.int32)
+    classes[letters] = np.arange(1, len(letters) + 1)
+    return classes
+
+
+def _counter(levels: list[list[str]] | None, letters: list[int], placed: bool):
+    """Counts the pieces one character longer than those of the last of ``levels`` (of 2, 3 and so on characters; each piece without its last
+    character is in the level before): s (number of the shorter piece), c (last character), n and the first place. Without levels it counts characters (s is -1) and pairs (s is the first)."""
+
+    def found(s, c, n, at, starts, first) -> pa.RecordBatch:
+        columns = [pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(n, pa.int64())]
+        if placed:
+            text = np.searchsorted(starts, at, "right") - 1
+            columns += [pa.array(first[0][text], pa.int64()), pa.array(first[1][text] + at - starts[text], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["s", "c", "n", "o", "p"][: len(columns)])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, size, starts, first in _slices(batches, placed, 1):
+            there = np.flatnonzero(np.bincount(codes))
+            local = np.zeros(there[-1] + 1, np.int64)
+            local[there] = np.arange(len(there))
+            ids, is_end = local[codes], codes == 10
+            one = np.flatnonzero(~is_end[:size])
+            k, n, at = _tally(ids[one], len(there), placed)
+            yield found(np.full(len(k), -1), there[k], n, one[at] if placed else None, starts, first)
+            two = one[~is_end[one + 1]]  # the last of all is a line break
+            k, n, at = _tally(ids[two] * len(there) + ids[two + 1], len(there) ** 2, placed)
+            yield found(there[k // len(there)], there[k % len(there)], n, two[at] if placed else None, starts, first)
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, width, depth = _classes(letters), len(letters) + 1, len(levels) + 1
+        codes_of = np.array([0, *letters])
+        steps, before = [], {chr(c): k for k, c in enumerate(letters, 1)}
+        for k, level in enumerate(levels):
+            keys = np.array([before[p[:-1]] * width + int(classes[ord(p[-1])]) for p in level])
+            steps.append(_Steps(keys, width * width if k == 0 else len(levels[k - 1]) * width))
+            before = {p: j for j, p in enumerate(level)}
+        for codes, size, starts, first in _slices(batches, placed, depth):
+            c = np.append(classes[codes], np.zeros(depth, np.int32))
+            at = np.flatnonzero(c[:size])
+            s = c[at].astype(np.int64)
+            for k, step in enumerate(steps):
+                s = step(s * width + c[at + k + 1])
+                on = np.flatnonzero(s >= 0)
+                at, s = at[on], s[on].astype(np.int64)
+            last = c[at + depth]
+            on = np.flatnonzero(last)
+            at = at[on]
+            k, n, f = _tally(s[on] * width + last[on], len(levels[-1]) * width, placed)
+            if len(k):
+                yield found(k // width, codes_of[k % width], n, at[f] if placed else None, starts, first)
+
+    return pairs if levels is None else longer
+
+
+def _commonest(source: DataFrame, top: int, longest: int, max_chars: int | None = None) -> tuple[list[tuple], list[tuple]]:
+    """All characters by their first places (if the source has an order ``o`` and ``max_chars`` is given) and the ``top`` commonest pieces of 2 to ``longest``
+    characters of the lines of ``t``, each with count and, if there is an order, first place; ties by first place and length, else by the piece.
+
+    One pass for each length. A piece without its last character is as common and comes before it in either order, so that only pieces
+    one character longer than those among the ``top`` so far can be among them: no more is counted, and the driver sees ``top`` rows of each length.
+    """
+    placed = "o" in source.columns
+    schema = "s int, c int, n long" + ", o long, p long" * placed
+    ties = ["p.o", "p.p"] if placed else ["s", "c"]
+    rank = (lambda r: (-r[1], r[2], len(r[0]))) if placed else (lambda r: (-r[1], r[0].encode("utf-8", "surrogatepass")))
+
+    def counted(levels, letters) -> DataFrame:
+        parts = source.mapInArrow(_counter(levels, letters, placed), schema).groupBy("s", "c")
+        return parts.agg(F.sum("n").alias("n"), *([F.min(F.struct("o", "p")).alias("p")] if placed else []))
+
+    both = cut_lineage(counted(None, []))
+    row = lambda piece, r: (piece, r["n"], *([tuple(r["p"])] if placed else []))
+    chars = [row(chr(r["c"]), r) for r in both.where("s = -1").orderBy(*(["p"] if placed else ["c"])).limit(max_chars + 1).collect()] if max_chars else []
+    best = [row(chr(r["s"]) + chr(r["c"]), r) for r in both.where("s >= 0").orderBy(F.desc("n"), *ties).limit(top).collect()] if longest > 1 else []
+    levels: list[list[str]] = []
+    for k in range(3, longest + 1):
+        best.sort(key=rank)
+        known = sorted((r[0] for r in best if len(r[0]) == k - 1), key=lambda p: p.encode("utf-8", "surrogatepass"))
+        if not known:
+            break
+        kept = {p[:j] for p in known for j in range(2, k)}
+        levels = [[p for p in level if p in kept] for level in levels] + [known]
+        least = best[-1][1] if len(best) == top else 1
+        letters = sorted(r["c"] for r in both.where((F.col("s") == -1) & (F.col("n") >= least)).select("c").collect())
+        rows = counted(levels, letters).where(F.col("n") >= least).orderBy(F.desc("n"), *ties).limit(top).collect()
+        best = sorted(best + [row(known[r["s"]] + chr(r["c"]), r) for r in rows], key=rank)[:top]
+    return chars, sorted(best, key=rank)
+
+
 def gather_words(counts: DataFrame, max_words: int = 2_000_000) -> list[tuple[str, int]]:
     """The words in the order in which they were first seen."""
     rows = counts.orderBy("first").limit(max_words + 1).collect()

@@ -169,3 +169,60 @@ def test_artifacts_have_the_known_layout(spark, tmp_path):
         model.save(str(tmp_path / model.kind / "tokenizer.json"))
         again = subword.Subword.load(str(tmp_path / model.kind))
         assert again.encode("low lower It's") == model.encode("low lower It's")
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    each = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+
+def substrings_by_hand(texts, top, longest):
+    n = Counter(line[i : i + k] for t in texts if t is not None for line in t.split("\n") for i in range(len(line)) for k in range(2, min(longest, len(line) - i) + 1))
+    return sorted(n.items(), key=lambda x: (-x[1], x[0]))[:top]
+
+
+def test_commonest_substrings_equal_counting_all(spark):
+    rng = random.Random(8)
+    for top, longest, letters, size in ((5, 16, "ab\n", 90), (40, 6, "abcdé漢\U0001f600 \n", 60), (1, 2, "ab", 9), (3000, 16, "ab c\n", 40), (200, 16, [chr(k) for k in range(0x4E00, 0x5800)], 200), (9, 16, "a", 40), (4, 1, "ab", 9)):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(size))) for _ in range(12)] + ["", "\n", "x", None]
+        df = spark.createDataFrame([(t, "clash") for t in texts], "t string, piece string").repartition(3)
+        assert [tuple(r) for r in subword.commonest_substrings(df, "t", top, longest).collect()] == substrings_by_hand(texts, top, longest)
+    assert subword.commonest_substrings(df.limit(0), "t", 5).count() == 0
+
+
+def test_substring_topk_documents_shuffles_less_than_the_text(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghij \n") for _ in range(1000)) for _ in range(100)]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(4).write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled(spark)
+    assert [tuple(r) for r in catalog.queries()["substring_topk_documents"](spark, str(tmp_path)).collect()] == substrings_by_hand(texts, 200, 16)
+    assert shuffled(spark) - before < 100_000  # counted one by one, the substrings are 1.4 MB of shuffle and more
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    """Slices of any size, and tables too large to be kept in full, give the same counts and first places."""
+    pa = pytest.importorskip("pyarrow")
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abc\n") for _ in range(rng.randrange(40))) for _ in range(9)]
+    order = rng.sample(range(50), len(texts))
+    batch = pa.RecordBatch.from_pydict({"t": texts, "o": pa.array(order, pa.int64())})
+    pieces = [(line_at + i, o, line[i:]) for o, t in zip(order, texts) for line_at, line in [(sum(len(x) + 1 for x in t.split("\n")[:j]), line) for j, line in enumerate(t.split("\n"))] for i in range(len(line))]
+    levels = [["aa", "ab", "ba", "ca"], ["aab", "aba", "baa", "cab"]]
+    for slice_, full in ((1 << 21, 1 << 22), (7, 1 << 22), (7, 1), (64, 1)):
+        monkeypatch.setattr(subword, "SLICE", slice_)
+        monkeypatch.setattr(subword, "FULL", full)
+        for k, chosen in ((1, None), (2, None), (4, levels)):
+            wanted, found = {}, {}
+            for p, o, rest in pieces:
+                if len(rest) >= k and (k < 4 or rest[:3] in levels[1] and rest[3] in "ab"):
+                    n, first = wanted.get(rest[:k], (0, (99, 0)))
+                    wanted[rest[:k]] = n + 1, min(first, (o, p))
+            for out in subword._counter(chosen, [97, 98, 99], True)(iter([batch])):
+                for r in out.to_pylist():
+                    head = "" if r["s"] < 0 else chr(r["s"]) if chosen is None else levels[1][r["s"]]
+                    if len(head) + 1 == k and (k < 4 or r["c"] < 99):
+                        n, first = found.get(head + chr(r["c"]), (0, (99, 0)))
+                        found[head + chr(r["c"])] = n + r["n"], min(first, (r["o"], r["p"]))
+            assert found == wanted
