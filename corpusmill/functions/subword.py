@@ -69,26 +69,42 @@ def commonest_substrings(df: DataFrame, text: str, top: int, longest: int = 16)
 SLICE, FULL = 1 << 21, 1 << 22
 
 
-def _slices(batches: Iterator[pa.RecordBatch], placed: bool, reach: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-    """Characters as numbers, each text followed by a line break; how many of them are starts (up to ``reach`` follow, which the next slice
-    starts with); where the texts start, and their places (order, and position of the first character). Texts go by their order."""
+def _joined(texts: list[str], turns: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Some texts at a time (about ``SLICE`` characters, one text at least) in the order of ``turns``: their characters as numbers, each text followed by a line break; where they start; their indexes."""
+    group, chars = [], 0
+
+    def together():
+        codes = np.frombuffer("\n".join([*(texts[k] for k in group), ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+        return codes, np.cumsum([0, *(len(texts[k]) + 1 for k in group)])[:-1], group
+
+    for k in turns:
+        if group and chars + len(texts[k]) >= SLICE:
+            yield together()
+            group, chars = [], 0
+        group.append(k)
+        chars += len(texts[k]) + 1
+    if group:
+        yield together()
+
+
+def _ordered(batches: Iterator[pa.RecordBatch], placed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``_joined`` texts of each batch by their order, which comes third."""
     for batch in batches:
         texts = batch.column("t").to_pylist()
         ranks = batch.column("o").to_numpy(zero_copy_only=False) if placed else np.arange(len(texts))
-        turns, at = np.argsort(ranks, kind="stable").tolist() if placed else range(len(texts)), 0
-        while at < len(turns):
-            group, chars = at, 0
-            while at < len(turns) and (at == group or chars + len(texts[turns[at]]) < SLICE):
-                chars += len(texts[turns[at]]) + 1
-                at += 1
-            mine = turns[group:at]
-            codes = np.frombuffer("\n".join([*(texts[k] for k in mine), ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
-            starts = np.cumsum([0, *(len(texts[k]) + 1 for k in mine)])[:-1]
-            for low in range(0, len(codes), SLICE):
-                here = max(0, int(np.searchsorted(starts, low, "right")) - 1)
-                until = max(here + 1, int(np.searchsorted(starts, low + SLICE)))
-                first = np.stack([ranks[mine[here:until]], np.maximum(low - starts[here:until], 0)])
-                yield codes[low : low + SLICE + reach], min(SLICE, len(codes) - low), np.maximum(starts[here:until] - low, 0), first
+        for codes, starts, mine in _joined(texts, np.argsort(ranks, kind="stable").tolist()):
+            yield codes, starts, ranks[mine]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], placed: bool, reach: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Characters of ``_joined`` texts; how many of them are starts (up to ``reach`` follow, which the next slice starts with);
+    where the texts start, and their places (order, and position of the first character)."""
+    for codes, starts, ranks in _ordered(batches, placed):
+        for low in range(0, len(codes), SLICE):
+            here = max(0, int(np.searchsorted(starts, low, "right")) - 1)
+            until = max(here + 1, int(np.searchsorted(starts, low + SLICE)))
+            first = np.stack([ranks[here:until], np.maximum(low - starts[here:until], 0)])
+            yield codes[low : low + SLICE + reach], min(SLICE, len(codes) - low), np.maximum(starts[here:until] - low, 0), first
 
 
 def _tally(keys: np.ndarray, size: int, placed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -387,6 +403,26 @@ class Subword:
         """The ids of several texts."""
         return [self.encode(t, add_eos) for t in texts]
 
+    def encode_many(self, texts: list[str | None], add_eos: bool = False) -> list[np.ndarray | None]:
+        """The ids of several texts (None stays None), by unigram: all lines at once."""
+        paths = self.__dict__["_paths"] = self.__dict__.get("_paths") or _Paths(self.log_probs)
+        unknown = self.token_to_id[UNKNOWN["unigram"]]
+        ids = np.array([*(self.token_to_id.get(p, unknown) for p in self.log_probs), unknown], np.int32)  # the last is for -1
+        end = [self.eos_token_id] if add_eos else []
+        out: list[np.ndarray | None] = [None] * len(texts)
+        marked = [None if t is None else BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        for codes, starts, mine in _joined(marked, (k for k, t in enumerate(marked) if t is not None)):
+            flat = np.full(len(codes), -1, np.int32)
+            ends, numbers = paths(codes)
+            flat[ends] = ids[numbers]
+            inner = codes == 10
+            inner[starts[1:] - 1] = inner[-1] = False
+            flat[inner] = self.token_to_id.get("\n", unknown)
+            there = np.flatnonzero(flat >= 0)
+            for k, own in zip(mine, np.split(flat[there], np.searchsorted(there, starts[1:]))):
+                out[k] = np.append(own, end).astype(np.int32) if end else own
+        return out
+
     def pieces(self, text: str) -> list[str]:
         if self.kind == "unigram":
             marked = BLANK + text.replace(" ", BLANK) if text else ""
@@ -552,55 +588,123 @@ def best_path(line: str, log_probs: dict[str, float], unknown: float | None = No
     return out[::-1], best[-1]
 
 
-def _place(o: Column, at: Column, i: Column) -> Column:
-    """One number for (text, line, position), in this order."""
-    ahead = o.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + at
-    return (ahead.cast("decimal(30,0)") * F.lit(10**8).cast("decimal(9,0)") + i).cast("decimal(38,0)")
+class _Paths:
+    """``best_path`` for many lines at once, with the same sums in the same order and so the same paths.
 
-
-def _piece_counts(lines: DataFrame, longest: int, seeds: int, most: int = 1_000_000) -> DataFrame:
-    """piece, k (its length), n and p (its first place) of all characters and of all longer pieces that can be among the ``seeds`` commonest.
-
-    If ``seeds`` pieces of two and three characters occur L times or more, no piece rarer than L is among the commonest, and a longer one
-    is as rare as its rarest three characters: it is counted only where each three of it in a row occur L times. Where fewer pieces
-    exist, or more than ``most`` of three characters are that frequent, all are counted.
+    The lines go side by side, character by character. An automaton tells which pieces end at a character, and for each of its states there is a
+    row of their values, longest first: of equal sums the first is taken. The few longest lines, and all if the automaton would be too large, go one by one.
     """
-    starts = lines.select("o", "at", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("i"))
-
-    def plain(low: int, high: int) -> DataFrame:
-        room = F.least(F.lit(high), F.length("line") - F.col("i") + 1)
-        sizes = starts.where(room >= low).select("o", "at", "line", "i", F.explode(F.sequence(F.lit(low), room)).alias("k"))
-        pieces = sizes.select(F.expr("substring(line, i, k)").alias("piece"), "k", _place(F.col("o"), F.col("at"), F.col("i")).alias("p"))
-        return pieces.groupBy("piece", "k").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-
-    short = cut_lineage(plain(1, min(3, longest)))
-    if longest <= 3:
-        return short
-    ranked = short.where("k > 1").orderBy(F.desc("n")).limit(seeds).agg(F.count("*").alias("rows"), F.min("n").alias("least")).first()
-    known = short.where((F.col("k") == 3) & (F.col("n") >= ranked["least"])).select("piece").limit(most + 1).collect() if ranked["rows"] == seeds else None
-    if known is None or len(known) > most:
-        return cut_lineage(short.unionByName(plain(4, longest)))
-    frequent = frozenset(r["piece"] for r in known)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: dict[str, list] = {}
-            for o, at, line in zip(batch["o"], batch["at"], batch["line"]):
-                reach = 0  # how many frequent triples stand in a row from here on
-                for i in range(len(line) - 3, -1, -1):
-                    reach = reach + 1 if line[i : i + 3] in frequent else 0
-                    for k in range(4, min(longest, reach + 2) + 1):
-                        hit = seen.get(line[i : i + k])
-                        if hit is None:
-                            seen[line[i : i + k]] = [1, (o, at, i + 1)]
-                        else:
-                            hit[0] += 1
-                            hit[1] = min(hit[1], (o, at, i + 1))
-            yield pd.DataFrame([(piece, len(piece), n, *first) for piece, (n, first) in seen.items()], columns=["piece", "k", "n", "o", "at", "i"])
-
-    long = lines.select("o", "at", "line").mapInPandas(count, "piece string, k int, n long, o long, at int, i int")
-    long = long.select("piece", "k", "n", _place(F.col("o"), F.col("at"), F.col("i")).alias("p")).groupBy("piece", "k").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
-    return cut_lineage(short.unionByName(long.where(F.col("n") >= ranked["least"])))
+
+    #: Entries of the automaton at most; what a step and what a character alone take, in the same unit.
+    MOST, STEP, ALONE = 1 << 24, 20, 1
+
+    def __init__(self, log_probs: dict[str, float]):
+        self.log_probs = log_probs
+        self.number = {p: k for k, p in enumerate(log_probs)}
+        self.missing = log_probs.get("<unk>", math.log(1e-6))
+        long = [p for p in log_probs if len(p) > 1]
+        inner = dict.fromkeys(ch for p in long for ch in p)
+        self.letters = [*inner, *(p for p in log_probs if len(p) == 1 and p not in inner)]
+        self.width, self.columns = max([2, *map(len, long)]), len(inner) + 1
+        self.singles = np.array([self.missing, *(log_probs.get(ch, self.missing) for ch in self.letters)])
+        self.single_numbers = np.array([-1, *(self.number.get(ch, -1) for ch in self.letters)], np.int32)
+        nodes = [{}]
+        ends: dict[int, str] = {}
+        for p in long:
+            at = 0
+            for ch in p:
+                if ch not in nodes[at]:
+                    nodes[at][ch] = len(nodes)
+                    nodes.append({})
+                at = nodes[at][ch]
+            ends[at] = p
+        self.fits = len(nodes) * self.columns <= self.MOST
+        if not self.fits:
+            return
+        place = {ch: k for k, ch in enumerate(inner, 1)}
+        self.goto = np.zeros((len(nodes), self.columns), np.int32)
+        self.values = np.full((len(nodes), self.width), -math.inf)
+        self.numbers = np.full((len(nodes), self.width), -1, np.int32)
+        turn, back = [0], {0: 0}
+        for at in turn:  # grows meanwhile
+            if at:
+                self.goto[at], self.values[at], self.numbers[at] = self.goto[back[at]], self.values[back[at]], self.numbers[back[at]]
+            if at in ends:
+                self.values[at, -len(ends[at])], self.numbers[at, -len(ends[at])] = log_probs[ends[at]], self.number[ends[at]]
+            for ch, to in nodes[at].items():
+                back[to] = int(self.goto[at, place[ch]])
+                self.goto[at, place[ch]] = to
+                turn.append(to)
+
+    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of the best paths of the lines end (the last number is a line break), and the numbers of the pieces, -1 for a character without a piece."""
+        stops = np.flatnonzero(codes == 10)
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        sizes = stops - starts
+        order = np.argsort(-sizes, kind="stable")
+        order = order[: int(np.count_nonzero(sizes))]
+        length, number = np.zeros(len(codes), np.int32), np.full(len(codes), -1, np.int32)
+        keep = np.zeros(len(codes), bool)
+        ranked = sizes[order]
+        alone = int(np.argmin(np.append(ranked, 0) * self.STEP + np.concatenate([[0], np.cumsum(ranked)]) * self.ALONE)) if self.fits else len(order)
+        if alone:
+            known = beginnings(self.log_probs)
+            for k in order[:alone]:
+                at = starts[k]
+                for piece in best_path(codes[starts[k] : stops[k]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), self.log_probs, None, known)[0]:
+                    at += len(piece)
+                    keep[at - 1], number[at - 1] = True, self.number.get(piece, -1)
+        if alone < len(order):
+            self._together(codes, starts[order[alone:]], ranked[alone:], length, number, keep)
+        ends = np.flatnonzero(keep)
+        return ends, number[ends]
+
+    def _together(self, codes, starts, sizes, length, number, keep) -> None:
+        tall, width = int(sizes[0]), self.width
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, tall + 1))  # lines that have a t-th character
+        ahead = np.concatenate([[0], np.cumsum(active)])
+        line = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        t = np.arange(len(line), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        where = t + np.repeat(starts.astype(np.int32), sizes)
+        to = ahead[t] + line
+        chars = np.empty(len(line), np.int32)
+        chars[to] = self._lookup()[codes[where]]
+        steps = np.where(chars < self.columns, chars, 0)
+        singles = self.singles[chars]
+        states, chosen = np.empty(len(line), np.int32), np.empty(len(line), np.int8 if width < 128 else np.int32)
+        goto, room = self.goto.ravel(), 48
+        best = np.full((len(sizes), width + room), -math.inf)
+        best[:, width - 1] = 0.0
+        rows = np.arange(len(sizes)) * width
+        state, column = np.zeros(len(sizes), np.int32), 0
+        for k in range(tall):
+            n, low, high = int(active[k]), int(ahead[k]), int(ahead[k + 1])
+            state = goto.take(state[:n] * self.columns + steps[low:high])
+            values = self.values.take(state, axis=0)
+            values[:, -1] = singles[low:high]
+            values += best[:n, column : column + width]
+            top = values.argmax(axis=1)
+            best[:n, column + width] = values.ravel().take(rows[:n] + top)
+            states[low:high], chosen[low:high] = state, top
+            column += 1
+            if column == room:
+                best[:n, :width] = best[:n, room : room + width]
+                column = 0
+        length[where] = width - chosen[to].astype(np.int32)
+        found = self.numbers.ravel().take(states.astype(np.int64) * width + chosen)
+        found = np.where(chosen == width - 1, self.single_numbers[chars], found)
+        number[where] = found[to]
+        at, first = starts + sizes, starts
+        while len(at):
+            keep[at - 1] = True
+            at = at - length[at - 1]
+            on = at > first
+            at, first = at[on], first[on]
+
+    def _lookup(self) -> np.ndarray:
+        if "_classes" not in self.__dict__:
+            self._classes = _classes([ord(ch) for ch in self.letters])
+        return self._classes
 
 
 def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds: int = 4, seeds: int = 10_000, longest: int = 16, prune: float = 0.2, max_chars: int = 200_000) -> Subword:
@@ -610,23 +714,22 @@ def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds:
     The texts count in the order of the integer column ``order``, which ties go by: the piece first seen or first used is first. Every
     round is one distributed pass; the driver sees pieces and counts, at most ``seeds`` and the alphabet (more than ``max_chars`` characters are an error).
     """
-    docs = spread(df.where(F.col(text).isNotNull()).select(F.col(order).cast("long").alias("o"), F.col(text).alias("t")))
-    head = docs.agg(F.min("o").alias("first"), F.count("*").alias("n"), F.sum(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("breaks")).first()
+    docs = spread(df.where(F.col(text).isNotNull()).select(F.coalesce(F.col(order).cast("long"), F.lit(2**63 - 1)).alias("o"), F.col(text).alias("t")))
+    head = docs.agg(
+        F.min("o").alias("first"), F.count("*").alias("n"), F.sum(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("breaks"), F.min_by(F.length(F.substring_index("t", "\n", 1)), "o").alias("line")
+    ).first()
     special = SPECIALS["unigram"]
     if not head["n"]:
         return Subword("unigram", {t: k for k, t in enumerate(special)}, [], {t: RARE for t in special})
     marked = F.replace("t", F.lit(" "), F.lit(BLANK))
-    marked = F.when(F.col("o") == head["first"], F.concat(F.lit(BLANK), marked)).otherwise(marked)
-    lines = docs.select("o", F.posexplode(F.split(marked, "\n")).alias("at", "line")).where("line <> ''")
-    counted = _piece_counts(lines, longest, seeds)
-    chars = counted.where("k = 1").orderBy("p").limit(max_chars + 1).collect()
+    lines = docs.select("o", F.when(F.col("o") == head["first"], F.concat(F.lit(BLANK), marked)).otherwise(marked).alias("t"))
+    chars, top = _commonest(lines, seeds, longest, max_chars)
     if len(chars) > max_chars:
         raise ValueError(f"more than {max_chars} characters: this is no alphabet")
     # The texts stand one below the other: the first line break ends the first line of the first text.
-    breaks, after = int(head["breaks"] or 0) + head["n"] - 1, (head["first"] * 2**31 + 1) * 10**8
-    letters = {r["piece"]: r["n"] for r in chars if r["p"] < after} | ({"\n": breaks} if breaks else {}) | {r["piece"]: r["n"] for r in chars if r["p"] >= after}
-    top = counted.where("k > 1").orderBy(F.desc("n"), "p", "k").limit(seeds).collect()
-    start = letters | {r["piece"]: r["n"] for r in top if r["piece"] not in letters}
+    breaks, after = int(head["breaks"] or 0) + head["n"] - 1, (head["first"], head["line"] + 1)
+    letters = {p: n for p, n, first in chars if first < after} | ({"\n": breaks} if breaks else {}) | {p: n for p, n, first in chars if first >= after}
+    start = letters | {p: n for p, n, _ in top if p not in letters}
     total = sum(start.values())
     log_probs = {p: math.log(n / total) for p, n in start.items()}
     goal = vocab_size - len(special)
@@ -648,27 +751,20 @@ def train_unigram(df: DataFrame, text: str, order: str, vocab_size: int, rounds:
 
 
 def _expected(lines: DataFrame, log_probs: dict[str, float]) -> DataFrame:
-    """piece, n and first (its first use) over the best paths of all lines."""
+    """piece, n and first (the place of its first use) over the best paths of all lines."""
 
-    known = beginnings(log_probs)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = _Paths(log_probs)
+        names = np.array([*log_probs], dtype=object)
+        for codes, starts, ranks in _ordered(batches, True):
+            ends, numbers = paths(codes)
+            k, n, at = _tally(numbers, len(names), True)
+            text = np.searchsorted(starts, ends[at], "right") - 1
+            columns = [pa.array(names[k], pa.string()), pa.array(n, pa.int64()), pa.array(ranks[text], pa.int64()), pa.array(ends[at] - starts[text], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "n", "o", "p"])
 
-    def count(batches):
-        seen: dict[str, list] = {}
-        for batch in batches:
-            for o, at, line in zip(batch["o"], batch["at"], batch["line"]):
-                for i, piece in enumerate(best_path(line, log_probs, None, known)[0]):
-                    hit = seen.get(piece)
-                    if hit is None:
-                        seen[piece] = [1, (o, at, i)]
-                    else:
-                        hit[0] += 1
-                        if (o, at, i) < hit[1]:
-                            hit[1] = (o, at, i)
-        if seen:
-            yield pd.DataFrame([(p, n, *first) for p, (n, first) in seen.items()], columns=["piece", "n", "o", "at", "i"])
-
-    found = lines.select("o", "at", "line").mapInPandas(count, "piece string, n long, o long, at int, i int")
-    return found.groupBy("piece").agg(F.sum("n").alias("n"), F.min(F.struct("o", "at", "i")).alias("first"))
+    found = lines.mapInArrow(count, "piece string, n long, o long, p long")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"), F.min(F.struct("o", "p")).alias("first"))
 
 
 def encode_column(c: Column, model: Subword, add_eos: bool = False) -> Column:
@@ -676,6 +772,9 @@ def encode_column(c: Column, model: Subword, add_eos: bool = False) -> Column:
 
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
+            if model.kind == "unigram":
+                yield pd.Series(model.encode_many(texts.tolist(), add_eos), dtype=object)
+                continue
             yield pd.Series([None if t is None else model.encode(t, add_eos) for t in texts], dtype=object)
 
     return F.pandas_udf(encoded, "array<int>")(c)

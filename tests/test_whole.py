@@ -226,3 +226,48 @@ def test_long_texts_are_counted_in_slices(monkeypatch):
                         n, first = found.get(head + chr(r["c"]), (0, (99, 0)))
                         found[head + chr(r["c"])] = n + r["n"], min(first, (r["o"], r["p"]))
             assert found == wanted
+
+
+def test_train_unigram_shuffles_less_than_the_text(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab") for _ in range(1000)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").coalesce(4)
+    before = shuffled(spark)
+    model = subword.train_unigram(df, "t", "doc_id", 100, seeds=200)
+    assert shuffled(spark) - before < 200_000  # with all substrings counted, several MB
+    tokens, probs = unigram_by_hand(texts, 100, 200, 16, 4, 0.2)
+    assert list(model.token_to_id) == tokens and {p: round(model.log_probs[p], 9) for p in probs} == {p: round(x, 9) for p, x in probs.items()}
+
+
+@pytest.mark.parametrize("step, most", [(0, 1 << 24), (20, 1 << 24), (20, 1)])
+def test_paths_of_many_lines_equal_best_path(monkeypatch, step, most):
+    """Side by side, with the longest lines alone, and all alone as the automaton is too large."""
+    np = pytest.importorskip("numpy")
+    monkeypatch.setattr(subword._Paths, "STEP", step)
+    monkeypatch.setattr(subword._Paths, "MOST", most)
+    rng = random.Random(12)
+    for _ in range(60):
+        letters = rng.choice(["ab", "abc ", "abc漢\U0001f600<s>"])
+        probs = {"".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice([2, 5, 20])))): -rng.choice([1.0, 2.0, rng.random() * 5]) for _ in range(rng.randrange(12))}
+        probs |= {ch: -3.0 for ch in letters} if rng.random() < 0.5 else {"<unk>": -9.0, "<s>": -20.7}
+        lines = ["".join(rng.choice(letters + "x") for _ in range(rng.choice([0, 1, 5, 30, 130]))) for _ in range(rng.randint(1, 30))]
+        paths = subword._Paths(probs)
+        ends, numbers = paths(np.array([ord(ch) for line in lines for ch in line + "\n"], np.int32))
+        wanted, at = [], 0
+        for line in lines:
+            for piece in subword.best_path(line, probs)[0]:
+                at += len(piece)
+                wanted.append((at - 1, paths.number.get(piece, -1)))
+            at += 1
+        assert list(zip(ends.tolist(), numbers.tolist())) == wanted
+
+
+def test_encoding_many_texts_equals_encoding_each(monkeypatch):
+    texts = ["", None, "\n", "ab ab", "a\n\nb\n", " x<s>", "é漢 ab" * 30, "ab"]
+    for probs in ({"a": -1.0, "b": -1.5, "ab": -2.0, "▁ab": -2.5, "\n": -4.0, "<unk>": -20.0, "<s>": -20.0, "</s>": -20.0}, {"a": -1.0, "<unk>": -3.0, "</s>": -9.0}):
+        model = subword.Subword("unigram", {t: k for k, t in enumerate(probs)}, [], probs)
+        for slice_ in (1, 9, 1 << 21):
+            monkeypatch.setattr(subword, "SLICE", slice_)
+            for eos in (False, True):
+                got = model.encode_many(texts, eos)
+                assert [None if x is None else x.tolist() for x in got] == [None if t is None else model.encode(t, eos) for t in texts]
