@@ -67,6 +67,8 @@ def commonest_substrings(df: DataFrame, text: str, top: int, longest: int = 16)
 
 #: Characters that are worked on at once, and the entries up to which a table is kept in full.
 SLICE, FULL = 1 << 21, 1 << 22
+#: Fixed value: characters of which guesses are made.
+HINT = 1 << 20
 
 
 def _joined(texts: list[str], turns: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
@@ -147,9 +149,10 @@ def _classes(letters: list[int]) -> np.ndarray:
     return classes
 
 
-def _counter(levels: list[list[str]] | None, letters: list[int], placed: bool):
-    """Counts the pieces one character longer than those of the last of ``levels`` (of 2, 3 and so on characters; each piece without its last
-    character is in the level before): s (number of the shorter piece), c (last character), n and the first place. Without levels it counts characters (s is -1) and pairs (s is the first)."""
+def _counter(levels: list[list[str]] | None, letters: list[int], placed: bool, wanted: frozenset[str] | None = None):
+    """Counts the pieces that are one of ``letters`` longer than those of the last of ``levels``, or than ``wanted`` ones of all levels (of 2, 3 and so
+    on characters; each piece without its last character is in the level before): s (number of the shorter piece, in the last level or with ``wanted``
+    through all levels), c (last character), n and the first place. Without levels it counts characters (s is -1) and pairs (s is the first)."""
 
     def found(s, c, n, at, starts, first) -> pa.RecordBatch:
         columns = [pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(n, pa.int64())]
@@ -174,25 +177,28 @@ def _counter(levels: list[list[str]] | None, letters: list[int], placed: bool):
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, width, depth = _classes(letters), len(letters) + 1, len(levels) + 1
         codes_of = np.array([0, *letters])
-        steps, before = [], {chr(c): k for k, c in enumerate(letters, 1)}
+        steps, before, ahead = [], {chr(c): k for k, c in enumerate(letters, 1)}, 0
         for k, level in enumerate(levels):
-            keys = np.array([before[p[:-1]] * width + int(classes[ord(p[-1])]) for p in level])
-            steps.append(_Steps(keys, width * width if k == 0 else len(levels[k - 1]) * width))
+            keys = np.array([before[p[:-1]] * width + int(classes[ord(p[-1])]) for p in level], np.int64)
+            here = np.array([k == len(levels) - 1 if wanted is None else p in wanted for p in level])
+            steps.append((_Steps(keys, width * width if k == 0 else len(levels[k - 1]) * width), len(level), ahead, here))
             before = {p: j for j, p in enumerate(level)}
+            ahead += 0 if wanted is None else len(level)
         for codes, size, starts, first in _slices(batches, placed, depth):
             c = np.append(classes[codes], np.zeros(depth, np.int32))
             at = np.flatnonzero(c[:size])
-            s = c[at].astype(np.int64)
-            for k, step in enumerate(steps):
-                s = step(s * width + c[at + k + 1])
+            s, follow = c[at].astype(np.int64), c[at + 1]
+            for k, (step, many, ahead, here) in enumerate(steps):
+                s = step(s * width + follow)
                 on = np.flatnonzero(s >= 0)
                 at, s = at[on], s[on].astype(np.int64)
-            last = c[at + depth]
-            on = np.flatnonzero(last)
-            at = at[on]
-            k, n, f = _tally(s[on] * width + last[on], len(levels[-1]) * width, placed)
-            if len(k):
-                yield found(k // width, codes_of[k % width], n, at[f] if placed else None, starts, first)
+                follow = c[at + k + 2]
+                if here.any():
+                    on = np.flatnonzero(follow if here.all() else (follow > 0) & here[s])
+                    n_at = at[on]
+                    j, n, f = _tally(s[on] * width + follow[on], many * width, placed)
+                    if len(j):
+                        yield found(ahead + j // width, codes_of[j % width], n, n_at[f] if placed else None, starts, first)
 
     return pairs if levels is None else longer
 
@@ -201,35 +207,71 @@ def _commonest(source: DataFrame, top: int, longest: int, max_chars: int | None
     """All characters by their first places (if the source has an order ``o`` and ``max_chars`` is given) and the ``top`` commonest pieces of 2 to ``longest``
     characters of the lines of ``t``, each with count and, if there is an order, first place; ties by first place and length, else by the piece.
 
-    One pass for each length. A piece without its last character is as common and comes before it in either order, so that only pieces
-    one character longer than those among the ``top`` so far can be among them: no more is counted, and the driver sees ``top`` rows of each length.
+    A piece without its last character is as common and comes before it in either order, so that only pieces one character longer than those
+    among the ``top`` so far can be among them: they are counted until there are no others. That is one pass for each length; with places, what
+    ``_guesses`` holds for common is counted ahead, which saves passes and leaves nothing uncounted. The driver sees ``top`` rows of each pass.
     """
     placed = "o" in source.columns
     schema = "s int, c int, n long" + ", o long, p long" * placed
     ties = ["p.o", "p.p"] if placed else ["s", "c"]
     rank = (lambda r: (-r[1], r[2], len(r[0]))) if placed else (lambda r: (-r[1], r[0].encode("utf-8", "surrogatepass")))
 
-    def counted(levels, letters) -> DataFrame:
-        parts = source.mapInArrow(_counter(levels, letters, placed), schema).groupBy("s", "c")
+    def counted(*what) -> DataFrame:
+        parts = source.mapInArrow(_counter(*what), schema).groupBy("s", "c")
         return parts.agg(F.sum("n").alias("n"), *([F.min(F.struct("o", "p")).alias("p")] if placed else []))
 
-    both = cut_lineage(counted(None, []))
+    both = cut_lineage(counted(None, [], placed))
     row = lambda piece, r: (piece, r["n"], *([tuple(r["p"])] if placed else []))
     chars = [row(chr(r["c"]), r) for r in both.where("s = -1").orderBy(*(["p"] if placed else ["c"])).limit(max_chars + 1).collect()] if max_chars else []
     best = [row(chr(r["s"]) + chr(r["c"]), r) for r in both.where("s >= 0").orderBy(F.desc("n"), *ties).limit(top).collect()] if longest > 1 else []
-    levels: list[list[str]] = []
-    for k in range(3, longest + 1):
-        best.sort(key=rank)
-        known = sorted((r[0] for r in best if len(r[0]) == k - 1), key=lambda p: p.encode("utf-8", "surrogatepass"))
-        if not known:
-            break
-        kept = {p[:j] for p in known for j in range(2, k)}
-        levels = [[p for p in level if p in kept] for level in levels] + [known]
+    guessed = _guesses(source, sum(n for _, n, *_ in chars), 2 * top, longest) if placed and longest > 3 else []
+    done: set[str] = set()
+    while True:
+        best = sorted(best, key=rank)[:top]
+        due = {r[0] for r in best if len(r[0]) < longest and r[0] not in done}
+        if not due:
+            return chars, best
         least = best[-1][1] if len(best) == top else 1
         letters = sorted(r["c"] for r in both.where((F.col("s") == -1) & (F.col("n") >= least)).select("c").collect())
-        rows = counted(levels, letters).where(F.col("n") >= least).orderBy(F.desc("n"), *ties).limit(top).collect()
-        best = sorted(best + [row(known[r["s"]] + chr(r["c"]), r) for r in rows], key=rank)[:top]
-    return chars, sorted(best, key=rank)
+        known = frozenset(map(chr, letters))
+        due |= {p for p in guessed if len(p) < longest and p not in done and known.issuperset(p)}
+        guessed = []
+        done |= due
+        trie = {p[:j] for p in due for j in range(2, len(p) + 1)}
+        levels = [sorted((p for p in trie if len(p) == k), key=lambda p: p.encode("utf-8", "surrogatepass")) for k in range(2, max(map(len, trie)) + 1)]
+        nodes = [p for level in levels for p in level]
+        rows = counted(levels, letters, placed, frozenset(due)).where(F.col("n") >= least).orderBy(F.desc("n"), *ties).limit(top).collect()
+        best += [row(nodes[r["s"]] + chr(r["c"]), r) for r in rows]
+
+
+def _guesses(source: DataFrame, chars: int, top: int, longest: int) -> list[str]:
+    """Pieces that may be among the commonest: those of the beginnings of some texts (about ``HINT`` characters). They only tell what to count first."""
+    if chars < 4 * HINT:
+        return []
+    some = source.where(F.pmod(F.xxhash64("o"), F.lit(chars // HINT)) == 0).select(F.substring("t", 1, 10_000).alias("t")).toArrow()
+    batch = pa.RecordBatch.from_arrays([pa.array(some.column("t").to_pylist(), pa.string())], names=["t"])
+    least, levels, pieces, letters = 1, None, {}, []
+    for _ in range(2, longest + 1):
+        parts = [*_counter(levels, letters, False)(iter([batch]))]
+        if not parts:
+            break
+        n = pa.Table.from_batches(parts).group_by(["s", "c"]).aggregate([("n", "sum")])
+        s, c, n = (n.column(k).to_numpy() for k in ("s", "c", "n_sum"))
+        if levels is None:
+            one, singles = s < 0, dict(zip(c[s < 0].tolist(), n[s < 0].tolist()))
+            s, c, n = s[~one], c[~one], n[~one]
+        on = np.flatnonzero(n >= least)
+        pieces |= {(chr(a) if levels is None else levels[-1][a]) + chr(b): k for a, b, k in zip(s[on].tolist(), c[on].tolist(), n[on].tolist())}
+        pieces = dict(sorted(pieces.items(), key=lambda x: -x[1])[:top])
+        least = max(2, min(pieces.values(), default=0))
+        letters = sorted(ch for ch, k in singles.items() if k >= least)
+        size, known = len(levels or []) + 2, frozenset(map(chr, letters))
+        last = [p for p, k in pieces.items() if len(p) == size and known.issuperset(p)]
+        if not last:
+            break
+        trie = {p[:j] for p in last for j in range(2, size + 1)}
+        levels = [sorted(p for p in trie if len(p) == k) for k in range(2, size + 1)]
+    return [*pieces]
 
 
 def gather_words(counts: DataFrame, max_words: int = 2_000_000) -> list[tuple[str, int]]:

@@ -271,3 +271,21 @@ def test_encoding_many_texts_equals_encoding_each(monkeypatch):
             for eos in (False, True):
                 got = model.encode_many(texts, eos)
                 assert [None if x is None else x.tolist() for x in got] == [None if t is None else model.encode(t, eos) for t in texts]
+
+
+def test_guesses_change_nothing_but_the_number_of_passes(spark, monkeypatch):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7))) for _ in range(20)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))).replace(" a", "\n") for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").coalesce(2)
+    passes, counter = [], subword._counter
+    monkeypatch.setattr(subword, "_counter", lambda levels, letters, placed, *more: passes.append(placed) or counter(levels, letters, placed, *more))
+    needed = []
+    for hint in (1 << 20, 300, 40):
+        monkeypatch.setattr(subword, "HINT", hint)
+        passes.clear()
+        model = subword.train_unigram(df, "t", "doc_id", 60, seeds=300, longest=12)
+        needed.append(sum(passes))
+        tokens, probs = unigram_by_hand(texts, 60, 300, 12, 4, 0.2)
+        assert list(model.token_to_id) == tokens and {p: round(model.log_probs[p], 9) for p in probs} == {p: round(x, 9) for p, x in probs.items()}
+    assert needed[1] < needed[0]
